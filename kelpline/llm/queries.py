@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .best_two_fit import pack_documents
 from .kd_shards import shard_documents
 from .orc_tokens import encode_and_read_back
+from .positional_index import find_contamination
+from .quality import is_held_out, score, train
 from .word_encoder import vocabulary
 
 
@@ -14,6 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A document is good from this score on.
+GOOD_FROM = 0.3
+
+
+def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = train(docs, table(spark, sf_dir, "labels"))
+    scored = score(docs.withColumn("held_out", is_held_out(F.col("doc_id"))), weights, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+
+
+def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("hits", "items")
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -27,6 +46,8 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ftrl_quality": op1_ftrl_quality,
+    "op5_positional_decontamination": op5_positional_decontamination,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_orc_tokens": op9_orc_tokens,
