@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_two_fit import pack_documents
+from .html_tree import extract_pages
 from .kd_shards import shard_documents
 from .orc_tokens import encode_and_read_back
 from .positional_index import find_contamination
@@ -28,6 +29,10 @@ def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
 
 
+def op4_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("hits", "items")
@@ -47,6 +52,7 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ftrl_quality": op1_ftrl_quality,
+    "op4_html_tree_scoring": op4_html_tree_scoring,
     "op5_positional_decontamination": op5_positional_decontamination,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_best_two_fit": op8_best_two_fit,
