@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .best_two_fit import pack_documents
 from .html_tree import extract_pages
 from .kd_shards import shard_documents
+from .nra_topk import top_k
 from .orc_tokens import encode_and_read_back
 from .positional_index import find_contamination
 from .quality import is_held_out, score, train
@@ -29,6 +30,10 @@ def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
 
 
+def op3_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op4_html_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -52,6 +57,7 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ftrl_quality": op1_ftrl_quality,
+    "op3_nra_topk": op3_nra_topk,
     "op4_html_tree_scoring": op4_html_tree_scoring,
     "op5_positional_decontamination": op5_positional_decontamination,
     "op7_kd_sharding": op7_kd_sharding,
