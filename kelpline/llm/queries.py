@@ -12,6 +12,7 @@ from .nra_topk import top_k
 from .orc_tokens import encode_and_read_back
 from .positional_index import find_contamination
 from .quality import is_held_out, score, train
+from .suffix_dedup import remove_repeats
 from .word_encoder import vocabulary
 
 
@@ -55,6 +56,10 @@ def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op3_nra_topk": op3_nra_topk,
@@ -63,6 +68,7 @@ QUERIES = {
     "op7_kd_sharding": op7_kd_sharding,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_orc_tokens": op9_orc_tokens,
+    "op10_suffix_merge_dedup": op10_suffix_merge_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
