@@ -16,6 +16,12 @@ from .common import worker_cache
 
 #: Distinct chunks that a worker remembers before it starts anew.
 CACHE_CHUNKS = 300_000
+#: The same of chunks without the signs that end them, ASCII ones lower-cased.
+CACHE_STEMS = 800_000
+#: Signs that the pre-tokenizer keeps together and apart from letters and digits.
+SIGNS = ".,;:!?%&*#$|"
+#: A text that is always one token of its own between blanks, and how many chunks are encoded between such marks at once.
+MARK, JOINED = "0", 2000
 #: Longer chunks are encoded each time and not remembered.
 CACHE_CHARS = 64
 
@@ -29,21 +35,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.stems: dict[str, bytes] = {"": b""}
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Many are encoded in one text, between marks that no chunk contains."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at : at + JOINED]
+            ids = self._ids(f" {MARK} ".join(part))
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part) - 1:
+                out += [self._ids(c).tobytes() for c in part]
+                continue
+            raw, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+            out += [raw[4 * (a + 1) : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return out
+
+    def _encode_new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of new chunks: of their stems, which are remembered, and of the signs that end them."""
+        if len(self.stems) > CACHE_STEMS:
+            self.stems = {"": b""}
+        cut = []
+        for c in chunks:
+            stem = c.rstrip(SIGNS)
+            if stem and not stem[-1].isalnum():
+                stem = c  # the signs may belong to a longer run
+            cut.append((stem.lower() if stem.isascii() else stem, c[len(stem) :]))
+        new = list({x for pair in cut for x in pair} - self.stems.keys())
+        self.stems.update(zip(new, self._encode_chunks(new), strict=True))
+        return [self.stems[a] + self.stems[b] for a, b in cut]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text has none."""
         cut = [[] if t is None else t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_CHUNKS:
             self.known = {"": b""}
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
-        long: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                (self.known if len(chunk) <= CACHE_CHARS else long)[chunk] = np.array(got.ids, "<u4").tobytes()
-        if not long:
+        new = set().union(*cut) - self.known.keys() if cut else set()
+        alone = [c for c in new if len(c) > CACHE_CHARS or MARK in c or self.mark is None]
+        joined = list(new.difference(alone))
+        self.known.update(zip(joined, self._encode_new(joined), strict=True))
+        other = {c: self._ids(c).tobytes() for c in alone}
+        if not other:
             return [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        return [b"".join([self.known[w] if w in self.known else long[w] for w in words]) for words in cut]
+        return [b"".join([other[w] if w in other else self.known[w] for w in words]) for words in cut]
 
 
 def encoder(path: str) -> WordEncoder:
