@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .best_two_fit import pack_documents
 from .html_tree import extract_pages
 from .kd_shards import shard_documents
+from .ngram_join import ngram_join
 from .nra_topk import top_k
 from .orc_tokens import encode_and_read_back
 from .positional_index import find_contamination
@@ -44,6 +45,10 @@ def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("hits", "items")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op7_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_nra_topk": op3_nra_topk,
     "op4_html_tree_scoring": op4_html_tree_scoring,
     "op5_positional_decontamination": op5_positional_decontamination,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_kd_sharding": op7_kd_sharding,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_orc_tokens": op9_orc_tokens,
