@@ -10,9 +10,9 @@ grams, too small for that, index single grams; sizes near ``SMALL`` do both.
 
 Equal sets are collapsed first. The sets that share a signature are compared
 with one of them, components of what links are found, and only signatures whose
-sets are still in several components are compared pair by pair across these, so
-a large group of copies needs comparisons in proportion to its size. Every link
-between different sets either is verified or joins sets already connected.
+sets are still in several components are compared pair by pair across these, and
+only where the sets' sizes and parities allow similarity. Every link between
+different sets either is verified or joins sets already connected.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 50
 #: Grams counted together, and the least count in them that is reported; the most frequent grams known (a bound of what is broadcast: the rest count as rare, which costs time but no link).
 COUNTED, REPORTED, KNOWN = 2_000_000, 4, 400_000
 CACHE_WORDS = 400_000
+#: Longs of a set's parities: each gram flips one bit, so sets differ in at least as many grams as their parities in bits.
+PARITY_LONGS = 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -78,6 +80,11 @@ def _key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+def parities(grams: np.ndarray) -> np.ndarray:
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * PARITY_LONGS), minlength=64 * PARITY_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 DOC_AND_COUNT = "doc_id long, n long, key binary, gram long, n_docs long"
 
 
@@ -154,10 +161,10 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, freque
                 rows[key] = (min((x for x in (doc, old[0]) if x is not None), default=None), *old[1:])
             elif len(grams):
                 lack = len(grams) - -(-num * len(grams) // den)
-                rows[key] = (doc, len(grams), signatures(grams, lack, frequent, rank, overlap).view(np.int64))
-        cols = list(zip(*rows.values(), strict=True)) or [(), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "n", "sigs"])
+                rows[key] = (doc, len(grams), signatures(grams, lack, frequent, rank, overlap).view(np.int64), parities(grams))
+        cols = list(zip(*rows.values(), strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "n", "sigs", "bits"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -176,6 +183,12 @@ def _near_size(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
+def _may_be_near(num: int, den: int) -> Column:
+    """Whether sizes and parities of sets x and y leave it open that they are similar."""
+    differ = sum((F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(PARITY_LONGS)), F.lit(0))
+    return _near_size(F.col("n_x"), F.col("n_y"), num, den) & (differ * (den + num) <= (F.col("n_x") + F.col("n_y")) * (den - num))
+
+
 def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose sets are similar."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "doc_id", "key"), "node")
@@ -202,8 +215,8 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
     grams = known["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     held = docs.sparkSession.sparkContext.broadcast((grams[order], known["n_docs"].to_numpy(np.int64)[order]))  # at most KNOWN grams
-    found = texts.mapInArrow(lambda it: _index(it, n, num, den, *held.value), "key binary, doc_id long, n long, sigs array<long>")
-    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"))
+    found = texts.mapInArrow(lambda it: _index(it, n, num, den, *held.value), "key binary, doc_id long, n long, sigs array<long>, bits array<long>")
+    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
     rows = reps.filter("doc_id is not null").select("node", "n", F.explode("sigs").alias("sig"))
@@ -215,9 +228,9 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
 
     rows = reps.filter("doc_id is not null").join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.explode("sigs").alias("sig"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    open_rows = written(rows.join(mixed, "sig"), "open")
-    x, y = (open_rows.toDF("sig", f"node_{s}", f"n_{s}", f"comp_{s}") for s in "xy")
-    pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_near_size(F.col("n_x"), F.col("n_y"), num, den))
+    open_rows = written(rows.join(mixed, "sig").join(reps.select("node", "bits"), "node").select("sig", "node", "n", "comp", "bits"), "open")
+    x, y = (open_rows.toDF("sig", f"node_{s}", f"n_{s}", f"comp_{s}", f"bits_{s}") for s in "xy")
+    pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_may_be_near(num, den))
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
     return members, reps, links.union(_links(docs, reps, pairs, n, num, den))
