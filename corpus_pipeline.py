@@ -2,13 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from kelpline.llm.best_two_fit import pack_documents
 from kelpline.llm.common import written
+from kelpline.llm.ngram_join import ngram_join
+from kelpline.llm.positional_index import find_contamination
+from kelpline.llm.quality import score, train
+from kelpline.llm.queries import GOOD_FROM
+from kelpline.llm.secret_forest import redact_secrets, train_forest
+from kelpline.llm.word_encoder import vocabulary
 
-STAGES: list = []
 
-#: SQL cannot express the stages: a trained classifier, a random forest, tokenizers.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is good; the rest go."""
+    weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, weights, docs.columns).filter(F.col("score") >= GOOD_FROM).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by a similarity of 0.8 of their five-word shingles, the one with the least id.
+
+    Rows that repeat both id and text count once; rows without id stay.
+    """
+    groups = ngram_join(docs, n=5, num=80, den=100)
+    others = written(groups.filter("component_id != doc_id").select("doc_id").distinct(), "others")
+    left = docs.join(others, "doc_id", "left_anti")
+    same = Window.partitionBy("doc_id", "_hash").orderBy("n_chars")
+    first = left.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.row_number().over(same))
+    return first.filter("_row = 1 or doc_id is null").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = written(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind."""
+    return redact_secrets(docs, train_forest()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 4096 tokens."""
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", secrets),
+    ("best-fit packing", pack),
+]
+
+#: SQL cannot express the stages: a trained classifier, a random forest, a tokenizer. Tests use brute force.
 ORACLE_SQL = None
 
 
@@ -16,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

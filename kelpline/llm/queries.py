@@ -13,6 +13,7 @@ from .nra_topk import top_k
 from .orc_tokens import encode_and_read_back
 from .positional_index import find_contamination
 from .quality import is_held_out, score, train
+from .secret_forest import find_secrets, train_forest
 from .suffix_dedup import remove_repeats
 from .word_encoder import vocabulary
 
@@ -32,6 +33,10 @@ def op1_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
 
 
+def op2_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"), train_forest())
+
+
 def op3_nra_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -67,6 +72,7 @@ def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ftrl_quality": op1_ftrl_quality,
+    "op2_secret_forest": op2_secret_forest,
     "op3_nra_topk": op3_nra_topk,
     "op4_html_tree_scoring": op4_html_tree_scoring,
     "op5_positional_decontamination": op5_positional_decontamination,
