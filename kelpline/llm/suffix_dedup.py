@@ -38,7 +38,7 @@ from .common import written
 #: Bytes of an anchor's gram; a power of two.
 GRAM = 32
 #: Bytes of text in a chunk, unless one document alone has more.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text a range of the hash space; there are at least so many ranges.
 RANGE_BYTES, LEAST_RANGES = 16 << 20, 48
 #: Windows whose anchors are found at once; positions in such a slab have so many bits.
@@ -124,7 +124,9 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
             out.append((h[where[first] - at], where[first], window[first], window[last]))
     if not out:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    grams, *places = (np.concatenate(c) for c in zip(*out, strict=True))
+    grams = (grams ^ (grams >> np.uint64(31))) * _M1  # anchors have small hashes: spread them over the hash space
+    return grams ^ (grams >> np.uint64(32)), *places
 
 
 def _range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
