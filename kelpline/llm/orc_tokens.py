@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, written
 from .word_encoder import encoder
 
 #: Writer options; sizes in bytes. Fixed values of the file format's own names.
@@ -91,7 +91,7 @@ def token_offsets(spark: SparkSession, path: str) -> DataFrame:
     totals, so no task sees more than a file's rows or one row a file.
     """
     rows = read_token_orc(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), "ids")
-    rows = rows.mapInArrow(_digest, "doc_id long, file string, n_tokens long, ids_crc32 long")
+    rows = written(rows.mapInArrow(_digest, "doc_id long, file string, n_tokens long, ids_crc32 long"), "digest")
     inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     over = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
