@@ -1,7 +1,7 @@
 """Event studies: windows around events, controls, effects, bands, multiple tests, placebos, bootstraps."""
 
-from __future__ import annotations
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,8 +141,6 @@ def placebo_draws(spark: SparkSession, d: str) -> DataFrame:
 
 def poisson(rate_col: str, seed: int):
     """A pandas UDF of Poisson draws, for which there is no built-in function."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("long")
     def draw(rate: pd.Series) -> pd.Series:

@@ -195,8 +195,8 @@ def tune_grid_f1(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("price_w", "threshold", f1.alias("f1")).orderBy(F.col("f1").desc_nulls_last(), "price_w", "threshold").limit(5)
 
 
-@query("connected_components", PAIR_SQL + """, e AS (SELECT left_id AS a, right_id AS b FROM s WHERE reason = 'model_equal' UNION SELECT right_id, left_id FROM s WHERE reason = 'model_equal'),
-r AS (SELECT DISTINCT a AS node, a AS seen FROM e) SELECT node, min(b) AS comp FROM (WITH RECURSIVE reach(node, b) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.b = e.a) SELECT node, b FROM reach) GROUP BY 1""")
+@query("connected_components", PAIR_SQL + """, e AS (SELECT left_id AS a, right_id AS b FROM s WHERE reason = 'model_equal' UNION SELECT right_id, left_id FROM s WHERE reason = 'model_equal')
+SELECT node, min(b) AS comp FROM (WITH RECURSIVE reach(node, b) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.b = e.a) SELECT node, b FROM reach) GROUP BY 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
     links = scored(spark, d).filter("reason = 'model_equal'").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
     return label_components(links)
@@ -235,7 +235,7 @@ def quotes_top_n(spark: SparkSession, d: str) -> DataFrame:
     return first_rows(docs, ["source"], [F.col("n_chars").desc(), F.col("doc_id")], 2)
 
 
-@query("excerpt_window", r"WITH p AS (SELECT doc_id, text, CAST(instr(text, ' the ') AS INT) AS at0 FROM documents WHERE instr(text, ' the ') > 0), q AS (SELECT doc_id, text, greatest(at0 - 130, 1) AS at FROM p) SELECT doc_id, concat(CASE WHEN at > 1 THEN '…' ELSE '' END, trim(substr(text, at, 260)), CASE WHEN at + 259 < length(text) THEN '…' ELSE '' END) AS excerpt FROM q")
+@query("excerpt_window", r"WITH p AS (SELECT doc_id, text, CAST(instr(text, ' the ') AS INT) AS at0 FROM documents WHERE instr(text, ' the ') > 0), q AS (SELECT doc_id, text, greatest(at0 - 130, 1) AS beg FROM p) SELECT doc_id, concat(CASE WHEN beg > 1 THEN '…' ELSE '' END, trim(substr(text, beg, 260)), CASE WHEN beg + 259 < length(text) THEN '…' ELSE '' END) AS excerpt FROM q")
 def excerpt_window(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").filter(F.col("text").contains(" the ")).select("doc_id", excerpt(F.col("text"), " the ").alias("excerpt"))
 
