@@ -22,7 +22,7 @@ from .word_encoder import encoder
 
 #: Writer options; sizes in bytes. Fixed values of the file format's own names.
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),

@@ -30,6 +30,9 @@ CACHE_CHARS = 64
 #: Full stops and commas that end a word, in Latin-1 lower case.
 _ENDS = re.compile("(?<=[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,]+)(?=[ \n])")
 
+#: A full stop or comma after something else than a letter, a digit or white space.
+_IN_RUN = re.compile("[^a-z0-9\u00df-\u00f6\u00f8-\u00ff \t\n\r\x0b\x0c\x85\xa0][.,]")
+
 
 def _chunks(text: str | None) -> list[str]:
     """The text cut at blanks and line feeds.
@@ -43,7 +46,11 @@ def _chunks(text: str | None) -> list[str]:
     if "<|" not in text:
         try:
             text.encode("latin-1")
-            text = _ENDS.sub(r" \1", text.lower())
+            text = text.lower()
+            if _IN_RUN.search(text):
+                text = _ENDS.sub(r" \1", text)
+            else:  # no run of signs can be cut
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
         except UnicodeEncodeError:
             pass
     return text.replace("\n", " ").split(" ")
@@ -68,9 +75,10 @@ class WordEncoder:
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Many are encoded in one text, between marks that no chunk contains."""
         out: list[bytes] = []
-        for at in range(0, len(chunks), JOINED):
-            part = chunks[at : at + JOINED]
-            ids = self._ids(f" {MARK} ".join(part))
+        parts = [chunks[at : at + JOINED] for at in range(0, len(chunks), JOINED)]
+        got = self.tokenizer.encode_batch_fast([f" {MARK} ".join(p) for p in parts], add_special_tokens=False)
+        for part, one in zip(parts, got, strict=True):
+            ids = np.array(one.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part) - 1:
                 out += [self._ids(c).tobytes() for c in part]
