@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,16 +168,39 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, freque
         yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "n", "sigs", "bits"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the rows that have the wanted key: a repeated id may have other texts."""
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, for what is shuffled."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        nodes, sets = [], []
-        for node, key, text in zip(*(batch.column(k) for k in range(3)), strict=True):
-            grams = gram_set(text.as_py(), n)
-            if _key(grams) == key.as_py():
-                nodes.append(node.as_py())
-                sets.append(grams.view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+        data = [pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
+
+
+def _unzipped_set(data: bytes, n: int) -> np.ndarray:
+    return gram_set(zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass"), n)
+
+
+def _own_texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has the wanted key: a repeated id may have other texts."""
+    for batch in batches:
+        same = [_key(_unzipped_set(data.as_py(), n)) == key.as_py() for key, data in zip(batch.column(1), batch.column(2), strict=True)]
+        yield batch.filter(pa.array(same, pa.bool_())).select(["node", "data"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets are similar. Neighbouring rows share their first text, whose set is kept."""
+    last, x = None, None
+    for batch in batches:
+        found = []
+        for a, b, own, other in zip(*(batch.column(k) for k in range(4)), strict=True):
+            if a != last:
+                last, x = a, _unzipped_set(own.as_py(), n)
+            y = _unzipped_set(other.as_py(), n)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both * den >= (len(x) + len(y) - both) * num:
+                found.append((a.as_py(), b.as_py()))
+        cols = list(zip(*found, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
 
 def _near_size(a: Column, b: Column, num: int, den: int) -> Column:
@@ -189,15 +213,16 @@ def _may_be_near(num: int, den: int) -> Column:
     return _near_size(F.col("n_x"), F.col("n_y"), num, den) & (differ * (den + num) <= (F.col("n_x") + F.col("n_y")) * (den - num))
 
 
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) whose sets are similar."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps.select("node", "doc_id", "key"), "node")
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "key", "text")
-    sets = written(texts.mapInArrow(lambda it: _sets(it, n), "node long, grams array<long>"), "sets")
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    similar = both * den >= (F.size("x") + F.size("y") - both) * num
-    return written(pairs.join(right, "b").join(left, "a").filter(similar).select("a", "b"), "links")
+def _candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) that sizes and parities leave open."""
+    x, y = (reps.select(F.col("node").alias(k), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for k, s in (("a", "x"), ("b", "y")))
+    return pairs.join(y, "b").join(x, "a").filter(_may_be_near(num, den)).select("a", "b")
+
+
+def _links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) whose sets are similar, from the nodes' texts."""
+    both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
+    return written(both.mapInArrow(lambda it: _verified(it, n, num, den), "a long, b long"), "links")
 
 
 def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,21 +244,24 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
     reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    rows = reps.filter("doc_id is not null").select("node", "n", F.explode("sigs").alias("sig"))
-    centre = rows.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1").select("sig", "c")
-    star = rows.join(centre, "sig").filter(F.col("node") != F.col("c.node")).filter(_near_size(F.col("n"), F.col("c.n"), num, den))
-    star = written(star.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = _links(docs, reps, star, n, num, den)
+    rows = reps.filter("doc_id is not null").select("node", F.explode("sigs").alias("sig"))
+    centre = rows.groupBy("sig").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c != z").select("sig", "c")
+    shared = written(rows.join(centre, "sig"), "shared")
+    wanted = shared.select("node").distinct().join(reps.select("node", "doc_id", "key"), "node")
+    held_texts = texts.mapInArrow(_zipped, "doc_id long, data binary").join(wanted, "doc_id").select("node", "key", "data")
+    held_texts = written(held_texts.mapInArrow(lambda it: _own_texts(it, n), "node long, data binary"), "texts", "none")
+
+    star = written(shared.filter("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    links = _links(held_texts, _candidates(star, reps, num, den), n, num, den)
     labels = components(links)
 
-    rows = reps.filter("doc_id is not null").join(labels, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp"), F.explode("sigs").alias("sig"))
+    rows = shared.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    open_rows = written(rows.join(mixed, "sig").join(reps.select("node", "bits"), "node").select("sig", "node", "n", "comp", "bits"), "open")
+    open_rows = written(rows.join(mixed, "sig").join(reps.select("node", "n", "bits"), "node").select("sig", "node", "n", "comp", "bits"), "open")
     x, y = (open_rows.toDF("sig", f"node_{s}", f"n_{s}", f"comp_{s}", f"bits_{s}") for s in "xy")
     pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_may_be_near(num, den))
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs")
-    return members, reps, links.union(_links(docs, reps, pairs, n, num, den))
+    return members, reps, links.union(_links(held_texts, written(pairs, "pairs"), n, num, den))
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
