@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bi
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~is_held_out(F.col("doc_id")))
     sample = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "label").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
-    one = texts.select("text", "label", F.xxhash64("doc_id").alias("by")).coalesce(1).sortWithinPartitions("by", "label").select("text", "label")
+    one = texts.select("text", "label", F.xxhash64("doc_id").alias("by")).repartition(1).sortWithinPartitions("by", "label").select("text", "label")
     got = one.mapInArrow(lambda it: _fit(it, bits), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
