@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -53,12 +54,17 @@ def drop_written(df: DataFrame) -> None:
 
 
 def worker_cache(key: str, make):
-    """An object that lives as long as the Python worker, made at first use.
+    """An object that the Python worker keeps from task to task, until another one is asked for.
 
     Functions are shipped by value, so their module's globals are new in each
-    task; the interpreter's own namespace is not.
+    task; the interpreter's own namespace is not. Only one object is held, so
+    that a worker's memory doesn't add up over the stages of a pipeline.
     """
     held = sys.__dict__.setdefault("_kelpline_held", {})
     if key not in held:
+        if held:
+            held.clear()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
         held[key] = make()
     return held[key]

@@ -35,7 +35,7 @@ CLASSES, SMALL = 64, 96
 FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 50
 #: Grams counted together, and the least count in them that is reported; the most frequent grams known (a bound of what is broadcast: the rest count as rare, which costs time but no link).
 COUNTED, REPORTED, KNOWN = 2_000_000, 4, 400_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Longs of a set's parities: each gram flips one bit, so sets differ in at least as many grams as their parities in bits.
 PARITY_LONGS = 4
 

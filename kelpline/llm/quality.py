@@ -27,7 +27,7 @@ SAMPLE_ROWS = 8000
 #: Passes over the sample, and the regularised leader's parameters.
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 1.0, 1.0, 0.02, 0.2
 #: Distinct words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
