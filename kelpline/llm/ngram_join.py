@@ -37,7 +37,7 @@ FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 50
 COUNTED, REPORTED, KNOWN = 2_000_000, 4, 400_000
 CACHE_WORDS = 250_000
 #: Longs of a set's parities: each gram flips one bit, so sets differ in at least as many grams as their parities in bits.
-PARITY_LONGS = 4
+PARITY_LONGS = 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
