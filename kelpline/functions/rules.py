@@ -63,41 +63,50 @@ def product_type(categories: Column, title: Column) -> Column:
     )
 
 
-def extract_model(item_model: Column, title: Column, is_accessory: Column) -> Column:
-    """struct(model_no, source, confidence, compatible, part_no, candidates): details, then brackets, then the title before any "for" phrase."""
+def model_parts(item_model: Column, title: Column, is_accessory: Column) -> dict[str, Column]:
+    """What :func:`choose_model` decides on. Put these in columns of their own first: they are costly and used many times."""
     t = F.coalesce(clean_str(title), F.lit(""))
     at = F.regexp_instr(t, F.lit(X.COMPATIBLE))
     phrase = F.length(F.regexp_extract(t, X.COMPATIBLE, 0))
-    head = F.when(at > 0, t.substr(F.lit(1), at - 1)).otherwise(t)
     tail = F.when(at > 0, t.substr(at + phrase, F.length(t))).otherwise("")
-    compatible = F.when(is_accessory | (at > 0), model_tokens(tail)).otherwise(_none())
-    parts = F.concat(part_tokens(item_model), part_tokens(title))
-    part = F.try_element_at(parts, F.lit(1))
-    stop = F.array(*map(F.lit, X.MODEL_STOP))
-    up = F.upper(t)
-    named = F.filter(F.transform(F.regexp_extract_all(up, F.lit(X.MODEL_NAMED), 0), lambda m: F.regexp_extract(m, r"([A-Z]{1,4}\d{2,5}[A-Z0-9]{0,6})\)?$", 1)), lambda m: ~F.array_contains(stop, m))
     details = clean_str(item_model)
-    own = F.when(details.isNotNull(), model_tokens(F.regexp_replace(details, X.MODEL_NOISE, " "))).otherwise(_none())
+    stop = F.array(*map(F.lit, X.MODEL_STOP))
+    named = F.transform(F.regexp_extract_all(F.upper(t), F.lit(X.MODEL_NAMED), 0), lambda m: F.regexp_extract(m, r"([A-Z]{1,4}\d{2,5}[A-Z0-9]{0,6})\)?$", 1))
+    return {
+        "_compatible": F.when(is_accessory | (at > 0), model_tokens(tail)).otherwise(_none()),
+        "_part": F.try_element_at(F.concat(part_tokens(item_model), part_tokens(title)), F.lit(1)),
+        "_named": F.filter(named, lambda m: ~F.array_contains(stop, m)),
+        "_own": F.when(details.isNotNull(), model_tokens(F.regexp_replace(details, X.MODEL_NOISE, " "))).otherwise(_none()),
+        "_has_details": details.isNotNull(),
+        "_bracket": F.regexp_extract_all(F.upper(t), F.lit(X.MODEL_IN_BRACKETS), 1),
+        "_before": model_tokens(F.when(at > 0, t.substr(F.lit(1), at - 1)).otherwise(t)),
+        "_all": model_tokens(t),
+        "_is_part": is_accessory,
+    }
+
+
+def choose_model() -> Column:
+    """struct(model_no, source, confidence, compatible, part_no, candidates) from the columns of :func:`model_parts`: details, then brackets, then the title before any "for" phrase."""
+    fits, part, named, own, accessory = F.col("_compatible"), F.col("_part"), F.col("_named"), F.col("_own"), F.col("_is_part")
+    bracket, before = F.array_except("_bracket", fits), F.array_except("_before", fits)
     cores = lambda a: F.transform(a, core_model)
-    bracket = F.array_except(F.regexp_extract_all(up, F.lit(X.MODEL_IN_BRACKETS), 1), compatible)
-    before = F.array_except(model_tokens(head), compatible)
     none = F.lit(None).cast("string")
     first = lambda a: F.try_element_at(a, F.lit(1))
 
-    def out(model: Column, source: str, confidence: str, fits: Column, candidates: Column) -> Column:
-        return F.struct(model.alias("model_no"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), fits.alias("compatible"), part.alias("part_no"), candidates.alias("candidates"))
+    def out(model: Column, source: str, confidence: str, compatible: Column, candidates: Column) -> Column:
+        return F.struct(model.alias("model_no"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"), compatible.alias("compatible"), part.alias("part_no"), candidates.alias("candidates"))
 
-    or_own = F.when(F.size(compatible) > 0, compatible)
+    or_own = F.when(F.size(fits) > 0, fits)
     return (
-        F.when((F.size(named) > 0) & (F.size(own) > 0) & ~is_accessory & ~F.arrays_overlap(cores(named), cores(own)), out(first(named), "title_explicit_over_details", "high", compatible, F.concat(named, own)))
-        .when(F.size(own) == 1, out(first(own), "details", "high", compatible, own))
+        F.when((F.size(named) > 0) & (F.size(own) > 0) & ~accessory & ~F.arrays_overlap(cores(named), cores(own)), out(first(named), "title_explicit_over_details", "high", fits, F.concat(named, own)))
+        .when(F.size(own) == 1, out(first(own), "details", "high", fits, own))
         .when(F.size(own) > 1, out(none, "details_ambiguous", "none", or_own.otherwise(own), own))
-        .when(details.isNotNull() & part.isNotNull() & is_accessory, out(none, "details_part_only", "none", compatible, _none()))
-        .when(is_accessory, out(none, "accessory_no_model", "none", or_own.otherwise(model_tokens(t)), _none()))
-        .when(F.size(bracket) > 0, out(first(bracket), "title_bracket", "high", compatible, bracket))
-        .when(F.size(before) == 1, out(first(before), "title", "medium", compatible, before))
-        .when(F.size(before) > 1, out(first(before), "title_first_of_many", "low", compatible, before))
-        .otherwise(out(none, "none", "none", compatible, _none()))
+        .when(F.col("_has_details") & part.isNotNull() & accessory, out(none, "details_part_only", "none", fits, _none()))
+        .when(accessory, out(none, "accessory_no_model", "none", or_own.otherwise(F.col("_all")), _none()))
+        .when(F.size(bracket) > 0, out(first(bracket), "title_bracket", "high", fits, bracket))
+        .when(F.size(before) == 1, out(first(before), "title", "medium", fits, before))
+        .when(F.size(before) > 1, out(first(before), "title_first_of_many", "low", fits, before))
+        .otherwise(out(none, "none", "none", fits, _none()))
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_series
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that later expressions refer to and that the optimizer doesn't put into these again and again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
     """``df`` with the row number inside each key; give a total order, so that it is the same each time."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -67,23 +73,26 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*row)))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder; one of its own is set only where none is."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def label_components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """node, comp of the graph with links (a, b): the least node that can be reached.
 
     Each round takes the least label of a node, its neighbours and its label's
     label; every round is checkpointed, so plans stay short and executors may go.
     """
-    spark = links.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")).checkpoint()
+    both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")))
     for _ in range(rounds):
         near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = labels.join(near, "node").join(up, "comp", "left").select("node", "comp", F.least("near", "comp", F.coalesce("up", "comp")).alias("next")).checkpoint()
+        new = checkpointed(labels.join(near, "node").join(up, "comp", "left").select("node", "comp", F.least("near", "comp", F.coalesce("up", "comp")).alias("next")))
         moved = new.filter("next != comp").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
         if not moved:

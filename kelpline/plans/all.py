@@ -1,6 +1,6 @@
 """All named queries; importing the modules registers them."""
 
-from . import event_queries, review_queries, text_queries, tools
+from . import event_queries, resolution, review_queries, text_queries, tools
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "event_queries", "review_queries", "text_queries", "tools"]
+__all__ = ["ORACLE", "QUERIES", "event_queries", "resolution", "review_queries", "text_queries", "tools"]
