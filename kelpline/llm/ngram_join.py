@@ -38,6 +38,8 @@ COUNTED, REPORTED, KNOWN = 2_000_000, 4, 400_000
 CACHE_WORDS = 250_000
 #: Longs of a set's parities: each gram flips one bit, so sets differ in at least as many grams as their parities in bits.
 PARITY_LONGS = 16
+#: The same of sets of at least so many grams, for pairs that the others leave open: in long sets few parities say nothing.
+LONG_SET, LONG_PARITY_LONGS = 1500, 128
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -81,8 +83,8 @@ def _key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * PARITY_LONGS), minlength=64 * PARITY_LONGS) & 1
+def parities(grams: np.ndarray, longs: int = PARITY_LONGS) -> np.ndarray:
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * longs), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -162,10 +164,10 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, freque
                 rows[key] = (min((x for x in (doc, old[0]) if x is not None), default=None), *old[1:])
             elif len(grams):
                 lack = len(grams) - -(-num * len(grams) // den)
-                rows[key] = (doc, len(grams), signatures(grams, lack, frequent, rank, overlap).view(np.int64), parities(grams))
-        cols = list(zip(*rows.values(), strict=True)) or [(), (), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "n", "sigs", "bits"])
+                rows[key] = (doc, len(grams), signatures(grams, lack, frequent, rank, overlap).view(np.int64), parities(grams), parities(grams, LONG_PARITY_LONGS) if len(grams) >= LONG_SET else [])
+        cols = list(zip(*rows.values(), strict=True)) or [(), (), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "n", "sigs", "bits", "long_bits"])
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +218,12 @@ def _may_be_near(num: int, den: int) -> Column:
 def _candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that sizes and parities leave open."""
     x, y = (reps.select(F.col("node").alias(k), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for k, s in (("a", "x"), ("b", "y")))
-    return pairs.join(y, "b").join(x, "a").filter(_may_be_near(num, den)).select("a", "b")
+    open_pairs = pairs.join(y, "b").join(x, "a").filter(_may_be_near(num, den)).select("a", "b", "n_x", "n_y")
+    long = reps.filter(F.size("long_bits") > 0)
+    x, y = (long.select(F.col("node").alias(k), F.col("long_bits").alias(f"long_{k}")) for k in "ab")
+    differ = F.aggregate(F.zip_with("long_a", "long_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    apart = differ * (den + num) > (F.col("n_x") + F.col("n_y")) * (den - num)
+    return open_pairs.join(y, "b", "left").join(x, "a", "left").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
 
 
 def _links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -240,8 +247,8 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
     grams = known["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     held = docs.sparkSession.sparkContext.broadcast((grams[order], known["n_docs"].to_numpy(np.int64)[order]))  # at most KNOWN grams
-    found = texts.mapInArrow(lambda it: _index(it, n, num, den, *held.value), "key binary, doc_id long, n long, sigs array<long>, bits array<long>")
-    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"))
+    found = texts.mapInArrow(lambda it: _index(it, n, num, den, *held.value), "key binary, doc_id long, n long, sigs array<long>, bits array<long>, long_bits array<long>")
+    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.first("long_bits").alias("long_bits"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
     rows = reps.filter("doc_id is not null").select("node", F.explode("sigs").alias("sig"))
@@ -261,7 +268,8 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
     x, y = (open_rows.toDF("sig", f"node_{s}", f"n_{s}", f"comp_{s}", f"bits_{s}") for s in "xy")
     pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_may_be_near(num, den))
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return members, reps, links.union(_links(held_texts, written(pairs, "pairs"), n, num, den))
+    pairs = written(pairs, "pairs")
+    return members, reps, links.union(_links(held_texts, _candidates(pairs, reps, num, den), n, num, den))
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -189,7 +189,9 @@ def test_ngram_join(docs, odd, none, n, num, den):
     assert ngram_join.ngram_join(none, n, num, den).count() == 0
 
 
-def test_ngram_join_of_near_copies_with_frequent_grams(spark):
+@pytest.mark.parametrize("long_set", [1500, 50])
+def test_ngram_join_of_near_copies_with_frequent_grams(spark, monkeypatch, long_set):
+    monkeypatch.setattr(ngram_join, "LONG_SET", long_set)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(260)]
     texts = []
