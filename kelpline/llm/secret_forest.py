@@ -25,17 +25,18 @@ from pyspark.sql import functions as F
 SHAPES = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)",
     "aws_key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}(?![A-Za-z0-9])",
-    "slack_token": r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,250}",
+    "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}",
+    "slack_token": r"(?<![A-Za-z0-9])xox[abeprs]-[A-Za-z0-9-]{10,}",
     "json_web_token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
     "live_key": r"(?<![A-Za-z0-9])[srp]k_(?:live|test)_[A-Za-z0-9]{16,}",
-    "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}",
+    "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35,}",
     "long_run": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}",
 }
 _SHAPED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()), re.S)
 _ASSIGN = re.compile(r"[=:]")
 _NAME = re.compile(r"([A-Za-z][\w.-]{1,40})[\"']?\s{0,3}:?$")
-_VALUE = re.compile(r">?\s{0,3}[\"']?([^\s\"'<>,;()]{6,256})")
+#: A value, to its closing quote where it has one and no blanks; else to a blank, quote, comma or bracket.
+_VALUE = re.compile(r""">?\s*(?:"(?P<double>(?:\\.|[^\s"\\]){6,})(?=")|'(?P<single>(?:\\.|[^\s'\\]){6,})(?=')|["']?(?P<bare>[^\s"'<>,;()]{6,}))""")
 # Names and words that go with secrets, and with look-alikes; path parts; dictionary.
 SECRET_WORDS = frozenset("password passwd passphrase pwd pass secret token apikey api_key access_key accesskey secret_key auth authorization bearer credential credentials private_key client_secret key login".split())
 PLAIN_WORDS = frozenset("sha sha1 sha256 sha512 md5 hash checksum digest commit revision rev uuid guid id etag integrity version build serial isbn order invoice tracking session_id request_id trace span example dummy placeholder sample test fake mock changeme color colour url http https image data base64".split())
@@ -49,7 +50,7 @@ DICTIONARY = frozenset(
     "the and for that this with from have not are was were been will would should could can may must about after before between under over into through during without "
     "hello world lorem ipsum dolor amet some thing other than then when what which while there their they them these those each every more most many much such only same".split()
 )
-LONGEST_WORD = max(map(len, DICTIONARY))
+_WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
 #: Score from which a finding counts as a secret.
 SECRET_FROM = 0.5
 FEATURES = (
@@ -69,22 +70,23 @@ class Finding:
 
 
 def candidates(text: str) -> list[Finding]:
-    """All candidate values of a text, in order; of overlapping ones the shaped or else the first."""
+    """All candidate values of a text, in order; overlapping ones are joined to their whole extent, of the kind that is shaped or else assigned."""
     found: list[tuple[int, int, int, str]] = []
     for m in _SHAPED.finditer(text):
-        found.append((m.start(), 0 if m.lastgroup != "long_run" else 1, m.end(), m.lastgroup))
+        found.append((m.start(), 0 if m.lastgroup != "long_run" else 2, m.end(), m.lastgroup))
     for m in _ASSIGN.finditer(text):
         name = _NAME.search(text[max(0, m.start() - 46) : m.start()])
         if name and (SECRET_WORDS & set(re.split(r"[\W_]+", name[1].lower())) or name[1].lower() in SECRET_WORDS):
             value = _VALUE.match(text, m.end())
             if value:
-                found.append((value.start(1), 2, value.end(1), "assigned"))
-    out, end = [], -1
-    for start, _, stop, kind in sorted(found):
-        if start >= end:
-            out.append(Finding(kind, start, text[start:stop], text[max(0, start - NEAR) : start], text[stop : stop + NEAR]))
-            end = stop
-    return out
+                found.append((value.start(value.lastgroup), 1, value.end(value.lastgroup), "assigned"))
+    joined: list[list] = []
+    for start, rank, stop, kind in sorted(found):
+        if joined and start < joined[-1][1]:
+            joined[-1] = [joined[-1][0], max(joined[-1][1], stop), *min(joined[-1][2:], [rank, kind])]
+        else:
+            joined.append([start, stop, rank, kind])
+    return [Finding(kind, start, text[start:stop], text[max(0, start - NEAR) : start], text[stop : stop + NEAR]) for start, stop, _, kind in joined]
 
 
 def _classes(value: str) -> str:
@@ -93,17 +95,9 @@ def _classes(value: str) -> str:
 
 def _coverage(value: str) -> float:
     """Share of the letters that dictionary words of three letters or more cover, longest first."""
-    low, at, covered = value.lower(), 0, 0
+    low = value.lower()
     letters = sum(map(str.isalpha, low))
-    while at < len(low):
-        for n in range(min(LONGEST_WORD, len(low) - at), 2, -1):
-            if low[at : at + n] in DICTIONARY:
-                covered += n
-                at += n
-                break
-        else:
-            at += 1
-    return covered / letters if letters else 0.0
+    return sum(map(len, _WORDS.findall(low))) / letters if letters else 0.0
 
 
 _PAIRS = frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
@@ -111,7 +105,7 @@ _PAIRS = frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
 
 def describe(f: Finding, path: str | None) -> list[float]:
     """The values of ``FEATURES``."""
-    v = f.value[:4096]
+    v = f.value
     kinds, n = _classes(v), len(v)
     counts = [v.count(c) for c in set(v)]
     letters = re.findall("[a-z]{2,}", v.lower())

@@ -305,6 +305,18 @@ def test_secrets(spark, odd, none):
     assert secret_forest.find_secrets(odd.drop("source"), forest).filter("is_secret").count() == 0
 
 
+def test_secrets_are_replaced_whole(spark):
+    forest = secret_forest.train_forest()
+    long, slack = "Zk3vQ9xT7mB2" * 40, "xoxb-" + "1a2B3c4D5e" * 40
+    values = ["AbCdEfGhIj0123456789Kl~mno.pQr", f"{long}~tail", "aB3$kL9,x;Q(7z)Wm4", f"{slack}~tail"]
+    texts = [f'client_secret="{v}" end' for v in values]
+    assert [[f.value for f in secret_forest.candidates(t)] for t in texts] == [[v] for v in values]
+    clean = [r["text"] for r in secret_forest.redact_secrets(frame(spark, texts), forest).orderBy("doc_id").collect()]
+    assert clean == ['client_secret="[assigned]" end'] * 3 + ['client_secret="[slack_token]" end']
+    f, other = (secret_forest.Finding("long_run", 0, "Ab1" * 2000 + tail, "", "") for tail in ("", "-" * 3000))
+    assert secret_forest.describe(f, None) != secret_forest.describe(other, None)
+
+
 PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header>Top</header><nav><a href=x>One</a></nav><div class="sidebar">Side, side, side, side, side, side</div>
 <div id="content"><h2>Head</h2><p>One, two, three and   some more words to&nbsp;make it long.<p>Second &lt;b&gt; para &amp; more, <a href=y>here</a> we go <b>again<br>and again</div>
 <div class="comments"><p>Reader says, lots of, things, that are long enough to score, indeed, yes</p></div><form><p>form text, long, long</p></form><footer>&copy; us</footer></body></html>"""
