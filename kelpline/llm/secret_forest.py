@@ -30,13 +30,18 @@ SHAPES = {
     "json_web_token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}",
     "live_key": r"(?<![A-Za-z0-9])[srp]k_(?:live|test)_[A-Za-z0-9]{16,}",
     "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35,}",
-    "long_run": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}",
 }
 _SHAPED = re.compile("|".join(f"(?P<{k}>{v})" for k, v in SHAPES.items()), re.S)
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
 _ASSIGN = re.compile(r"[=:]")
 _NAME = re.compile(r"([A-Za-z][\w.-]{1,40})[\"']?\s{0,3}:?$")
 #: A value, to its closing quote where it has one and no blanks; else to a blank, quote, comma or bracket.
-_VALUE = re.compile(r""">?\s*(?:"(?P<double>(?:\\.|[^\s"\\]){6,})(?=")|'(?P<single>(?:\\.|[^\s'\\]){6,})(?=')|["']?(?P<bare>[^\s"'<>,;()]{6,}))""")
+_VALUE = re.compile(r""">?\s*(?:(?i:bearer|basic|token)[^\S\n]+)?(?:"(?P<double>(?:\\.|[^\s"\\]){6,})(?=")|'(?P<single>(?:\\.|[^\s'\\]){6,})(?=')|["']?(?P<bare>[^\s"'<>,;()]{6,}))""")
+#: Values that no sign assigns: passwords and tokens of URLs, bearer values with a digit, texts of elements.
+_USER_INFO = re.compile(r"://(?:[^\s/:@\"'<>]*:)?([^\s/\"'<>]{6,})@(?=[^\s@])")
+_BEARER = re.compile(r"(?<![A-Za-z])bearer[^\S\n]+(?=[^\s\d]*\d)([\w.~+/-]{6,}=*)", re.I)
+_ELEMENT = re.compile(r"<([A-Za-z][\w.:-]*)(?:\s[^<>]*)?>\s*([^\s<>]{6,})\s*</")
+_HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 # Names and words that go with secrets, and with look-alikes; path parts; dictionary.
 SECRET_WORDS = frozenset("password passwd passphrase pwd pass secret token apikey api_key access_key accesskey secret_key auth authorization bearer credential credentials private_key client_secret key login".split())
 PLAIN_WORDS = frozenset("sha sha1 sha256 sha512 md5 hash checksum digest commit revision rev uuid guid id etag integrity version build serial isbn order invoice tracking session_id request_id trace span example dummy placeholder sample test fake mock changeme color colour url http https image data base64".split())
@@ -69,24 +74,76 @@ class Finding:
     after: str
 
 
-def candidates(text: str) -> list[Finding]:
-    """All candidate values of a text, in order; overlapping ones are joined to their whole extent, of the kind that is shaped or else assigned."""
-    found: list[tuple[int, int, int, str]] = []
-    for m in _SHAPED.finditer(text):
-        found.append((m.start(), 0 if m.lastgroup != "long_run" else 2, m.end(), m.lastgroup))
+def _names_secret(name: str) -> bool:
+    """Whether a word for secrets is a name's part between signs or humps, ends such a part or, from five letters on, is inside one."""
+    low = name.lower()
+    parts = {*re.split(r"[\W_]+", low), *(p.lower() for p in _HUMPS.findall(name)), low}
+    return bool(SECRET_WORDS & parts) or any(p.endswith(w) or (len(w) > 4 and w in p) for p in parts for w in SECRET_WORDS)
+
+
+def _values(text: str) -> list[tuple[int, int, str]]:
+    """(start, stop, text before) of values that go with a name; what no sign assigns is described as if one did."""
+    found = []
     for m in _ASSIGN.finditer(text):
         name = _NAME.search(text[max(0, m.start() - 46) : m.start()])
-        if name and (SECRET_WORDS & set(re.split(r"[\W_]+", name[1].lower())) or name[1].lower() in SECRET_WORDS):
+        if name and _names_secret(name[1]):
             value = _VALUE.match(text, m.end())
             if value:
-                found.append((value.start(value.lastgroup), 1, value.end(value.lastgroup), "assigned"))
+                start, stop = value.span(value.lastgroup)
+                found.append((start, stop, text[max(0, start - NEAR) : start]))
+    if "://" in text:
+        found += [(m.start(1), m.end(1), f"{text[max(0, m.start() - NEAR) : m.start()].rpartition(' ')[0]} password:") for m in _USER_INFO.finditer(text)]
+    found += [(m.start(1), m.end(1), f"{text[max(0, m.start() - NEAR) : m.start()]}bearer: ") for m in _BEARER.finditer(text)]
+    if "</" in text:
+        found += [(m.start(2), m.end(2), f"{text[max(0, m.start() - NEAR) : m.start()]} {m[1]}:") for m in _ELEMENT.finditer(text) if _names_secret(m[1])]
+    return found
+
+
+def candidates(text: str) -> list[Finding]:
+    """All candidate values of a text, in order; overlapping ones are joined to their whole extent, of the kind that is shaped or else assigned.
+
+    Shapes are searched first, and long runs only in what is left. An assigned
+    URL is joined with nothing inside it, so it may overlap others.
+    """
+    found = [(m.start(), 0, m.end(), m.lastgroup, None) for m in _SHAPED.finditer(text)]
+    left = text
+    if found:
+        ends = [0, *(x for f in found for x in (f[0], f[2])), len(text)]
+        left = "".join("\n" * (b - a) if k % 2 else text[a:b] for k, (a, b) in enumerate(zip(ends, ends[1:], strict=False)))
+    found += [(m.start(), 2, m.end(), "long_run", None) for m in _RUN.finditer(left)]
+    urls: list[tuple] = []
+    for start, stop, before in _values(text):
+        (urls if "://" in text[start:stop] else found).append((start, 1, stop, "assigned", before))
     joined: list[list] = []
-    for start, rank, stop, kind in sorted(found):
-        if joined and start < joined[-1][1]:
-            joined[-1] = [joined[-1][0], max(joined[-1][1], stop), *min(joined[-1][2:], [rank, kind])]
+    for start, rank, stop, kind, before in sorted(found, key=lambda f: f[:3]):
+        if joined and start < joined[-1][2]:
+            last = joined[-1]
+            if start == last[0] and last[4] is None:
+                last[4] = before
+            last[1], last[3] = min((last[1], last[3]), (rank, kind))
+            last[2] = max(last[2], stop)
+        else:
+            joined.append([start, rank, stop, kind, before])
+    urls = [u for u in urls if not any(j[0] <= u[0] and u[2] <= j[2] for j in joined)]
+    near = lambda start, stop, before: (text[max(0, start - NEAR) : start] if before is None else before[-NEAR:], text[stop : stop + NEAR])
+    return [Finding(kind, start, text[start:stop], *near(start, stop, before)) for start, _, stop, kind, before in sorted([*joined, *urls], key=lambda f: tuple(f[:3]))]
+
+
+def _settled(text: str, found: list[tuple[Finding, float]]) -> list[tuple[Finding, float]]:
+    """Findings without overlaps: secrets are joined to their whole extent, and others that meet one already kept go."""
+    out: list[tuple[Finding, float]] = []
+    for f, s in sorted((x for x in found if x[1] >= SECRET_FROM), key=lambda x: x[0].start):
+        if out and f.start < (end := out[-1][0].start + len(out[-1][0].value)):
+            last, most = out[-1]
+            stop = max(end, f.start + len(f.value))
+            kind = f.kind if last.kind in ("long_run", "assigned") else last.kind
+            out[-1] = (Finding(kind, last.start, text[last.start : stop], last.before, text[stop : stop + NEAR]), max(s, most))
         else:
-            joined.append([start, stop, rank, kind])
-    return [Finding(kind, start, text[start:stop], text[max(0, start - NEAR) : start], text[stop : stop + NEAR]) for start, stop, _, kind in joined]
+            out.append((f, s))
+    for f, s in sorted((x for x in found if x[1] < SECRET_FROM), key=lambda x: (x[0].kind in ("long_run", "assigned"), x[0].start)):
+        if all(f.start >= o.start + len(o.value) or o.start >= f.start + len(f.value) for o, _ in out):
+            out.append((f, s))
+    return sorted(out, key=lambda x: x[0].start)
 
 
 def _classes(value: str) -> str:
@@ -238,11 +295,15 @@ FOUND = "doc_id long, start long, length long, kind string, value_sha256 string,
 
 
 def _scored(texts: list[str | None], paths: list[str | None], forest: Forest) -> Iterator[tuple[int, Finding, float]]:
-    """(row, finding, score) of all candidates."""
+    """(row, finding, score) of all candidates, overlaps settled."""
     found = [(k, f, describe(f, paths[k])) for k, t in enumerate(texts) if t for f in candidates(t)]
     if found:
         scores = forest.predict(np.array([d for *_, d in found], np.float32))
-        yield from ((k, f, float(s)) for (k, f, _), s in zip(found, scores, strict=True))
+        rows: dict[int, list[tuple[Finding, float]]] = {}
+        for (k, f, _), s in zip(found, scores, strict=True):
+            rows.setdefault(k, []).append((f, float(s)))
+        for k, own in rows.items():
+            yield from ((k, f, s) for f, s in _settled(texts[k], own))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
