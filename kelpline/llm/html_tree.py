@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 # Fixed values of HTML and of common page markup.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math canvas object audio video select datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+#: Elements whose content is no markup: it goes up to their closing tag, or to the end of the page as in browsers.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements whose content isn't main text. They are parsed, and left out if they are closed; what follows an unclosed one stays. FOREIGN ones and those inside them may close themselves.
+HIDDEN = frozenset("noscript template svg canvas object audio video select datalist annotation annotation-xml".split())
+FOREIGN = frozenset("svg math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split()) | HIDDEN
 BOILER_TAGS = frozenset("nav header footer aside form fieldset button menu dialog head".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 BOILER_WORDS = frozenset(
@@ -101,6 +105,7 @@ def parse(source: str) -> Node:
         if m[1] or m[4]:
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k].tag == tag:
+                    opened[k].boiler |= tag in HIDDEN
                     del opened[k:]
                     break
                 if opened[k].tag in ("article", "section", "div", "main", "body", "table") and tag in INLINE | {"p"}:
@@ -108,8 +113,12 @@ def parse(source: str) -> Node:
             top = opened[-1] if opened else root
             continue
         attributes = m[3] or m[6] or ""
+        if attributes.endswith("/") and (tag in FOREIGN or any(x.tag in FOREIGN for x in opened)):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+            if tag == "xmp":  # shown as it stands
+                top.kids.append(html.escape(f" {source[at : end.start() if end else n]} "))
             at = end.end() if end else n
             continue
         if tag in ("br", "hr", "wbr"):
@@ -121,7 +130,7 @@ def parse(source: str) -> Node:
                 if opened[k].tag == "p":
                     del opened[k:]
                     break
-                if opened[k].tag not in INLINE:
+                if opened[k].tag not in INLINE or opened[k].tag in HIDDEN:
                     break
         if tag in CLOSES_SAME:
             for k in range(len(opened) - 1, -1, -1):
@@ -131,7 +140,7 @@ def parse(source: str) -> Node:
                 if opened[k].tag in SCOPES[tag]:
                     break
         top = opened[-1] if opened else root
-        if tag in INLINE and tag != "a" and not attributes:
+        if tag in INLINE and tag not in ("a", *HIDDEN, *FOREIGN) and not attributes:
             continue  # such elements change neither blocks nor links
         node = Node(tag, top, _is_boiler(tag, attributes, any(x.tag in ("article", "main") for x in opened)))
         top.kids.append(node)

@@ -345,6 +345,21 @@ def test_html():
     assert main_text("<div>" * 3000 + "<p>deep, deep text that is long enough to count</p>") == "deep, deep text that is long enough to count"
 
 
+@pytest.mark.parametrize("tag", ["svg", "math", "canvas", "object", "audio", "video", "select", "noscript"])
+def test_html_keeps_what_follows_media(tag):
+    page = "<html><body><nav>Menu</nav><article><p>First, long text that counts as a paragraph.</p>{}<p>Next, long text that counts as one too.</p></article><footer>End</footer></body></html>"
+    both = "First, long text that counts as a paragraph. Next, long text that counts as one too."
+    assert main_text(page.format(f'<{tag} class="x">')) == both
+    if tag in ("svg", "math"):
+        assert main_text(page.format(f'<{tag} class="x" /><p>mid<{tag}/>dle</p>')) == both.replace(" Next", " middle Next")
+    closed = main_text(page.format(f'<{tag} class="x"><style>p</style><p>inside</p></{tag}>'))
+    assert closed == (both.replace(" Next", " inside Next") if tag == "math" else both)
+
+
+def test_html_text_of_math():
+    assert main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math>, stop.</p><p>a<svg><style/><g><path d='M0'/></g><text>t</text></svg>b</p></article>") == "If x=2, stop. ab"
+
+
 def test_html_pages(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     got = {r["page_id"]: r for r in extract_pages(pages.union(pages.limit(1)).withColumn("text", F.lit("clash"))).collect()}
