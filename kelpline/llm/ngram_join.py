@@ -12,7 +12,8 @@ Equal sets are collapsed first. The sets that share a signature are compared
 with one of them, components of what links are found, and only signatures whose
 sets are still in several components are compared pair by pair across these, and
 only where the sets' sizes and parities allow similarity. Every link between
-different sets either is verified or joins sets already connected.
+different sets either is verified or joins sets already connected. Where links
+are counted, all pairs inside a component are compared, by blocks of sets.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ PARITY_LONGS = 16
 #: The same of sets of at least so many grams, for pairs that the others leave open: in long sets few parities say nothing.
 LONG_SET, LONG_PARITY_LONGS = 1500, 128
 
+#: About so many sets of a component are in a block; grams in whose columns two blocks are multiplied at once.
+LINK_BLOCK, LINK_COLUMNS = 256, 16_384
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
@@ -232,12 +236,76 @@ def _links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> Da
     return written(both.mapInArrow(lambda it: _verified(it, n, num, den), "a long, b long"), "links")
 
 
+def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Grams that each set of ``x`` shares with each of ``y``."""
+    both = np.zeros((len(x), len(y)), np.int64)
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    cells = []
+    for sets in (x, y):
+        row, grams = np.repeat(np.arange(len(sets)), [len(g) for g in sets]), np.concatenate(sets)
+        col = np.minimum(np.searchsorted(common, grams), max(0, len(common) - 1))
+        shared = common[col] == grams if len(common) else np.zeros(len(grams), bool)
+        order = np.argsort(col[shared], kind="stable")
+        cells.append((row[shared][order], col[shared][order]))
+    for at in range(0, len(common), LINK_COLUMNS):
+        parts = []
+        for (row, col), sets in zip(cells, (x, y), strict=True):
+            lo, hi = np.searchsorted(col, (at, at + LINK_COLUMNS))
+            part = np.zeros((len(sets), min(LINK_COLUMNS, len(common) - at)), np.float32)
+            part[row[lo:hi], col[lo:hi] - at] = 1
+            parts.append(part)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    return both
+
+
+def _linked(group: pa.Table, n: int, num: int, den: int) -> pa.Table:
+    """node, links: the documents of all sets in the other block (or of the others in the same) that are similar to each set."""
+    node, copies, block = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
+    sets = [_unzipped_set(d.as_py(), n) for d in group.column("data")]
+    first = np.flatnonzero(block == block.min())
+    second = np.flatnonzero(block != block.min()) if group.column("lo")[0] != group.column("hi")[0] else first
+    if not len(second):
+        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    both = _overlaps([sets[k] for k in first], [sets[k] for k in second])
+    size = np.array([len(g) for g in sets])
+    near = both * den >= (size[first][:, None] + size[second][None, :] - both) * num
+    if second is first:
+        np.fill_diagonal(near, False)
+        return pa.table({"node": node[first], "links": near @ copies[first]})
+    return pa.table({"node": np.concatenate([node[first], node[second]]), "links": np.concatenate([near @ copies[second], copies[first] @ near])})
+
+
+def _link_counts(members: DataFrame, reps: DataFrame, labels: DataFrame, held_texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """key, n_links for every set with grams: the other documents that are similar to one with this set.
+
+    All links are inside components (``labels``: node, comp), so each block of
+    a component's sets meets each other block once, and only counts come out.
+    """
+    copies = members.filter("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
+    classes = written(copies.join(reps.select("key", "node"), "key"), "copies")
+    nodes = labels.join(classes, "node").select("node", "comp", "copies")
+    large = labels.groupBy("comp").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    nodes = nodes.join(F.broadcast(large), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # at most a row a LINK_BLOCK sets
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(held_texts.dropDuplicates(["node"]), "node")
+    dealt = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", "comp", "copies", "block", "data", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = dealt.groupBy("comp", "lo", "hi").applyInArrow(lambda group: _linked(group, n, num, den), "node long, links long")
+    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
+    return classes.join(linked, "node", "left").select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
 def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with set size and set key, one row a distinct set, links between distinct sets).
 
     The links connect exactly the sets that similarity (intersection times
-    ``den`` at least union times ``num``) connects; they aren't all similar pairs.
+    ``den`` at least union times ``num``) connects; they aren't all similar
+    pairs. :func:`ngram_join` with ``count_links`` counts all of these.
     """
+    return _class_links(docs, n, num, den)[:3]
+
+
+def _class_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What :func:`class_links` gives, and the compressed texts of the sets that share signatures (node, data)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = written(texts.mapInArrow(lambda it: _survey(it, n), DOC_AND_COUNT), "survey")
     members = survey.filter("key is not null").select("doc_id", "n", "key")
@@ -269,20 +337,29 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
     pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_may_be_near(num, den))
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
-    return members, reps, links.union(_links(held_texts, _candidates(pairs, reps, num, den), n, num, den))
+    return members, reps, links.union(_links(held_texts, _candidates(pairs, reps, num, den), n, num, den)), held_texts
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, count_links: bool = False) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least id that similarity leads to, its own included).
 
     Documents without words, or with a null text, link with nothing; repeated
     rows and equal sets are one class; null ids get the component of their
     class; other columns are ignored; an empty table gives no rows.
+
+    With ``count_links`` also n_links, the number of other rows that are similar
+    to the document, all pairs counted; of a class in which no row has an id,
+    only its own rows count. It takes time with the square of a component.
     """
-    members, reps, links = class_links(docs, n, num, den)
-    labels = reps.join(components(links), "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    members, reps, links, held_texts = _class_links(docs, n, num, den)
+    connected = components(links)
+    labels = reps.join(connected, "node", "left").select("key", "doc_id", F.coalesce("comp", "node").alias("comp"))
     labels = written(labels, "labels")
     least = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_key = written(labels.join(least, "comp").select("key", "component_id"), "classes")
+    of_key = labels.join(least, "comp").select("key", "component_id")
+    if count_links:
+        of_key = of_key.join(_link_counts(members, reps, connected, held_texts, n, num, den), "key")
+    of_key = written(of_key, "classes")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return members.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return members.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *counted)

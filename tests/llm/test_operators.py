@@ -205,6 +205,27 @@ def test_ngram_join_of_near_copies_with_frequent_grams(spark, monkeypatch, long_
     assert got == brute_groups(list(enumerate(texts)), 3, 90, 100)
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_ngram_join_counts_all_links(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    rng = np.random.default_rng(8)
+    texts = [None, "", "a b c d", "a b c d"]
+    for k in range(60):
+        own = [f"w{i}" for i in range(150)]
+        for at in rng.choice(150, int(rng.integers(0, 4)), replace=False):
+            own[at] = f"x{rng.integers(0, 1 << 30)}"
+        texts += [" ".join(own)] * (1 + (k % 10 == 0))
+    made = frame(spark, texts)
+    for table in (made, docs.union(docs.limit(2))):
+        rows = [(r["doc_id"], r["text"]) for r in table.collect()]
+        words = [re.findall("[^\x20\x09-\x0d]+", lower(t or "")) for _, t in rows]
+        sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set() for w in words]
+        links = [sum(j != i and bool(a) and 100 * len(a & b) >= 90 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+        want = sorted((*g, k) for g, k in zip(brute_groups(rows, 3, 90, 100), links, strict=True))
+        got = sorted(map(tuple, ngram_join.ngram_join(table, 3, 90, 100, count_links=True).collect()))
+        assert got == want and max(links) > 1
+
+
 def test_signatures_are_shared_by_similar_sets():
     rng = np.random.default_rng(2)
     universe = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
