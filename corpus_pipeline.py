@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.best_two_fit import pack_documents
@@ -24,21 +24,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 of their five-word shingles, the one with the least id.
 
-    Rows that repeat both id and text count once; rows without id stay.
+    Rows that repeat both id and text count once. Rows are told apart by id and
+    text together: one without id stays only where no similar one has an id.
     """
-    groups = ngram_join(docs, n=5, num=80, den=100)
-    others = written(groups.filter("component_id != doc_id").select("doc_id").distinct(), "others")
-    left = docs.join(others, "doc_id", "left_anti")
-    same = Window.partitionBy("doc_id", "_hash").orderBy("n_chars")
-    first = left.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.row_number().over(same))
-    return first.filter("_row = 1 or doc_id is null").select(*docs.columns)
+    order = ["n_chars", *(c for c in docs.columns if c != "n_chars")]
+    one = docs.groupBy(F.xxhash64("doc_id", "text").alias("_key")).agg(F.min(F.struct(*order)).alias("_row"))
+    rows = written(one.select("_key", *(F.col(f"_row.{c}") for c in docs.columns)), "rows")
+    groups = ngram_join(rows.select(F.col("_key").alias("doc_id"), "text"), n=5, num=80, den=100)
+    group_of = rows.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("_id")).join(groups.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
+    least = written(group_of.groupBy("component_id").agg(F.min("_id")["_key"].alias("_key")).select("_key"), "least")
+    return rows.join(least, "_key", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = written(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without any passage of the benchmark; each text is judged by itself, whatever its row's id."""
+    key = F.xxhash64("text")
+    found = find_contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = written(found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.withColumn("_key", key).join(hit, "_key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

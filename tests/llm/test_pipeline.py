@@ -34,6 +34,17 @@ def test_stages(spark, data, docs):
     assert sorted({r["doc_id"] for r in packed.collect()}) == ids(masked)
 
 
+def test_verdicts_go_with_the_text(spark, data, docs):
+    bad = next(r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 12)
+    one, two = (" ".join(f"{c}{k}" for k in range(40)) for c in "xy")
+    rows = [(1, bad), (1, one), (None, bad), (None, two), (2, one), (None, one), (None, two), (3, two), (4, "z " + one), (5, None), (None, "")]
+    made = spark.createDataFrame([tuple({"doc_id": i, "text": t, "n_chars": len(t or "")}.get(c) for c in docs.columns) for i, t in rows], docs.schema)
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    clean = corpus_pipeline.decontaminate(spark, made, data)
+    assert left(clean) == sorted((r for r in rows if r[1] != bad), key=str)
+    assert left(corpus_pipeline.near_duplicates(spark, made, data)) == sorted([(1, bad), (1, one), (3, two), (5, None), (None, "")], key=str)
+
+
 def test_run_of_empty_documents(spark, data, docs, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{data}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
