@@ -6,7 +6,8 @@ bytes. Medians are found for all nodes of a level together, by distributed
 histograms that narrow down on the cut; the driver sees only bounded counts.
 Equal values are cut by a hash of the text and then by id, so a value that a
 third of the rows share is split exactly, and copies stay together but for the
-one group that a cut meets.
+one group that a cut meets. This holds for dimensions that copies have in
+common, as the default ones; doc_id only breaks ties.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _find_cuts(rows: DataFrame, dim_of: dict[int, int], half: dict[int, float])
     return found
 
 
-def kd_leaves(docs: DataFrame, leaves: int = 16, dims: Sequence[str] = ("n_chars", "lang", "source", "doc_id")) -> DataFrame:
+def kd_leaves(docs: DataFrame, leaves: int = 16, dims: Sequence[str] = ("n_chars", "lang")) -> DataFrame:
     """``docs`` reduced to id, size and text_crc32 with their leaf of a tree of ``leaves`` (a power of two).
 
     size: the text's UTF-8 bytes plus one (null: one). Null metadata counts as
@@ -142,7 +143,7 @@ def kd_leaves(docs: DataFrame, leaves: int = 16, dims: Sequence[str] = ("n_chars
     return rows.select("doc_id", F.col("weight").alias("size"), "text_crc32", "key_text", (F.col("node") - leaves).cast("int").alias("shard"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, dims: Sequence[str] = ("n_chars", "lang", "source", "doc_id")) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, dims: Sequence[str] = ("n_chars", "lang")) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``bytes``: the shards' sizes differ by about a document. Slots

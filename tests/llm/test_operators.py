@@ -112,6 +112,12 @@ def test_shards_cut_a_value_that_all_rows_share(spark):
     assert kd_shards.shard_documents(df, shards=8).groupBy("shard").count().agg(F.max("count"), F.min("count")).first()[:] == (50, 50)
 
 
+def test_shards_keep_copies_together(spark):
+    rows = [(k * 7919 % 800, f"{k % 200:05d} " * (5 + k % 200), "en" if k % 200 % 3 else "de", f"s{k % 7}", 6 * (5 + k % 200)) for k in range(800)]
+    got = kd_shards.shard_documents(spark.createDataFrame(rows, DOCS), shards=8)
+    assert got.groupBy("text_crc32").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() <= 7
+
+
 def test_decontamination(spark, data, docs, odd, none):
     benchmark = spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(900, None), (901, ""), (902, "quick brown fox"), (None, "lost"), (902, "lazy dog"), (903, "日本語の文章" * 60)], "item_id long, text string"))
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
