@@ -61,7 +61,7 @@ def clean_listings(meta: DataFrame, aliases: DataFrame) -> DataFrame:
         F.nullif(F.array_join("categories", " > "), F.lit("")).alias("category_path"), _detail("Best Sellers Rank").alias("best_sellers_rank"),
     )
     rows = base_models(rows).withColumn("core_model", F.when(F.col("product_type") != "accessory/part", core_model(F.col("base_model"))).otherwise(F.col("base_model")))
-    alias = F.broadcast(aliases.limit(100_000).select(F.col("alias_core").alias("core_model"), "canonical_core"))
+    alias = aliases.select(F.col("alias_core").alias("core_model"), "canonical_core")
     rows = rows.join(alias, "core_model", "left").withColumn("core_alias_applied", F.col("canonical_core").isNotNull()).withColumn("core_model", F.coalesce("canonical_core", "core_model")).drop("canonical_core")
     self_empty = F.coalesce(F.col("base_model").rlike("AE$"), F.lit(False)) | F.coalesce(F.col("title").rlike("(?i)self[- ]empty|auto[- ]empty"), F.lit(False))
     counts = rows.filter("title is not null").groupBy("title").agg(F.count(F.lit(1)).alias("dup_title_count"))
