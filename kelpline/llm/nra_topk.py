@@ -6,8 +6,8 @@ own component is positive and from the low end where it is negative, all lists
 to the same depth. What it has read gives bounds of every vector's score: a
 component read counts itself; one not yet read lies between the end of the list
 and the value at the reading depth. Vectors whose upper bound is below the k-th
-best lower bound can't qualify; lists are read deeper until few are left, whose
-scores are then resolved in full. The bounds of a block of queries are two
+best lower bound can't qualify; lists are read deeper until so few are left as
+could qualify by ties, or to their ends, and only those are resolved. The bounds of a block of queries are two
 matrix products, as max(v, depth value) and v-if-read stand for the lists.
 
 Queries are a stated set, all of which meet all blocks: packed query blocks are
@@ -31,8 +31,8 @@ BLOCK, QUERY_BLOCK = 4096, 1024
 BLOCKS_A_GROUP = 4
 #: Queries whose bounds are held at once.
 AT_ONCE = 64
-#: Shares of a list that are read in turn before what is left is resolved.
-DEPTHS = (0.125, 0.375)
+#: Lists are read by this share more at a time.
+DEEPER = 0.125
 PACKED = "n int, ids binary, vectors binary"
 FOUND = "query_id long, vec_id long, score long"
 
@@ -70,6 +70,37 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int, scale: int) -> Iterator[
         yield from flush()
 
 
+class Lists:
+    """A block's sorted lists, and the parts of bounds that all queries share, by depth."""
+
+    def __init__(self, v: np.ndarray, kind: type):
+        self.v, self.kind, self.lists = v, kind, np.sort(v, axis=0)
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        if depth not in self.known:
+            v, lists = self.v, self.lists
+            low, high = lists[depth - 1], lists[len(v) - depth]
+            upper = np.concatenate([np.maximum(v, high), np.minimum(v, low)], axis=1)
+            lower = np.concatenate([np.where(v >= high, v, lists[0]), np.where(v <= low, v, lists[-1])], axis=1)
+            self.known[depth] = upper.astype(self.kind).T, lower.astype(self.kind).T
+        return self.known[depth]
+
+    def left(self, part: np.ndarray, alive: np.ndarray, k: int, least_score: int) -> tuple[np.ndarray, int]:
+        """(vectors that may be among each query's ``k`` best, depth read). alive: those that may at the start."""
+        n, depth = len(self.v), 0
+        signed = np.concatenate([np.maximum(part, 0), np.minimum(part, 0)], axis=1).astype(self.kind)
+        while depth < n and (alive.sum(axis=1) > k).any():
+            depth = min(n, depth + max(1, int(n * DEEPER)))
+            upper, lower = self.bounds(depth)
+            cols = np.flatnonzero(alive.any(axis=0))
+            lower_of = np.where(alive[:, cols], signed @ lower[:, cols], least_score)
+            floor = np.partition(lower_of, len(cols) - k, axis=1)[:, len(cols) - k]
+            alive = alive.copy()
+            alive[:, cols] &= (signed @ upper[:, cols]) >= floor[:, None]
+        return alive, depth
+
+
 def block_top_k(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, vector ids, scores) of each query's ``k`` best in one block, ties to the smaller id."""
     largest = int(np.abs(v).max(initial=0)) * int(np.abs(q).max(initial=0)) * v.shape[1]
@@ -80,26 +111,14 @@ def block_top_k(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray
     order = np.argsort(ids, kind="stable")
     ids, v = ids[order], v[order]
     n = len(ids)
-    lists = np.sort(v, axis=0)
-    steps = []
-    if n > 4 * k:
-        for share in DEPTHS:
-            depth = max(1, int(n * share))
-            low, high = lists[depth - 1], lists[n - depth]
-            upper = np.concatenate([np.maximum(v, high), np.minimum(v, low)], axis=1)
-            lower = np.concatenate([np.where(v >= high, v, lists[0]), np.where(v <= low, v, lists[-1])], axis=1)
-            steps.append((upper.astype(kind).T, lower.astype(kind).T))
+    lists = Lists(v, kind)
     out = []
     exact = v.astype(kind)
     for at in range(0, len(q), AT_ONCE):
         part, names = q[at : at + AT_ONCE], q_ids[at : at + AT_ONCE]
-        signed = np.concatenate([np.maximum(part, 0), np.minimum(part, 0)], axis=1).astype(kind)
         alive = ids[None, :] != names[:, None]
-        for upper, lower in steps:
-            least = signed @ lower
-            least[~alive] = -largest - 1
-            floor = np.partition(least, n - k, axis=1)[:, n - k]
-            alive &= (signed @ upper) >= floor[:, None]
+        if n > 4 * k:
+            alive, _ = lists.left(part, alive, k, -largest - 1)
         for r in range(len(part)):
             left = np.flatnonzero(alive[r])
             scores = exact[left] @ part[r].astype(kind)

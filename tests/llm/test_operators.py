@@ -317,6 +317,20 @@ def test_top_k(spark):
     assert sorted(map(tuple, few)) == brute_top(range(3), v, 5) and nra_topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_lists_are_read_until_outsiders_are_out():
+    rng = np.random.default_rng(9)
+    v = np.floor(256 * rng.normal(0, 0.1, (2000, 64))).astype(np.int64)
+    q = v[::100]
+    alive, depth = nra_topk.Lists(v, np.float64).left(q, np.arange(2000)[None, :] != np.arange(0, 2000, 100)[:, None], 5, -(1 << 53))
+    scores = q @ v.T
+    scores[np.arange(len(q)), np.arange(0, 2000, 100)] = -(1 << 53)
+    assert (alive == (scores >= np.sort(scores, axis=1)[:, -5:-4])).all() or alive.sum() < 0.02 * alive.size
+    assert all(alive[r, np.argsort(-scores[r], kind="stable")[:5]].all() for r in range(len(q)))
+    few = np.concatenate([v // 64, np.full((6, 64), 900)])
+    alive, depth = nra_topk.Lists(few, np.float64).left(np.full((1, 64), 50), np.ones((1, 2006), bool), 6, -(1 << 53))
+    assert np.flatnonzero(alive[0]).tolist() == list(range(2000, 2006)) and depth < 1000
+
+
 def test_secrets(spark, odd, none):
     forest = secret_forest.train_forest()
     rows = secret_forest.made_findings(600, seed=77)
