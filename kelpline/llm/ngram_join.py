@@ -3,17 +3,19 @@
 A set's grams are ordered, rare ones first. A similar set lacks at most ``lack``
 of them, so two similar sets share a signature if each indexes a prefix whose
 signatures survive any ``lack`` losses. A rare gram is a signature by itself.
-Frequent grams are dealt by their hash into ``CLASSES`` classes and indexed as
-pairs of one class, so a prefix is extended until rare grams, plus frequent ones
-beyond the first of each class, are more than ``lack``. Sets of under ``SMALL``
-grams, too small for that, index single grams; sizes near ``SMALL`` do both.
-
-Equal sets are collapsed first. The sets that share a signature are compared
-with one of them, components of what links are found, and only signatures whose
-sets are still in several components are compared pair by pair across these, and
-only where the sets' sizes and parities allow similarity. Every link between
-different sets either is verified or joins sets already connected. Where links
-are counted, all pairs inside a component are compared, by blocks of sets.
+Frequent grams are dealt by their hash into classes and indexed as pairs of one
+class, very frequent ones as triples, so a prefix is extended until rare grams,
+pairs' grams beyond the first of a class and triples' beyond the second are more
+than ``lack``. The larger a set, the more classes; a set to which smaller ones
+with fewer classes may be similar is indexed with their number of classes too.
+
+Equal sets are collapsed first, and of signatures that the same sets share one
+is kept. The sets that share a signature are compared with one of them,
+components of what links are found, and only signatures whose sets are still in
+several components are compared pair by pair across these, and only where the
+sets' sizes and parities allow similarity. Every link between different sets
+either is verified or joins sets already connected. Where links are counted, all
+pairs inside a component are compared, by blocks of sets.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark.sql import functions as F
 from .common import worker_cache, written
 from .components import components
 
-#: Classes of frequent grams, and the set size from which pairs are indexed.
-CLASSES, SMALL = 64, 96
-#: A gram is frequent from this share of the documents on, and from this number.
-FREQUENT_SHARE, FREQUENT_LEAST = 0.001, 50
+#: Set sizes from which on frequent grams are dealt into so many classes. With five grams a class, more than ``lack`` are always left beyond the first of pairs' and the first two of triples' classes where similarity is above 3/4.
+LEVELS = ((0, 1), (40, 8), (320, 64), (2560, 512), (20480, 4096))
+#: Documents with a gram from which on it is frequent (indexed in pairs) and very frequent (in triples).
+FREQUENT, VERY_FREQUENT = 8, 256
 #: Grams counted together, and the least count in them that is reported; the most frequent grams known (a bound of what is broadcast: the rest count as rare, which costs time but no link).
-COUNTED, REPORTED, KNOWN = 2_000_000, 4, 400_000
+COUNTED, REPORTED, KNOWN = 2_000_000, 3, 400_000
 CACHE_WORDS = 250_000
 #: Longs of a set's parities: each gram flips one bit, so sets differ in at least as many grams as their parities in bits.
 PARITY_LONGS = 16
@@ -123,76 +125,96 @@ def _survey(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
     yield counts()
 
 
-def signatures(grams: np.ndarray, lack: int, frequent: np.ndarray, rank: np.ndarray, overlap: int) -> np.ndarray:
-    """Signatures of a set. frequent: sorted hashes with ``rank`` (the rarer, the less); sets of up to ``overlap`` grams index single grams."""
-    at = np.searchsorted(frequent, grams)
-    is_frequent = (at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == grams) if len(frequent) else np.zeros(len(grams), bool)
+def _places(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by class, stable; in that order each element's place among those of its class)."""
+    order = np.argsort(of, kind="stable")
+    own = of[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return order, np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+
+
+def _earlier(at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``at`` (elements sorted by class) with every earlier one of its class: (indexes into ``at``, earlier elements)."""
+    n = place[at]
+    i = np.repeat(np.arange(len(at)), n)
+    return i, at[i] - n[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _combinations(tail: np.ndarray, wide: np.ndarray, need: int, level: int, classes: int) -> list[np.ndarray]:
+    """Pairs, and triples of the ``wide`` ones, of each class in the shortest start of ``tail`` in which more than ``need`` losses are needed to break them all."""
+    of = (tail % np.uint64(classes)).astype(np.int64) + classes * wide
+    order, place = _places(of)
+    counts = np.zeros(len(tail), bool)
+    counts[order] = place > wide[order]
+    end = int(np.searchsorted(np.cumsum(counts), need + 1)) + 1
+    order = order[order < end]  # places don't change: later ones of a class stand behind
+    place = _places(of[order])[1]
+    own, is_wide = tail[order], wide[order]
+    at = np.arange(len(own))
+    i, j = _earlier(at, place)
+    two = ~is_wide[i]
+    out = [_mix(own[j[two]] * _M1 + own[i[two]] * _M2 + np.uint64(16 + level))]
+    i, j = i[~two], j[~two]
+    k, h = _earlier(j, place)
+    out.append(_mix(own[h] * _M1 + own[j[k]] * _M2 + own[i[k]] * _M3 + np.uint64(32 + level)))
+    return out
+
+
+def _level(n: int) -> int:
+    return sum(n >= least for least, _ in LEVELS) - 1
+
+
+def signatures(grams: np.ndarray, num: int, den: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Signatures of a set. frequent: sorted hashes with ``rank`` (the number of documents; rarer ones come first)."""
+    n = len(grams)
+    lack = n - -(-num * n // den)
+    use = 4 * num > 3 * den and len(frequent) > 0  # for less, classes may hold too few
+    for part in (grams[: 2 * (lack + 1)], grams):  # mostly the start of the rare ones is enough
+        at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1) if use else None
+        is_frequent = frequent[at] == part if use else np.zeros(len(part), bool)
+        rare = part[~is_frequent]
+        if len(rare) > lack:
+            return np.unique(_mix(rare[: lack + 1] + np.uint64(1)))
     often = np.flatnonzero(is_frequent)
-    often = often[np.argsort(rank[at[often]], kind="stable")] if len(often) else often
-    ordered = np.concatenate([grams[~is_frequent], grams[often]])
-    n_rare = len(grams) - len(often)
-    out = []
-    if len(grams) <= overlap:
-        out.append(_mix(ordered[: lack + 1] + np.uint64(1)))
-    if len(grams) >= SMALL:
-        if n_rare > lack:
-            out.append(_mix(ordered[: lack + 1] + np.uint64(2)))
-        else:
-            tail = ordered[n_rare:]
-            of = (tail % np.uint64(CLASSES)).astype(np.int64)
-            seen = np.zeros(CLASSES, bool)
-            survive, end = n_rare, 0
-            for c in of.tolist():
-                end += 1
-                survive += bool(seen[c])
-                seen[c] = True
-                if survive > lack:
-                    break
-            out.append(_mix(ordered[:n_rare] + np.uint64(2)))
-            for c in np.flatnonzero(seen):
-                own = tail[:end][of[:end] == c]
-                i, j = np.triu_indices(len(own), 1)
-                out.append(_mix(own[i] * _M1 + own[j] * _M2 + np.uint64(3)))
-    return np.unique(np.concatenate([*out, np.zeros(0, np.uint64)]))
+    often = often[np.argsort(rank[at[often]], kind="stable")]
+    tail, wide = grams[often], rank[at[often]] >= VERY_FREQUENT
+    out = [_mix(rare + np.uint64(1))]
+    for level in range(_level(n - lack), _level(n) + 1):
+        out += _combinations(tail, wide, lack - len(rare), level, LEVELS[level][1])
+    return np.unique(np.concatenate(out))
 
 
 def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    overlap = -(-SMALL * den // num) + 1
     for batch in batches:
         rows: dict[bytes, tuple] = {}
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             grams = gram_set(text.as_py(), n)
             key = _key(grams)
             if key in rows:
                 old = rows[key]
-                rows[key] = (min((x for x in (doc, old[0]) if x is not None), default=None), *old[1:])
+                if doc is not None and (old[0] is None or doc < old[0]):
+                    rows[key] = (doc, row, *old[2:])
             elif len(grams):
-                lack = len(grams) - -(-num * len(grams) // den)
-                rows[key] = (doc, len(grams), signatures(grams, lack, frequent, rank, overlap).view(np.int64), parities(grams), parities(grams, LONG_PARITY_LONGS) if len(grams) >= LONG_SET else [])
-        cols = list(zip(*rows.values(), strict=True)) or [(), (), (), (), ()]
-        kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "n", "sigs", "bits", "long_bits"])
+                rows[key] = (doc, row, len(grams), signatures(grams, num, den, frequent, rank).view(np.int64), parities(grams), parities(grams, LONG_PARITY_LONGS) if len(grams) >= LONG_SET else [])
+        cols = list(zip(*rows.values(), strict=True)) or [()] * 6
+        kinds = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3)
+        yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "row", "n", "sigs", "bits", "long_bits"])
 
 
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed bytes, for what is shuffled."""
+    """Texts as compressed bytes, for what is shuffled; of a task's repeated rows one stays."""
     pack = zstandard.ZstdCompressor(level=1).compress
+    seen: set[int] = set()
     for batch in batches:
-        data = [pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["doc_id", "data"])
+        rows = [(r, t) for r, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if r not in seen and not seen.add(r)]
+        data = [pack((t.as_py() or "").encode("utf-8", "surrogatepass")) for _, t in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array(data, pa.binary())], ["row", "data"])
 
 
 def _unzipped_set(data: bytes, n: int) -> np.ndarray:
     return gram_set(zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass"), n)
 
 
-def _own_texts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the wanted key: a repeated id may have other texts."""
-    for batch in batches:
-        same = [_key(_unzipped_set(data.as_py(), n)) == key.as_py() for key, data in zip(batch.column(1), batch.column(2), strict=True)]
-        yield batch.filter(pa.array(same, pa.bool_())).select(["node", "data"])
-
-
 def _verified(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets are similar. Neighbouring rows share their first text, whose set is kept."""
     last, x = None, None
@@ -215,19 +237,23 @@ def _near_size(a: Column, b: Column, num: int, den: int) -> Column:
 
 def _may_be_near(num: int, den: int) -> Column:
     """Whether sizes and parities of sets x and y leave it open that they are similar."""
+    most = (F.col("n_x") + F.col("n_y")) * (den - num)
     differ = sum((F.bit_count(F.col("bits_x")[k].bitwiseXOR(F.col("bits_y")[k])) for k in range(PARITY_LONGS)), F.lit(0))
-    return _near_size(F.col("n_x"), F.col("n_y"), num, den) & (differ * (den + num) <= (F.col("n_x") + F.col("n_y")) * (den - num))
+    long_differ = F.aggregate(F.zip_with("long_bits_x", "long_bits_y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    both_long = (F.size("long_bits_x") > 0) & (F.size("long_bits_y") > 0)
+    return _near_size(F.col("n_x"), F.col("n_y"), num, den) & (differ * (den + num) <= most) & (~both_long | (long_differ * (den + num) <= most))
 
 
 def _candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) that sizes and parities leave open."""
-    x, y = (reps.select(F.col("node").alias(k), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for k, s in (("a", "x"), ("b", "y")))
-    open_pairs = pairs.join(y, "b").join(x, "a").filter(_may_be_near(num, den)).select("a", "b", "n_x", "n_y")
-    long = reps.filter(F.size("long_bits") > 0)
-    x, y = (long.select(F.col("node").alias(k), F.col("long_bits").alias(f"long_{k}")) for k in "ab")
-    differ = F.aggregate(F.zip_with("long_a", "long_b", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
-    apart = differ * (den + num) > (F.col("n_x") + F.col("n_y")) * (den - num)
-    return open_pairs.join(y, "b", "left").join(x, "a", "left").filter(~F.coalesce(apart, F.lit(False))).select("a", "b")
+    x, y = (reps.select(F.col("node").alias(k), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "bits", "long_bits"))) for k, s in (("a", "x"), ("b", "y")))
+    return pairs.join(y, "b").join(x, "a").filter(_may_be_near(num, den)).select("a", "b")
+
+
+def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, data: the compressed text of each of ``nodes`` (node, row), one row each."""
+    found = rows.mapInArrow(_zipped, "row long, data binary").join(nodes, "row")
+    return written(found.groupBy("row", "node").agg(F.first("data").alias("data")).select("node", "data"), "texts", "none")
 
 
 def _links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -286,7 +312,7 @@ def _link_counts(members: DataFrame, reps: DataFrame, labels: DataFrame, held_te
     nodes = labels.join(classes, "node").select("node", "comp", "copies")
     large = labels.groupBy("comp").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     nodes = nodes.join(F.broadcast(large), "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # at most a row a LINK_BLOCK sets
-    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(held_texts.dropDuplicates(["node"]), "node")
+    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(held_texts, "node")
     dealt = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "comp", "copies", "block", "data", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     found = dealt.groupBy("comp", "lo", "hi").applyInArrow(lambda group: _linked(group, n, num, den), "node long, links long")
@@ -306,38 +332,40 @@ def class_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> t
 
 def _class_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What :func:`class_links` gives, and the compressed texts of the sets that share signatures (node, data)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = written(texts.mapInArrow(lambda it: _survey(it, n), DOC_AND_COUNT), "survey")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    survey = written(texts.select("doc_id", "text").mapInArrow(lambda it: _survey(it, n), DOC_AND_COUNT), "survey")
     members = survey.filter("key is not null").select("doc_id", "n", "key")
-    least = max(FREQUENT_LEAST, int(members.count() * FREQUENT_SHARE))
-    often = survey.filter("key is null").groupBy("gram").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= least)
+    often = survey.filter("key is null").groupBy("gram").agg(F.sum("n_docs").alias("n_docs")).filter(F.col("n_docs") >= FREQUENT)
     known = often.orderBy(F.col("n_docs").desc(), "gram").limit(KNOWN).toPandas()
     grams = known["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(grams)
     held = docs.sparkSession.sparkContext.broadcast((grams[order], known["n_docs"].to_numpy(np.int64)[order]))  # at most KNOWN grams
-    found = texts.mapInArrow(lambda it: _index(it, n, num, den, *held.value), "key binary, doc_id long, n long, sigs array<long>, bits array<long>, long_bits array<long>")
-    reps = found.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("bits").alias("bits"), F.first("long_bits").alias("long_bits"))
-    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
-
-    rows = reps.filter("doc_id is not null").select("node", F.explode("sigs").alias("sig"))
-    centre = rows.groupBy("sig").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c != z").select("sig", "c")
+    found = texts.mapInArrow(lambda it: _index(it, n, num, den, *held.value), "key binary, doc_id long, row long, n long, sigs array<long>, bits array<long>, long_bits array<long>")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    reps = found.groupBy("key").agg(least.alias("least"), *(F.first(c).alias(c) for c in ("n", "sigs", "bits", "long_bits")))
+    reps = written(reps.select("key", "least.doc_id", "least.row", "n", "sigs", "bits", "long_bits", F.monotonically_increasing_id().alias("node")), "reps")
+
+    rows = reps.select("node", F.explode("sigs").alias("sig"))
+    same = rows.groupBy("sig").agg(F.min("node").alias("c"), F.max("node").alias("z"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h")).filter("c != z")
+    centre = same.groupBy("c", "z", "k", "h").agg(F.min("sig").alias("sig")).select("sig", "c")  # of signatures with the same nodes one
     shared = written(rows.join(centre, "sig"), "shared")
-    wanted = shared.select("node").distinct().join(reps.select("node", "doc_id", "key"), "node")
-    held_texts = texts.mapInArrow(_zipped, "doc_id long, data binary").join(wanted, "doc_id").select("node", "key", "data")
-    held_texts = written(held_texts.mapInArrow(lambda it: _own_texts(it, n), "node long, data binary"), "texts", "none")
-
     star = written(shared.filter("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = _links(held_texts, _candidates(star, reps, num, den), n, num, den)
+    near = written(_candidates(star, reps, num, den), "near")
+    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    held_texts = _texts_of(texts.select("row", "text"), reps.select("node", "row").join(wanted, "node"))
+    links = _links(held_texts, near, n, num, den)
     labels = components(links)
 
     rows = shared.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig")
-    open_rows = written(rows.join(mixed, "sig").join(reps.select("node", "n", "bits"), "node").select("sig", "node", "n", "comp", "bits"), "open")
-    x, y = (open_rows.toDF("sig", f"node_{s}", f"n_{s}", f"comp_{s}", f"bits_{s}") for s in "xy")
+    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("sig")
+    open_rows = written(rows.join(mixed, "sig").join(reps.select("node", "n", "bits", "long_bits"), "node").select("sig", "node", "comp", "n", "bits", "long_bits"), "open")
+    x, y = (open_rows.toDF("sig", *(f"{c}_{s}" for c in open_rows.columns[1:])) for s in "xy")
     pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_may_be_near(num, den))
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     pairs = written(pairs, "pairs")
-    return members, reps, links.union(_links(held_texts, _candidates(pairs, reps, num, den), n, num, den)), held_texts
+    more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(wanted, "node", "left_anti")
+    held_texts = held_texts.union(_texts_of(texts.select("row", "text"), reps.select("node", "row").join(more, "node")))
+    return members, reps, links.union(_links(held_texts, pairs, n, num, den)), held_texts
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, count_links: bool = False) -> DataFrame:
@@ -345,11 +373,11 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, count
 
     Documents without words, or with a null text, link with nothing; repeated
     rows and equal sets are one class; null ids get the component of their
-    class; other columns are ignored; an empty table gives no rows.
+    class, and links lead through them; other columns are ignored; an empty table
+    gives no rows.
 
     With ``count_links`` also n_links, the number of other rows that are similar
-    to the document, all pairs counted; of a class in which no row has an id,
-    only its own rows count. It takes time with the square of a component.
+    to the document, all pairs counted; it takes time with the square of a component.
     """
     members, reps, links, held_texts = _class_links(docs, n, num, den)
     connected = components(links)

@@ -232,18 +232,36 @@ def test_ngram_join_counts_all_links(spark, docs, monkeypatch, block):
         assert got == want and max(links) > 1
 
 
-def test_signatures_are_shared_by_similar_sets():
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (70, 100)])
+@pytest.mark.parametrize("very", [1.0, 0.0])
+def test_signatures_are_shared_by_similar_sets(num, den, very):
+    """Also where all of a larger set's additions and a smaller one's losses are rare grams, on both sides of a level."""
     rng = np.random.default_rng(2)
-    universe = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    universe = np.unique(rng.integers(0, 1 << 63, 9000).astype(np.uint64))
     frequent = universe[::2]
-    rank = rng.integers(1, 9, len(frequent))
-    for size in (20, 90, 100, 107, 300, 900):
-        for _ in range(40):
-            a = np.sort(rng.choice(universe, size, replace=False))
-            lose = size - int(np.ceil(0.9 * size))
-            b = np.delete(a, rng.choice(size, lose, replace=False)) if lose else a
-            sig = [ngram_join.signatures(x, len(x) - -(-90 * len(x) // 100), frequent, rank, -(-96 * 100 // 90) + 1) for x in (a, b)]
-            assert len(np.intersect1d(*sig))
+    rank = rng.integers(8, 600, len(frequent))
+    rank[rng.random(len(frequent)) < very / 2] += 600
+    for size in (1, 2, 3, 4, 5, 9, 10, 20, 39, 40, 44, 90, 107, 319, 325, 350, 900, 2700):
+        for pool in (universe, frequent):
+            for _ in range(20):
+                a = np.sort(rng.choice(pool, size, replace=False))
+                lose = size - -(-num * size // den)
+                b = np.delete(a, rng.choice(size, lose, replace=False)) if lose else a
+                if len(b) < len(a) or size > 9:
+                    sig = [ngram_join.signatures(x, num, den, frequent, rank) for x in (a, b)]
+                    assert len(np.intersect1d(*sig))
+                more = np.union1d(b, rng.choice(universe, lose // 2, replace=False)) if lose > 1 else b
+                both = len(np.intersect1d(a, more))
+                if both * den >= (len(a) + len(more) - both) * num and len(more) != both:
+                    assert len(np.intersect1d(*(ngram_join.signatures(x, num, den, frequent, rank) for x in (a, more))))
+
+
+def test_ngram_join_links_through_rows_without_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [words, words[:58], words[:56], words[:54], words[:52]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in zip((5, None, None, None, 3), texts, strict=True)], "doc_id long, text string")
+    got = {r["n_shingles"]: r["component_id"] for r in ngram_join.ngram_join(table, 3, 95, 100).collect()}
+    assert got == dict.fromkeys((58, 56, 54, 52, 50), 3)
 
 
 def test_components(spark):
