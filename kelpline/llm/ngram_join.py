@@ -10,12 +10,13 @@ than ``lack``. The larger a set, the more classes; a set to which smaller ones
 with fewer classes may be similar is indexed with their number of classes too.
 
 Equal sets are collapsed first, and of signatures that the same sets share one
-is kept. The sets that share a signature are compared with one of them,
-components of what links are found, and only signatures whose sets are still in
-several components are compared pair by pair across these, and only where the
-sets' sizes and parities allow similarity. Every link between different sets
-either is verified or joins sets already connected. Where links are counted, all
-pairs inside a component are compared, by blocks of sets.
+is kept. The sets that share a signature are compared with one of them, then,
+where these links leave several components, a set of each with another one of
+them. What is still in several components is compared pair by pair across these,
+by signature and size. Pairs are verified only where the sets' sizes and parities
+allow similarity. Every link between different sets either is verified or joins
+sets already connected. Where links are counted, all pairs inside a component
+are compared, by blocks of sets.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ PARITY_LONGS = 16
 #: The same of sets of at least so many grams, for pairs that the others leave open: in long sets few parities say nothing.
 LONG_SET, LONG_PARITY_LONGS = 1500, 128
 
+#: Texts to verify are looked up by so many hash values of their rows first: a bound of what is broadcast.
+ROW_BUCKETS = 1 << 20
 #: About so many sets of a component are in a block; grams in whose columns two blocks are multiplied at once.
 LINK_BLOCK, LINK_COLUMNS = 256, 16_384
 
@@ -250,12 +253,39 @@ def _candidates(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(y, "b").join(x, "a").filter(_may_be_near(num, den)).select("a", "b")
 
 
+def _bucket() -> Column:
+    return F.pmod(F.col("row"), F.lit(ROW_BUCKETS)).cast("int").alias("bucket")
+
+
 def _texts_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, data: the compressed text of each of ``nodes`` (node, row), one row each."""
-    found = rows.mapInArrow(_zipped, "row long, data binary").join(nodes, "row")
+    """node, data: the compressed text of each of ``nodes`` (node, row), one row each. Few others than theirs are shuffled."""
+    nodes = written(nodes, "wanted")
+    near = rows.withColumn("bucket", _bucket()).join(F.broadcast(nodes.select(_bucket()).distinct()), "bucket", "left_semi")  # at most ROW_BUCKETS numbers
+    found = near.select("row", "text").mapInArrow(_zipped, "row long, data binary").join(nodes, "row")
     return written(found.groupBy("row", "node").agg(F.first("data").alias("data")).select("node", "data"), "texts", "none")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """sig, node, n, c, n_c, k: the nodes of each signature that several have, the least of them, and their number. Of signatures with the same nodes one stays."""
+    rows = reps.select("node", "n", F.explode("sigs").alias("sig"))
+    repeated = rows.groupBy("sig").agg(F.min("node").alias("c"), F.max("node").alias("z")).filter("c != z")
+    rows = written(rows.join(repeated.select("sig", "c"), "sig"), "repeated")
+    of = rows.groupBy("sig", "c").agg(F.max("node").alias("z"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h"), F.max(F.when(F.col("node") == F.col("c"), F.col("n"))).alias("n_c"))
+    one = of.groupBy("c", "z", "k", "h").agg(F.min("sig").alias("sig"), F.max("n_c").alias("n_c"))
+    return written(rows.drop("c").join(one.select("sig", "c", "n_c", "k"), "sig"), "shared")
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those of ``rows`` (sig, part, node, ...) whose signature and part have nodes of several components, with their own as comp."""
+    now = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = now.groupBy("sig", "part").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("sig", "part")
+    return now.join(mixed, ["sig", "part"])
+
+
 def _links(texts: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Those of ``pairs`` (a, b: nodes) whose sets are similar, from the nodes' texts."""
     both = pairs.join(texts.toDF("b", "y"), "b").join(texts.toDF("a", "x"), "a").select("a", "b", "x", "y")
@@ -345,26 +375,41 @@ def _class_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     reps = found.groupBy("key").agg(least.alias("least"), *(F.first(c).alias(c) for c in ("n", "sigs", "bits", "long_bits")))
     reps = written(reps.select("key", "least.doc_id", "least.row", "n", "sigs", "bits", "long_bits", F.monotonically_increasing_id().alias("node")), "reps")
 
-    rows = reps.select("node", F.explode("sigs").alias("sig"))
-    same = rows.groupBy("sig").agg(F.min("node").alias("c"), F.max("node").alias("z"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h")).filter("c != z")
-    centre = same.groupBy("c", "z", "k", "h").agg(F.min("sig").alias("sig")).select("sig", "c")  # of signatures with the same nodes one
-    shared = written(rows.join(centre, "sig"), "shared")
-    star = written(shared.filter("node != c").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    near = written(_candidates(star, reps, num, den), "near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    held_texts = _texts_of(texts.select("row", "text"), reps.select("node", "row").join(wanted, "node"))
-    links = _links(held_texts, near, n, num, den)
+    lookup, near_size = texts.select("row", "text"), _near_size(F.col("n_a"), F.col("n_b"), num, den)
+    shared = _shared(reps)
+    star = shared.filter("node != c").select(F.col("c").alias("a"), F.col("node").alias("b"), F.col("n_c").alias("n_a"), F.col("n").alias("n_b")).filter(near_size)
+    star = written(_candidates(star.select("a", "b").distinct(), reps, num, den), "near")
+    held_texts = _texts_of(lookup, reps.select("node", "row").join(_ends(star), "node"))
+    links = _links(held_texts, star, n, num, den)
+    labels = components(links)
+
+    # sets of a signature whose sizes may be similar meet in a part: sizes up to a quotient of den / num, each set in its own part and the next
+    part = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) if num < den else 1.0) + 1e-9).cast("int")
+    rows = shared.filter("k > 2").select("sig", "node", "n", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
+    rows = written(_open(rows, labels), "open")
+    order = F.struct(F.xxhash64("node", "sig", "part").alias("h"), "node", "n", "comp")
+    one = rows.groupBy("sig", "part", "comp").agg(F.min(order).alias("one"))
+    first = rows.groupBy("sig", "part").agg(F.min(order).alias("first"))
+    again = one.join(first, ["sig", "part"]).filter("comp != first.comp").select(F.least("one.node", "first.node").alias("a"), F.greatest("one.node", "first.node").alias("b"), F.col("one.n").alias("n_a"), F.col("first.n").alias("n_b"))
+    again = again.filter(near_size).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    again = written(_candidates(again, reps, num, den), "again")
+    more = _ends(again).join(_ends(star), "node", "left_anti")
+    held_texts = held_texts.union(_texts_of(lookup, reps.select("node", "row").join(more, "node")))
+    links = links.union(_links(held_texts, again, n, num, den))
     labels = components(links)
 
-    rows = shared.join(labels, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).filter("lo != hi and k > 2").select("sig")
-    open_rows = written(rows.join(mixed, "sig").join(reps.select("node", "n", "bits", "long_bits"), "node").select("sig", "node", "comp", "n", "bits", "long_bits"), "open")
-    x, y = (open_rows.toDF("sig", *(f"{c}_{s}" for c in open_rows.columns[1:])) for s in "xy")
-    pairs = x.join(y, "sig").filter("node_x < node_y and comp_x != comp_y").filter(_may_be_near(num, den))
-    pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    pairs = written(pairs, "pairs")
-    more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(wanted, "node", "left_anti")
-    held_texts = held_texts.union(_texts_of(texts.select("row", "text"), reps.select("node", "row").join(more, "node")))
+    rows = _open(rows, labels).join(reps.select("node", "bits", "long_bits"), "node").select("sig", "part", "own", "node", "comp", "n", "bits", "long_bits")
+    rows = written(rows, "left")
+    sizes = rows.groupBy("sig", "part", "comp").agg(F.count("*").alias("k"))
+    most = sizes.groupBy("sig", "part").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
+    x, y = (rows.toDF("sig", "part", *(f"{c}_{s}" for c in rows.columns[2:])) for s in "xy")
+    x = x.join(most, ["sig", "part"]).filter("comp_x != most")  # of two components one isn't the largest
+    pairs = x.join(y, ["sig", "part"]).filter("comp_x != comp_y and (comp_y = most or node_x < node_y) and (own_x = part or own_y = part)").filter(_may_be_near(num, den))
+    pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    done = star.union(again)
+    pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    more = _ends(pairs).join(_ends(done), "node", "left_anti")
+    held_texts = held_texts.union(_texts_of(lookup, reps.select("node", "row").join(more, "node")))
     return members, reps, links.union(_links(held_texts, pairs, n, num, den)), held_texts
 
 
