@@ -2,11 +2,11 @@
 
 A set's grams are ordered, rare ones first. A similar set lacks at most ``lack``
 of them, so two similar sets share a signature if each indexes a prefix whose
-signatures survive any ``lack`` losses. A rare gram is a signature by itself.
-Frequent grams are dealt by their hash into classes and indexed as pairs of one
-class, very frequent ones as triples, so a prefix is extended until rare grams,
-pairs' grams beyond the first of a class and triples' beyond the second are more
-than ``lack``. The larger a set, the more classes; a set to which smaller ones
+signatures survive any ``lack`` losses. A rare gram is a signature by itself,
+but in large sets. Other grams are dealt by their hash into classes and indexed
+as pairs of one class, very frequent ones as triples, so a prefix is extended
+until single grams, pairs' grams beyond the first of a class and triples' beyond
+the second are more than ``lack``. The larger a set, the more classes; a set to which smaller ones
 with fewer classes may be similar is indexed with their number of classes too.
 
 Equal sets are collapsed first, and of signatures that the same sets share one
@@ -35,6 +35,8 @@ from .components import components
 
 #: Set sizes from which on frequent grams are dealt into so many classes. With five grams a class, more than ``lack`` are always left beyond the first of pairs' and the first two of triples' classes where similarity is above 3/4.
 LEVELS = ((0, 1), (40, 8), (320, 64), (2560, 512), (20480, 4096))
+#: Levels from this one on index rare grams in pairs too: the prefix of a large set is long, and some of its grams are in others by chance.
+PAIRED = 2
 #: Documents with a gram from which on it is frequent (indexed in pairs) and very frequent (in triples).
 FREQUENT, VERY_FREQUENT = 8, 256
 #: Grams counted together, and the least count in them that is reported; the most frequent grams known (a bound of what is broadcast: the rest count as rare, which costs time but no link).
@@ -167,23 +169,36 @@ def _level(n: int) -> int:
     return sum(n >= least for least, _ in LEVELS) - 1
 
 
+def _ordered(grams: np.ndarray, most: int, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """(grams, rare ones first, how many are rare, which are very frequent), of which ``most`` rare ones are enough."""
+    for part in (grams[: 2 * most], grams):  # mostly the start holds so many
+        at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1) if len(frequent) else None
+        often = frequent[at] == part if len(frequent) else np.zeros(len(part), bool)
+        rare = part[~often]
+        if len(rare) >= most:
+            return rare[:most], most, np.zeros(most, bool)
+    by = at[often]
+    order = np.argsort(rank[by], kind="stable")
+    return np.concatenate([rare, part[often][order]]), len(rare), np.concatenate([np.zeros(len(rare), bool), rank[by][order] >= VERY_FREQUENT])
+
+
 def signatures(grams: np.ndarray, num: int, den: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Signatures of a set. frequent: sorted hashes with ``rank`` (the number of documents; rarer ones come first)."""
     n = len(grams)
     lack = n - -(-num * n // den)
-    use = 4 * num > 3 * den and len(frequent) > 0  # for less, classes may hold too few
-    for part in (grams[: 2 * (lack + 1)], grams):  # mostly the start of the rare ones is enough
-        at = np.minimum(np.searchsorted(frequent, part), len(frequent) - 1) if use else None
-        is_frequent = frequent[at] == part if use else np.zeros(len(part), bool)
-        rare = part[~is_frequent]
-        if len(rare) > lack:
-            return np.unique(_mix(rare[: lack + 1] + np.uint64(1)))
-    often = np.flatnonzero(is_frequent)
-    often = often[np.argsort(rank[at[often]], kind="stable")]
-    tail, wide = grams[often], rank[at[often]] >= VERY_FREQUENT
-    out = [_mix(rare + np.uint64(1))]
+    if 4 * num <= 3 * den:  # classes may hold too few
+        return np.unique(_mix(grams[: lack + 1] + np.uint64(1)))
+    out = []
     for level in range(_level(n - lack), _level(n) + 1):
-        out += _combinations(tail, wide, lack - len(rare), level, LEVELS[level][1])
+        classes = LEVELS[level][1]
+        single = level < PAIRED
+        ordered, n_rare, wide = _ordered(grams, lack + 1 if single else 2 * (lack + 1 + classes), frequent, rank)
+        if single:
+            out.append(_mix(ordered[: min(n_rare, lack + 1)] + np.uint64(1)))
+            if n_rare <= lack:
+                out += _combinations(ordered[n_rare:], wide[n_rare:], lack - n_rare, level, classes)
+        else:
+            out += _combinations(ordered, wide, lack, level, classes)
     return np.unique(np.concatenate(out))
 
 
