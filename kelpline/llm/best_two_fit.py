@@ -22,29 +22,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .word_encoder import encoder
+from .word_encoder import encoder, slices
 
-BATCH = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: A piece's number among those of its task: it deals repeated rows to several groups.
+NTH = "nth long"
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    enc, seen = encoder(path), 0
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            part = batch.slice(at, BATCH)
+        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for first, last in slices(texts):
+            ids, at = enc.encode_flat(texts[first:last], [end_id])
             rows: list[tuple] = []
-            for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                ids += end
-                for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[lo : lo + 4 * capacity]
-                    rows.append((doc, k, lo // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<i4") if with_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
+            for doc, a, b in zip(docs[first:last], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for k, lo in enumerate(range(a, b, capacity)):
+                    own = ids[lo : min(b, lo + capacity)]
+                    rows.append((doc, k, lo - a, len(own), zlib.crc32(own), own.view("<i4") if with_ids else None))
+            cols = list(zip(*rows, strict=True))
             out = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=False)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 out, names = [*out, pa.array(cols[5], pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names)
+            yield pa.RecordBatch.from_arrays([*out, pa.array(range(seen, seen + len(rows)), pa.int64())], [*names, "nth"])
+            seen += len(rows)
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,8 +128,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
     """
     schema = PIECES + (", ids array<int>" if with_ids else "")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = written(texts.mapInArrow(lambda it: _cut_batches(it, tokenizer_path, end_id, capacity, with_ids), schema), "pieces")
+    pieces = written(texts.mapInArrow(lambda it: _cut_batches(it, tokenizer_path, end_id, capacity, with_ids), f"{schema}, {NTH}"), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(groups))).drop("nth")
     stride = group_pieces * 1024
     return dealt.groupBy("grp").applyInArrow(lambda t: _pack_group(t, capacity, stride), schema + ", sequence_id long, offset long")

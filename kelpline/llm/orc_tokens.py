@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, written
-from .word_encoder import encoder
+from .word_encoder import encoder, slices
 
 #: Writer options; sizes in bytes. Fixed values of the file format's own names.
 ORC_OPTIONS = {
@@ -29,22 +29,17 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Documents encoded at a time.
-BATCH = 512
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([end_id], "<u4").tobytes()
+    enc = encoder(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, BATCH):
-            part = batch.slice(at, BATCH)
-            ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-            ends = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int64)
-            for lo in _cuts(ends):
-                a, b = lo
-                values = np.frombuffer(b"".join(ids[a:b]), "<i4")
-                lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), lists], ["doc_id", "ids"])
+        texts = batch.column(1).to_pylist()
+        for lo, hi in slices(texts):
+            ids, ends = enc.encode_flat(texts[lo:hi], [end_id])
+            for a, b in _cuts(ends):
+                lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[b]].view("<i4")))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), lists], ["doc_id", "ids"])
 
 
 def _cuts(ends: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
@@ -60,12 +55,13 @@ def write_token_orc(docs: DataFrame, out: str, tokenizer_path: str, end_id: int,
     """Encode ``docs`` and write ORC files in ascending id order to ``out``.
 
     Files are numbered in id order and sorted inside. Null texts have only the
-    end id; null ids sort first; repeated ids are all kept; other columns are
-    ignored. An empty table writes files without rows.
+    end id; null ids sort first; repeated ids are all kept, in an order by their
+    texts' hashes, so that an id with many texts is no single range; other
+    columns are ignored. An empty table writes files without rows.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = texts.repartitionByRange(F.col("doc_id").asc()).sortWithinPartitions("doc_id")
-    ids = ordered.mapInArrow(lambda it: _encode_batches(it, tokenizer_path, end_id), "doc_id long, ids array<int>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("by"))
+    ordered = texts.repartitionByRange(F.col("doc_id").asc(), F.col("by").asc()).sortWithinPartitions("doc_id", "by")
+    ids = ordered.select("doc_id", "text").mapInArrow(lambda it: _encode_batches(it, tokenizer_path, end_id), "doc_id long, ids array<int>")
     ids.write.mode("overwrite").options(**ORC_OPTIONS).orc(out)
     return out
 
@@ -77,22 +73,27 @@ def read_token_orc(spark: SparkSession, path: str, where: Column | None = None)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their count and checksum of ids, and their number in this task, which reads each block in order."""
+    seen = 0
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column(3)
         flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), lists.offsets.to_numpy()
-        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "file", "n_tokens", "ids_crc32"])
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        own = [*batch.columns[:3], pa.array(range(seen, seen + batch.num_rows), pa.int64()), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays(own, ["doc_id", "file", "block", "nth", "n_tokens", "ids_crc32"])
+        seen += batch.num_rows
 
 
 def token_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32.
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32, in the files' own order.
 
     ``start`` is a sum in two steps, inside each file and over the files'
     totals, so no task sees more than a file's rows or one row a file.
     """
-    rows = read_token_orc(spark, path).select("doc_id", F.col("_metadata.file_name").alias("file"), "ids")
-    rows = written(rows.mapInArrow(_digest, "doc_id long, file string, n_tokens long, ids_crc32 long"), "digest")
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    file = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).cast("long").alias("file")
+    rows = read_token_orc(spark, path).select("doc_id", file, F.col("_metadata.file_block_start").alias("block"), "ids")
+    rows = written(rows.mapInArrow(_digest, "doc_id long, file long, block long, nth long, n_tokens long, ids_crc32 long"), "digest")
+    inside = Window.partitionBy("file").orderBy("block", "nth").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     over = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("total").over(over), F.lit(0)).alias("before"))

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import worker_cache
 
-#: Distinct chunks that a worker remembers before it starts anew.
-CACHE_CHUNKS = 450_000
-#: The same of chunks without the signs that end them, ASCII ones lower-cased.
-CACHE_STEMS = 500_000
+#: Distinct chunks of a generation; a worker remembers two, and drops those that weren't met in the last one.
+CACHE_CHUNKS = 300_000
+#: Characters of texts that are cut and looked up at once, unless one text alone has more.
+SLICE_CHARS = 4 << 20
 #: Signs that the pre-tokenizer keeps together and apart from letters and digits.
 SIGNS = ".,;:!?%&*#$|"
 #: A text that is always one token of its own between blanks, and how many chunks are encoded between such marks at once.
@@ -34,15 +36,15 @@ _ENDS = re.compile("(?<=[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,]+)(?=[ \n])")
 _IN_RUN = re.compile("[^a-z0-9\u00df-\u00f6\u00f8-\u00ff \t\n\r\x0b\x0c\x85\xa0][.,]")
 
 
-def _chunks(text: str | None) -> list[str]:
-    """The text cut at blanks and line feeds.
+def _spaced(text: str | None) -> str:
+    """The text with blanks where it is cut into chunks.
 
     Texts within Latin-1 are lower-cased first, as the tokenizer does, and get
     blanks before signs that end words, where it cuts too, so that fewer chunks
     are distinct. Texts that may hold a special token are left as they are.
     """
     if text is None:
-        return []
+        return ""
     if "<|" not in text:
         try:
             text.encode("latin-1")
@@ -53,7 +55,28 @@ def _chunks(text: str | None) -> list[str]:
                 text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n")
         except UnicodeEncodeError:
             pass
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
+
+
+def _stem(chunk: str) -> str:
+    """The chunk without the signs that end it, where the tokenizer cuts before them; ASCII ones lower-cased."""
+    stem = chunk.rstrip(SIGNS)
+    if stem and not (stem if stem.isascii() else stem.lower())[-1].isalnum():
+        return chunk  # the signs may belong to a longer run: of signs, or of marks that lower-casing splits off
+    return stem.lower() if stem.isascii() and "<|" not in stem else stem
+
+
+def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``SLICE_CHARS`` characters each."""
+    a = held = 0
+    for k, text in enumerate(texts):
+        n = len(text or "") + 1
+        if k > a and held + n > SLICE_CHARS:
+            yield a, k
+            a, held = k, 0
+        held += n
+    if a < len(texts):
+        yield a, len(texts)
 
 
 class WordEncoder:
@@ -65,7 +88,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -87,33 +110,61 @@ class WordEncoder:
             out += [raw[4 * (a + 1) : 4 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return out
 
-    def _encode_new(self, chunks: list[str]) -> list[bytes]:
-        """Ids of new chunks: of their stems, which are remembered, and of the signs that end them."""
-        if len(self.stems) > CACHE_STEMS:
-            self.stems = {"": b""}
-        cut = []
-        for c in chunks:
-            stem = c.rstrip(SIGNS)
-            if stem and not stem[-1].isalnum():
-                stem = c  # the signs may belong to a longer run
-            cut.append((stem.lower() if stem.isascii() and "<|" not in stem else stem, c[len(stem) :]))
-        new = list({x for pair in cut for x in pair} - self.stems.keys())
-        self.stems.update(zip(new, self._encode_chunks(new), strict=True))
-        return [self.stems[a] + self.stems[b] for a, b in cut]
+    def _remembered(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of the chunks that are remembered; those of the older generation move to the new one."""
+        found = list(map(self.known.get, chunks))
+        older = self.older
+        if older:
+            for k, ids in enumerate(found):
+                if ids is None and (ids := older.get(chunks[k])) is not None:
+                    found[k] = self.known[chunks[k]] = ids
+        return found
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks. New ones are encoded by their stems and the signs that end them, and remembered."""
+        if len(self.known) > CACHE_CHUNKS:
+            self.older, self.known = self.known, {"": b""}
+        found = self._remembered(chunks)
+        alone, cut = [], []
+        for k, ids in enumerate(found):
+            if ids is None:
+                c = chunks[k]
+                if len(c) > CACHE_CHARS or MARK in c or self.mark is None:
+                    alone.append(k)
+                elif c[-1].isalnum() and c.isascii():
+                    cut.append((k, c.lower() if "<|" not in c else c, ""))
+                else:
+                    stem = _stem(c)
+                    cut.append((k, stem, c[len(stem) :]))
+        parts = list({x for _, *pair in cut for x in pair})
+        ids_of = dict(zip(parts, self._remembered(parts), strict=True))
+        new = [p for p, ids in ids_of.items() if ids is None]
+        made = dict(zip(new, self._encode_chunks(new), strict=True))
+        ids_of |= made
+        self.known |= made
+        for k, stem, signs in cut:
+            found[k] = self.known[chunks[k]] = ids_of[stem] + ids_of[signs]
+        for k in alone:
+            found[k] = self._ids(chunks[k]).tobytes()
+        return found
+
+    def encode_flat(self, texts: Sequence[str | None], end: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each followed by ``end``; where each text begins, and their number). A null text has none of its own."""
+        words = pc.split_pattern(pa.array([_spaced(t) for t in texts], pa.string()), " ")
+        coded = words.values.dictionary_encode()
+        parts = [*self._look_up(coded.dictionary.to_pylist()), np.array(end, "<u4").tobytes()]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, size)).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<u4")))
+        at = words.offsets.to_numpy()
+        index = np.insert(coded.indices.to_numpy(), at[1:], len(parts) - 1)
+        taken = lists.take(pa.array(index))
+        starts = taken.offsets.to_numpy().astype(np.int64)
+        return taken.values.to_numpy()[starts[0] : starts[-1]], (starts - starts[0])[at + np.arange(len(at))]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text has none."""
-        cut = [_chunks(t) for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {"": b""}
-        new = set().union(*cut) - self.known.keys() if cut else set()
-        alone = [c for c in new if len(c) > CACHE_CHARS or MARK in c or self.mark is None]
-        joined = list(new.difference(alone))
-        self.known.update(zip(joined, self._encode_new(joined), strict=True))
-        other = {c: self._ids(c).tobytes() for c in alone}
-        if not other:
-            return [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        return [b"".join([other[w] if w in other else self.known[w] for w in words]) for words in cut]
+        ids, at = self.encode_flat(texts)
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:

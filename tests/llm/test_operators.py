@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.llm import best_two_fit, kd_shards, ngram_join, nra_topk, orc_tokens, positional_index, quality, secret_forest, suffix_dedup
+from kelpline.llm import best_two_fit, kd_shards, ngram_join, nra_topk, orc_tokens, positional_index, quality, secret_forest, suffix_dedup, word_encoder
 from kelpline.llm.components import components
 from kelpline.llm.html_tree import extract_pages, main_text
 from kelpline.llm.word_encoder import WordEncoder, vocabulary
@@ -57,6 +57,30 @@ def test_word_encoder_equals_the_library(text):
     assert enc.encode([text, None, text]) == [want, b"", want]
 
 
+def test_word_encoder_equals_the_library_on_random_texts():
+    """Words that end in all kinds of signs, marks and letters, those included whose lower case is longer."""
+    rng = np.random.default_rng(4)
+    pieces = [*"aZ0é.,;:!?%&*#$|'\"-_()<>/\\ \n\t", "İ", "ı", "ß", "Σ", "ς", "\u0301", "\u0307", "\u0345", "ǰ", "ΐ", "ŉ", "\u00a0", "\u3000", "²", "½", "Ⅳ", "ﬁ", "日", "'s", "'ll", "EVİ,", "AKPİ.", "DEĞERLİ: iyi", "<|", "|>", "<|endoftext|>", "0", "word ", "Ab. "]
+    enc = WordEncoder(VOCABULARY)
+    for size in (3, 8, 40):
+        texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), rng.integers(1, size))) for _ in range(4000)]
+        texts += ["EVİ, bahçe", "AKPİ.", "DEĞERLİ: iyi", "İ!", "aİ.b"]
+        got = enc.encode(texts)
+        want = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+def test_word_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(word_encoder, "CACHE_CHUNKS", 20)
+    enc = WordEncoder(VOCABULARY)
+    texts = [" ".join(f"w{k % 7}x, y{k}." for k in range(i, i + 30)) for i in range(0, 200, 10)]
+    for text in texts:
+        assert enc.encode([text]) == [np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    ids, at = enc.encode_flat([None, "a b", ""], [7])
+    assert ids[at[0] : at[1]].tolist() == [7] and ids[at[2] : at[3]].tolist() == [7] and len(ids) == at[-1] == 5
+    assert len(enc.known) < 200 and len(enc.encode_flat([])[0]) == 0
+
+
 def test_orc_round_trip(spark, odd, none, tmp_path):
     tokenizer = WordEncoder(VOCABULARY).tokenizer
     rows = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
