@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests on one machine, a temporary folder is made and remembered.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and
+    all runs on this machine, as in tests, a temporary folder is made and remembered.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("kelpline.shared.dir", None)
+    if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="kelpline-")
         spark.conf.set("kelpline.shared.dir", path)

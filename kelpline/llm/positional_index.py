@@ -5,16 +5,15 @@ in a search engine: the segment's terms, each term's postings (word positions
 in ascending order, as differences), and where each document begins. Segments
 are built where the documents lie, without a shuffle, and are written to the
 shared folder once. A search ships the benchmark's windows, in blocks of bounded
-size, to the segments; inside a segment a window starts from the postings of its
-rarest term and intersects them, offset-adjusted, with those of its next rarer
-terms until they are empty or the phrase is verified.
+size, to the segments; inside a segment windows start from the postings of their
+rarest terms and intersect them, offset-adjusted, with those of their next rarer
+terms until they are empty or the phrases are verified, many windows at once.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,9 @@ from .common import written
 #: Bytes of text in a segment, unless one document alone has more.
 SEGMENT_BYTES = 4 << 20
 #: Benchmark words shipped to the segments at a time; a larger benchmark takes several passes.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Postings of rarest terms that are intersected at once, unless one term alone has more.
+AT_ONCE = 1 << 20
 #: Words: A-Z are lower-cased, and all other ASCII but digits and letters separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -92,6 +93,7 @@ class Segment:
         self.term_start = np.frombuffer(term_start, "<u4").astype(np.int64)
         self.deltas = np.frombuffer(postings, "<u4")
         self.known: dict[int, np.ndarray] = {}
+        self.sorted: np.ndarray | None = None
 
     def df(self, term: int) -> int:
         return int(self.term_start[term + 1] - self.term_start[term])
@@ -104,18 +106,44 @@ class Segment:
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_start, at, "right") - 1
 
-    def phrase(self, terms: Sequence[int]) -> np.ndarray:
-        """Positions at which ``terms`` stand one after the other in one document."""
-        order = sorted(range(len(terms)), key=lambda k: (self.df(terms[k]), k))
-        at = self.postings(terms[order[0]]) - order[0]
-        for k in order[1:]:
-            if not len(at):
-                return at
-            own = self.postings(terms[k])
-            there = np.searchsorted(own, at + k)
-            at = at[(there < len(own)) & (own[np.minimum(there, len(own) - 1)] == at + k)]
-        at = at[at >= 0]
-        return at[self.doc_of(at) == self.doc_of(at + len(terms) - 1)] if len(at) else at
+    def keys(self) -> np.ndarray:
+        """All postings as term times the segment's words plus position, ascending."""
+        if self.sorted is None:
+            size = np.diff(self.term_start)
+            total = np.concatenate([[0], np.cumsum(self.deltas, dtype=np.int64)])
+            at = total[1:] - np.repeat(total[self.term_start[:-1]], size)
+            self.sorted = np.repeat(np.arange(len(size)), size) * int(self.doc_start[-1]) + at
+        return self.sorted
+
+    def phrases(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, position) of every place at which a row of ``terms`` stands in one document."""
+        df = np.diff(self.term_start)
+        order = np.argsort(df[terms], axis=1, kind="stable") if len(terms) else terms
+        rarest = df[terms[np.arange(len(terms)), order[:, 0]]] if len(terms) else df[:0]
+        out, a = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        ends = np.cumsum(rarest)
+        while a < len(terms):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, "right")))
+            out.append(self._phrases(np.arange(a, b), terms, order))
+            a = b
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _phrases(self, rows: np.ndarray, terms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, n, size = self.keys(), int(self.doc_start[-1]), terms.shape[1]
+        first = terms[rows, order[rows, 0]]
+        df = self.term_start[first + 1] - self.term_start[first]
+        row = np.repeat(rows, df)
+        at = keys[np.repeat(self.term_start[first] - np.cumsum(df) + df, df) + np.arange(len(row))] - np.repeat(first, df) * n - order[row, 0]
+        good = (at >= 0) & (at + size <= n)
+        row, at = row[good], at[good]
+        for j in range(1, size):
+            k = order[row, j]
+            want = terms[row, k] * n + at + k
+            there = np.searchsorted(keys, want)
+            good = keys[np.minimum(there, len(keys) - 1)] == want
+            row, at = row[good], at[good]
+        one = self.doc_of(at) == self.doc_of(at + size - 1)
+        return row[one], at[one]
 
     def near(self, terms: Sequence[int], span: int) -> np.ndarray:
         """Starts of the least stretches of at most ``span`` words of one document that hold all of ``terms``."""
@@ -134,44 +162,45 @@ class Segment:
         return np.array(sorted(starts), np.int64)
 
 
-@dataclass
-class Windows:
-    """A block of the benchmark: distinct words, distinct windows as rows of word numbers, and each window's items."""
+#: A block of the benchmark as plain values, which any worker can read: distinct words, item ids, and by window size the
+#: distinct windows as rows of word numbers, where each one's items begin, and their numbers.
+Windows = tuple[list[bytes], list[str], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
-    words: list[bytes]
-    windows: dict[int, np.ndarray]
-    items: dict[int, list[list[str]]]
 
-    @classmethod
-    def of(cls, items: Sequence[tuple[str, str | None]], n: int) -> Windows:
-        known, found = _Ids(), {}
-        for item, text in items:
-            own = [known[w] for w in words_of(text)]
-            for k in range(max(1, len(own) - n + 1) if own else 0):
-                found.setdefault(tuple(own[k : k + n]), set()).add(item)
-        by: dict[int, list] = {}
-        for window in found:
-            by.setdefault(len(window), []).append(window)
-        return cls(list(known), {k: np.array(v, np.int32) for k, v in by.items()}, {k: [sorted(found[w]) for w in v] for k, v in by.items()})
+def windows_of(items: Sequence[tuple[str, str | None]], n: int) -> Windows:
+    known = _Ids()
+    by: dict[int, list[tuple[np.ndarray, int]]] = {}
+    for k, (_, text) in enumerate(items):
+        own = np.array([known[w] for w in words_of(text)], np.int64)
+        if len(own):
+            size = min(n, len(own))
+            by.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(own, size), k))
+    out = {}
+    for size, parts in by.items():
+        rows, which = np.unique(np.concatenate([w for w, _ in parts]), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.reshape(-1), np.repeat([k for _, k in parts], [len(w) for w, _ in parts])]), axis=1)
+        out[size] = (rows, np.searchsorted(pairs[0], np.arange(len(rows) + 1)), pairs[1])
+    return list(known), [item for item, _ in items], out
 
 
 def _search(batches: Iterator[pa.RecordBatch], block: Windows) -> Iterator[pa.RecordBatch]:
+    words, names, by_size = block
     for batch in batches:
         for row in range(batch.num_rows):
             name, doc_ids, *parts = (c[row].as_py() for c in batch.columns)
             seg = Segment(doc_ids, *parts)
-            local = np.array([seg.terms.get(w, -1) for w in block.words] or [-1], np.int64)
+            local = np.array([seg.terms.get(w, -1) for w in words] or [-1], np.int64)
             n = len(doc_ids)
             hits: list[list[tuple[int, int]]] = [[] for _ in range(n)]
             items: list[set] = [set() for _ in range(n)]
-            for size, windows in block.windows.items():
+            for size, (windows, first, owners) in by_size.items():
                 terms = local[windows]
-                for k in np.flatnonzero((terms >= 0).all(axis=1)).tolist():
-                    at = seg.phrase(terms[k].tolist())
-                    for p, d in zip(at.tolist(), seg.doc_of(at).tolist(), strict=True) if len(at) else ():
-                        first = p - int(seg.doc_start[d])
-                        hits[d].append((first, first + size))
-                        items[d].update(block.items[size][k])
+                there = np.flatnonzero((terms >= 0).all(axis=1))
+                which, at = seg.phrases(terms[there])
+                docs = seg.doc_of(at)
+                for w, p, d in zip(there[which].tolist(), (at - seg.doc_start[docs]).tolist(), docs.tolist(), strict=True):
+                    hits[d].append((p, p + size))
+                    items[d].update(names[k] for k in owners[first[w] : first[w + 1]])
             merged = [_merge(h) for h in hits]
             cols = ([name] * n, range(n), doc_ids, np.diff(seg.doc_start), [[a for a, _ in m] for m in merged], [[b for _, b in m] for m in merged], [sorted(x) for x in items])
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()))
@@ -228,7 +257,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     found = None
     blocks = 0
     for items in _blocks(benchmark, block_words):
-        block = docs.sparkSession.sparkContext.broadcast(Windows.of(items, window))
+        block = docs.sparkSession.sparkContext.broadcast(windows_of(items, window))
         own = index.mapInArrow(lambda it, b=block: _search(it, b.value), FOUND)
         found, blocks = own if found is None else found.unionByName(own), blocks + 1
     if blocks > 1:

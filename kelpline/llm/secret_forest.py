@@ -219,6 +219,16 @@ class Forest:
                         self.feature[t, node] = -1
         return self
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What :meth:`of` makes the forest from again; broadcasts hold these, as workers may not know this class."""
+        return self.feature, self.cut, self.share
+
+    @classmethod
+    def of(cls, feature: np.ndarray, cut: np.ndarray, share: np.ndarray) -> Forest:
+        forest = cls(trees=len(feature), depth=(feature.shape[1] + 1).bit_length() - 2)
+        forest.feature, forest.cut, forest.share = feature, cut, share
+        return forest
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         rows = np.arange(len(x))
@@ -323,9 +333,9 @@ def find_secrets(docs: DataFrame, forest: Forest, path_col: str = "source") -> D
     Null and empty texts have none; null paths count as no path; repeated rows
     are scanned each; an empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(forest)
+    held = docs.sparkSession.sparkContext.broadcast(forest.arrays())
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long"), "text", path.alias("path")).mapInArrow(lambda it: _scan(it, held.value), FOUND)
+    return docs.select(F.col("doc_id").cast("long"), "text", path.alias("path")).mapInArrow(lambda it: _scan(it, Forest.of(*held.value)), FOUND)
 
 
 def _redact(batches: Iterator[pa.RecordBatch], forest: Forest, at: int, path: int) -> Iterator[pa.RecordBatch]:
@@ -344,6 +354,6 @@ def _redact(batches: Iterator[pa.RecordBatch], forest: Forest, at: int, path: in
 
 def redact_secrets(docs: DataFrame, forest: Forest, path_col: str = "source") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by its kind in brackets; all rows and columns stay."""
-    held = docs.sparkSession.sparkContext.broadcast(forest)
+    held = docs.sparkSession.sparkContext.broadcast(forest.arrays())
     at, path = docs.columns.index("text"), docs.columns.index(path_col) if path_col in docs.columns else -1
-    return docs.mapInArrow(lambda it: _redact(it, held.value, at, path), docs.schema)
+    return docs.mapInArrow(lambda it: _redact(it, Forest.of(*held.value), at, path), docs.schema)
