@@ -5,13 +5,18 @@ and its commas to its ancestors, less at each step up; a container's points are
 discounted by the share of its text that is in links. The best container is
 kept, with those siblings whose own score is near its score; from what is kept,
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out. Pages are handled one by one where they lie.
+reader comments are left out. An element that only its class or id names as one
+of these stays if it holds most of the page's points outside of such tags and
+few links, and an h1, or nearly all points of a page that has no article or h1
+elsewhere, as an article's container of class "post-search" does. Pages are handled
+one by one where they lie, in time proportional to their length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,46 +52,60 @@ _SPACE = re.compile(r"\s+")
 
 #: Points of a paragraph: one, one a comma, and one for so many characters up to the most.
 CHARS_A_POINT, MOST_POINTS, LEAST_CHARS = 100, 3, 25
+#: A container stays, whatever its class, that has this share of all paragraphs' points and an h1, or this share of a page without h1 and article elsewhere, and at most this density of links.
+MAIN_SHARE, ALONE_SHARE, MAIN_LINKS = 0.5, 0.9, 0.3
+#: Words for readers' comments, whose containers need an h1 to stay.
+COMMENT_WORDS = re.compile("comment|repl(?:y|ies)|disqus|discussion|response", re.I)
 #: Siblings stay that have this share of the best container's score.
 SIBLING_SHARE = 0.2
 
 
 class Node:
-    __slots__ = ("tag", "boiler", "parent", "kids", "score", "chars", "linked")
+    __slots__ = ("tag", "boiler", "named", "parent", "kids", "score", "chars", "linked", "points", "heads", "inside", "foreign")
 
-    def __init__(self, tag: str, parent: Node | None, boiler: bool):
-        self.tag, self.parent, self.boiler = tag, parent, boiler
+    def __init__(self, tag: str, parent: Node | None, boiler: bool, named: str = ""):
+        self.tag, self.parent, self.boiler, self.named = tag, parent, boiler, named
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.foreign = tag in FOREIGN or (parent is not None and parent.foreign)
         self.kids: list[Node | str] = []
-        self.score = 0.0
-        self.chars = self.linked = 0
+        self.score = self.points = 0.0
+        self.chars = self.linked = self.heads = 0
 
 
-def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_boiler(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element isn't main text, and its class or id if only these say so."""
     if tag in BOILER_TAGS:
-        return not (tag == "header" and in_article)
+        return not (tag == "header" and in_article), ""
     if not attributes or attributes.isspace():
-        return False
+        return False, ""
+    named = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, ""
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, ""
         if name == "role" and value.lower() in BOILER_ROLES:
-            return True
+            return True, ""
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
                 parts = [p.lower() for p in _WORD.findall(word)]
                 if parts and (parts[0] in BOILER_WORDS or parts[-1] in BOILER_WORDS):
-                    return True
-    return False
+                    named += f" {word}"
+    return named != "", named
 
 
 def parse(source: str) -> Node:
     """The page's tree; unclosed and misplaced tags are mended as browsers do, in the main."""
     root = Node("#root", None, False)
     top, at, n = root, 0, len(source)
-    opened: list[Node] = []  # open elements that aren't inline
+    opened: list[Node] = []
+    count: Counter[str] = Counter()  # of opened, by tag
+
+    def close(k: int) -> None:
+        count.subtract(x.tag for x in opened[k:])
+        del opened[k:]
+
     while at < n:
         lt = source.find("<", at)
         m = _MARKUP.match(source, lt) if lt >= 0 else None
@@ -103,17 +122,17 @@ def parse(source: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            for k in range(len(opened) - 1, -1, -1):
+            for k in range(len(opened) - 1, -1, -1) if count[tag] > 0 else ():
                 if opened[k].tag == tag:
                     opened[k].boiler |= tag in HIDDEN
-                    del opened[k:]
+                    close(k)
                     break
                 if opened[k].tag in ("article", "section", "div", "main", "body", "table") and tag in INLINE | {"p"}:
                     break
             top = opened[-1] if opened else root
             continue
         attributes = m[3] or m[6] or ""
-        if attributes.endswith("/") and (tag in FOREIGN or any(x.tag in FOREIGN for x in opened)):
+        if attributes.endswith("/") and (tag in FOREIGN or (opened[-1] if opened else root).foreign):
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -128,23 +147,24 @@ def parse(source: str) -> Node:
         if tag in CLOSES_P:
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k].tag == "p":
-                    del opened[k:]
+                    close(k)
                     break
                 if opened[k].tag not in INLINE or opened[k].tag in HIDDEN:
                     break
-        if tag in CLOSES_SAME:
+        if tag in CLOSES_SAME and any(count[t] > 0 for t in CLOSES_SAME[tag]):
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k].tag in CLOSES_SAME[tag]:
-                    del opened[k:]
+                    close(k)
                     break
                 if opened[k].tag in SCOPES[tag]:
                     break
         top = opened[-1] if opened else root
         if tag in INLINE and tag not in ("a", *HIDDEN, *FOREIGN) and not attributes:
             continue  # such elements change neither blocks nor links
-        node = Node(tag, top, _is_boiler(tag, attributes, any(x.tag in ("article", "main") for x in opened)))
+        node = Node(tag, top, *_is_boiler(tag, attributes, top.inside))
         top.kids.append(node)
         opened.append(node)
+        count[tag] += 1
         top = node
     return root
 
@@ -190,33 +210,79 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
-def _measure(root: Node) -> None:
-    """Characters, linked characters and points of all elements."""
-    nodes = [n for n in _walk(root)]
-    dropped: set[int] = set()
-    for node in nodes:
-        if node.boiler or (node.parent is not None and id(node.parent) in dropped):
-            dropped.add(id(node))
+def _points(node: Node, own: str) -> float:
+    """A paragraph's points, and 0.1 of headings and short ones."""
+    n = len(own.strip())
+    if node.tag not in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") and (node.tag in INLINE or n < LEAST_CHARS):
+        return 0.0
+    if node.chars < LEAST_CHARS or node.tag in ("h1", "h2", "h3"):
+        return 0.1
+    return 1 + own.count(",") + min(node.chars / CHARS_A_POINT, MOST_POINTS)
+
+
+def _measure(nodes: list[Node], outside: set[int]) -> float:
+    """Characters, linked characters and points of all elements but those ``outside``; the points of the page.
+
+    ``nodes`` has parents first. A parent gets the whole of a paragraph's
+    points, its parent the half, and each one above two thirds of the last, so
+    all that goes up can be summed on the way: ``whole`` is new to the next
+    container, ``fading`` was counted before.
+    """
+    whole: dict[int, float] = {}
+    fading: dict[int, float] = {}
+    total = 0.0
     for node in reversed(nodes):
-        if id(node) in dropped:
+        if id(node) in outside:
             continue
         own = "".join(k for k in node.kids if isinstance(k, str))
         node.chars += len(own.strip())
         if node.tag == "a":
             node.linked = node.chars
-        if node.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") or (node.tag not in INLINE and len(own.strip()) >= LEAST_CHARS):
-            points = 1 + own.count(",") + min(node.chars / CHARS_A_POINT, MOST_POINTS) if node.chars >= LEAST_CHARS and node.tag not in ("h1", "h2", "h3") else 0.1
-            up, share = node.parent, 1.0
-            if node.tag not in ("p", "h1", "h2", "h3", "li", "dd"):
-                node.score += points
-            while up is not None:
-                if up.tag not in INLINE:
-                    up.score += points * share
-                    share = 0.5 if share == 1.0 else share * 2 / 3
-                up = up.parent
+        node.heads += node.tag in ("h1", "main")
+        points = _points(node, own)
+        total += points
+        node.points += points
+        new, old = whole.pop(id(node), 0.0), fading.pop(id(node), 0.0)
+        if node.tag not in INLINE:
+            node.score += new + old
+            new, old = 0.0, new * 0.5 + old * 2 / 3
+        if points and node.tag not in ("p", "h1", "h2", "h3", "li", "dd"):
+            node.score += points
+        new += points
         if node.parent is not None:
+            up = id(node.parent)
+            whole[up], fading[up] = whole.get(up, 0.0) + new, fading.get(up, 0.0) + old
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+            node.parent.points += node.points
+            node.parent.heads += node.heads
+    return total
+
+
+def _outside(nodes: list[Node], at: str) -> set[int]:
+    """Elements that are no main text or lie in such; with ``at`` "fixed" only those that not just a class or id says so of, with "boiler" all."""
+    found: set[int] = set()
+    for node in nodes:
+        if (node.boiler and not (at == "fixed" and node.named)) or (node.parent is not None and id(node.parent) in found):
+            found.add(id(node))
+    return found
+
+
+def _clear_main(nodes: list[Node]) -> None:
+    """Elements that only a class or id names as no main text stay if they have most of the points and few links."""
+    if not any(n.named for n in nodes):
+        return
+    outside = _outside(nodes, "fixed")
+    total = _measure(nodes, outside)
+    named = _outside(nodes, "boiler")
+    other = any(n.tag in ("article", "main", "h1") and id(n) not in named for n in nodes)
+    for node in nodes:
+        least = MAIN_SHARE if node.heads else 2.0 if other or COMMENT_WORDS.search(node.named) else ALONE_SHARE
+        if node.named and node.points >= least * total > 0 and node.linked <= MAIN_LINKS * node.chars:
+            node.boiler = False
+    for node in nodes:
+        node.score = node.points = 0.0
+        node.chars = node.linked = node.heads = 0
 
 
 def _value(node: Node) -> float:
@@ -229,13 +295,15 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    _measure(root)
-    dropped: set[int] = set()
+    nodes = _walk(root)
+    _clear_main(nodes)
+    dropped = _outside(nodes, "boiler")
+    _measure(nodes, dropped)
     best, most = None, 0.0
-    for node in _walk(root):
-        if node.boiler or (node.parent is not None and id(node.parent) in dropped):
-            dropped.add(id(node))
-        elif node.tag not in INLINE and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "#root", "html") and _value(node) > most:
+    for node in nodes:
+        if id(node) in dropped:
+            continue
+        if node.tag not in INLINE and node.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "#root", "html") and _value(node) > most:
             best, most = node, _value(node)
     if best is None:
         return " ".join(_blocks(root))
