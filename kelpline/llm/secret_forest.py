@@ -5,11 +5,13 @@ and long runs of letters with digits. Each is described by its length, its
 character transitions, how much of it dictionary words cover, the document's
 path and the neighbouring words; a forest trained from labelled findings says
 which are secrets. The forest has a fixed size and is broadcast; documents are
-scanned whole where they lie.
+scanned whole where they lie. Dictionary words are those of a public vocabulary
+file, which workers read themselves.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import string
@@ -21,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+from .word_encoder import vocabulary
+
 # Public shapes of credentials, by kind.
 SHAPES = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----.*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----|\Z)",
@@ -46,16 +51,15 @@ _HUMPS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 SECRET_WORDS = frozenset("password passwd passphrase pwd pass secret token apikey api_key access_key accesskey secret_key auth authorization bearer credential credentials private_key client_secret key login".split())
 PLAIN_WORDS = frozenset("sha sha1 sha256 sha512 md5 hash checksum digest commit revision rev uuid guid id etag integrity version build serial isbn order invoice tracking session_id request_id trace span example dummy placeholder sample test fake mock changeme color colour url http https image data base64".split())
 PATH_WORDS = frozenset("test tests spec example examples sample samples doc docs fixture fixtures mock mocks vendor lock dist min readme tutorial".split())
-DICTIONARY = frozenset(
-    "password secret token example sample test testing user admin root login account default change changeme here your value string insert placeholder dummy fake demo "
-    "data base file path name host server client local config setting settings service application production staging development master main branch release version "
-    "build docker image library package module class function method object array index number order item product customer invoice report document page content article "
-    "title header footer style color width height left right center content image photo video audio music message email phone address street city state country code "
-    "time date year month week hour minute second first last next previous start stop open close read write create update delete insert select where group limit "
-    "the and for that this with from have not are was were been will would should could can may must about after before between under over into through during without "
-    "hello world lorem ipsum dolor amet some thing other than then when what which while there their they them these those each every more most many much such only same".split()
-)
-_WORDS = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
+#: Words that made findings are put together from.
+COMMON = (
+    "password secret token sample testing user admin root login account default change value string insert data base file path name host server client local config "
+    "setting service production staging main branch release version build docker image library package module class function method object array index number order "
+    "item product customer invoice report document page content article title header style color width height left right center photo video music message email phone "
+    "address street city country time date year month week hour first last next start stop open close read write create update delete select group limit hello world other"
+).split()
+#: Lengths of words that count as dictionary words.
+LEAST_WORD, MOST_WORD = 4, 14
 #: Score from which a finding counts as a secret.
 SECRET_FROM = 0.5
 FEATURES = (
@@ -150,17 +154,34 @@ def _classes(value: str) -> str:
     return "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value)
 
 
-def _coverage(value: str) -> float:
-    """Share of the letters that dictionary words of three letters or more cover, longest first."""
-    low = value.lower()
+def dictionary(path: str) -> frozenset[str]:
+    """Whole words of the vocabulary file at ``path``."""
+
+    def load() -> frozenset[str]:
+        with open(path, encoding="utf-8") as f:
+            words = (w.removesuffix("</w>") for w in json.load(f)["model"]["vocab"] if w.endswith("</w>"))
+            return frozenset(w for w in words if LEAST_WORD <= len(w) <= MOST_WORD and w.isascii() and w.isalpha())
+
+    return worker_cache(f"words {path}", load)
+
+
+def _coverage(value: str, words: frozenset[str]) -> float:
+    """Share of the letters that dictionary words cover, from the left, the longest first."""
+    low, covered = value.lower(), 0
+    for run in re.findall("[a-z]+", low):
+        at = 0
+        while at + LEAST_WORD <= len(run):
+            size = next((k for k in range(min(MOST_WORD, len(run) - at), LEAST_WORD - 1, -1) if run[at : at + k] in words), 0)
+            covered += size
+            at += size or 1
     letters = sum(map(str.isalpha, low))
-    return sum(map(len, _WORDS.findall(low))) / letters if letters else 0.0
+    return covered / letters if letters else 0.0
 
 
-_PAIRS = frozenset(w[i : i + 2] for w in DICTIONARY for i in range(len(w) - 1))
+_PAIRS = frozenset(w[i : i + 2] for w in COMMON for i in range(len(w) - 1))
 
 
-def describe(f: Finding, path: str | None) -> list[float]:
+def describe(f: Finding, path: str | None, words: frozenset[str]) -> list[float]:
     """The values of ``FEATURES``."""
     v = f.value
     kinds, n = _classes(v), len(v)
@@ -172,7 +193,7 @@ def describe(f: Finding, path: str | None) -> list[float]:
     return [
         min(n, 256), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), len(set(kinds)), kinds.count("d") / n, kinds.count("u") / n,
         kinds.count("l") / n, kinds.count("s") / n, sum(c in string.hexdigits for c in v) / n, -sum(c / n * math.log2(c / n) for c in counts),
-        sum(p in _PAIRS for p in pairs) / len(pairs) if pairs else 0.0, _coverage(v), max(counts) / n, float(f.kind not in ("long_run", "assigned")),
+        sum(p in _PAIRS for p in pairs) / len(pairs) if pairs else 0.0, _coverage(v, words), max(counts) / n, float(f.kind not in ("long_run", "assigned")),
         float(bool(PATH_WORDS & set(re.findall("[a-z]+", (path or "").lower())))), float(bool(SECRET_WORDS & pieces)), float(bool(PLAIN_WORDS & pieces)),
         float(bool(SECRET_WORDS & set(after))), float(bool(PLAIN_WORDS & set(after))), float(bool(re.search(r"[=:]>?\s*[\"']?$", f.before))), float(f.before[-1:] in ("\"", "'") and f.before[-1:] == f.after[:1]),
         len(re.split(r"[-_/.+]", v)),
@@ -180,9 +201,10 @@ def describe(f: Finding, path: str | None) -> list[float]:
 
 
 class Forest:
-    """Trees of Gini splits on bootstrap samples, each node over a random choice of features."""
+    """Trees of Gini splits on bootstrap samples, each node over a random choice of features. words: path of its vocabulary file."""
 
-    def __init__(self, trees: int = 40, depth: int = 9, leaf: int = 3, seed: int = 11):
+    def __init__(self, words: str, trees: int = 40, depth: int = 9, leaf: int = 3, seed: int = 11):
+        self.words = words
         self.trees, self.depth, self.leaf, self.seed = trees, depth, leaf, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
@@ -219,13 +241,13 @@ class Forest:
                         self.feature[t, node] = -1
         return self
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(self) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
         """What :meth:`of` makes the forest from again; broadcasts hold these, as workers may not know this class."""
-        return self.feature, self.cut, self.share
+        return self.words, self.feature, self.cut, self.share
 
     @classmethod
-    def of(cls, feature: np.ndarray, cut: np.ndarray, share: np.ndarray) -> Forest:
-        forest = cls(trees=len(feature), depth=(feature.shape[1] + 1).bit_length() - 2)
+    def of(cls, words: str, feature: np.ndarray, cut: np.ndarray, share: np.ndarray) -> Forest:
+        forest = cls(words, trees=len(feature), depth=(feature.shape[1] + 1).bit_length() - 2)
         forest.feature, forest.cut, forest.share = feature, cut, share
         return forest
 
@@ -242,63 +264,92 @@ class Forest:
         return total / self.trees
 
 
-def made_findings(n: int = 4000, seed: int = 5) -> list[tuple[Finding, str, int]]:
-    """Labelled findings (finding, path, label) made from public formats of credentials and of look-alikes, for want of a table of them."""
+def made_findings(n: int = 6000, seed: int = 5) -> list[tuple[Finding, str, int]]:
+    """Labelled findings (finding, path, label) made from public formats of credentials and of look-alikes, for want of a table of them.
+
+    Every shape has real values and placeholders. Real ones are mostly in
+    sources and settings; look-alikes are oftener in tests and documentation and
+    have words about examples, hashes and ids beside them.
+    """
     rng = np.random.default_rng(seed)
-    words, up, low, digit = sorted(DICTIONARY), string.ascii_uppercase, string.ascii_lowercase, string.digits
+    up, low, digit = string.ascii_uppercase, string.ascii_lowercase, string.digits
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
-    word = lambda: words[rng.integers(0, len(words))]
-    some = lambda k: " ".join(word() for _ in range(k))
-    filler = lambda k: " ".join(chars(low, int(rng.integers(2, 9))) for _ in range(k)) if rng.random() < 0.5 else some(k)
     one = lambda xs: xs[rng.integers(0, len(xs))]
-    hexes, b64 = digit + "abcdef", up + low + digit + "+/"
+    word = lambda: one(COMMON)
+    filler = lambda k: " ".join(chars(low, int(rng.integers(2, 9))) for _ in range(k)) if rng.random() < 0.5 else " ".join(word() for _ in range(k))
+    hexes, b64, alnum = digit + "abcdef", up + low + digit + "+/", up + low + digit
+    shaped = {
+        "aws_key_id": (lambda: one(["AKIA", "ASIA"]), lambda: chars(up + digit, 16)),
+        "github_token": (lambda: one(["ghp_", "gho_", "ghs_"]), lambda: chars(alnum, 36)),
+        "slack_token": (lambda: one(["xoxb-", "xoxp-"]), lambda: f"{chars(digit, 11)}-{chars(digit, 12)}-{chars(alnum, 24)}"),
+        "json_web_token": (lambda: "eyJ", lambda: f"{chars(b64[:-2], 20)}.{chars(b64[:-2], 40)}.{chars(b64[:-2], 43)}"),
+        "live_key": (lambda: one(["sk_live_", "rk_live_"]), lambda: chars(alnum, int(rng.integers(24, 60)))),
+        "google_key": (lambda: "AIza", lambda: chars(alnum + "_-", 35)),
+        "private_key": (lambda: f"-----BEGIN {one(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n", lambda: "\n".join(chars(b64, 64) for _ in range(int(rng.integers(3, 20)))) + "\n-----END PRIVATE KEY-----"),
+    }
+    sources = ["src", "app/config", "deploy", "web", "conf.d", "data", "lib/client", "settings", ".env", "src7"]
+    asides = ["test/unit", "docs", "examples", "spec/fixtures", "README", "tutorial", "samples"]
+    plain = ["example", "sample", "dummy", "fake", "placeholder", "test", "mock"]
+    kinds = sorted(shaped)
     out: list[tuple[Finding, str, int]] = []
     while len(out) < n:
         name = one(["password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "auth_token", "client_secret", "key"])
         sep, quote = one(["=", " = ", ": ", ":"]), one(["", "", "\"", "'"])
-        kind = int(rng.integers(0, 16))
-        path, label, shape = one(["src", "app/config", "deploy", "src1", "web", "conf.d", "data", "test/unit", "docs"]), 1, "long_run"
-        before, after = f"{filler(6)} ", f" {filler(6)}"
-        if kind == 0:
-            value, shape = one(["AKIA", "ASIA"]) + chars(up + digit, 16), "aws_key_id"
-        elif kind == 1:
-            value, shape = one(["ghp_", "gho_"]) + chars(up + low + digit, 36), "github_token"
-        elif kind == 2:
-            value, shape = f"eyJ{chars(b64[:-2], 20)}.{chars(b64[:-2], 40)}.{chars(b64[:-2], 43)}", "json_web_token"
-        elif kind in (3, 4):
-            value, shape, before, after = chars(hexes, int(one([16, 18, 20, 32, 40, 64]))), "assigned", f"{filler(5)} {name}{sep}{quote}", f"{quote} {filler(5)}"
-        elif kind == 5:
-            value, shape, before, after = chars(up + low + digit + "!@#$%^&*", int(rng.integers(8, 24))), "assigned", f"{filler(5)} {name}{sep}{quote}", f"{quote} {filler(5)}"
-        elif kind == 6:
-            value, before, after = chars(b64, int(rng.integers(24, 60))), f"{filler(5)} {name}{sep}{quote}", f"{quote} {filler(5)}"
-        elif kind == 7:
-            value, shape = one(["sk_live_", "rk_live_"]) + chars(up + low + digit, 24), "live_key"
+        assigned, closed = f"{filler(5)} {name}{sep}{quote}", f"{quote} {filler(5)}"
+        before, after, shape = f"{filler(6)} ", f" {filler(6)}", "long_run"
+        label, kind = int(rng.random() < 0.5), int(rng.integers(0, 8))
+        path = one(asides if rng.random() < (0.05 if label else 0.5) else sources)
+        if label:
+            if kind < 4:
+                shape = one(kinds)
+                value = shaped[shape][0]() + shaped[shape][1]()
+                if kind < 2:
+                    before, after = assigned, closed
+            elif kind == 4:
+                made = [chars(alnum + "!@#$%^&*", int(rng.integers(8, 24))), word() + chars(alnum, int(rng.integers(5, 10))), word().title() + chars(digit, 3) + one("!@#$%&*") + chars(alnum, 3)]
+                value, shape, before, after = one(made), "assigned", assigned, closed
+            elif kind == 5:
+                value, before, after = chars(b64, int(rng.integers(24, 90))), assigned, closed
+            else:
+                value, shape, before, after = chars(hexes, int(one([16, 18, 20, 32, 40, 64]))), "assigned", assigned, closed
+            if rng.random() < 0.1:
+                after = f"{quote} {one(['secret', 'token', 'key', 'password', 'credentials'])}{after}"
         else:
-            label = 0
-            if kind == 8:
+            if kind in (0, 1):  # placeholders of a shape
+                shape = one(kinds)
+                fill = one(["x" * 40, "EXAMPLE" * 6, "".join(f"{w.title()}" for w in [*plain, "your", "key", "here"]), chars(up, 6) + "EXAMPLE" * 5, "0" * 40, "123456789" * 5, "abcdefghij" * 4, "YOUR" + word().upper() * 8])
+                size = len(shaped[shape][1]())
+                value = shaped[shape][0]() + (fill * 30)[:size] if shape != "private_key" else shaped[shape][0]() + one(["...", "your key here", "MIIexample", fill]) + "\n-----END PRIVATE KEY-----"
+                if rng.random() < 0.5:
+                    before, after = assigned, closed
+            elif kind == 2:  # real-looking, but said to be none, outside of sources
+                shape = one([*kinds, "assigned"])
+                value = shaped[shape][0]() + shaped[shape][1]() if shape in shaped else chars(alnum, 24)
+                path, beside = one(asides), one(plain)
+                before, after = (f"{filler(4)} {beside} {name}{sep}{quote}", closed) if rng.random() < 0.5 else (assigned, f"{quote} {beside} {filler(4)}")
+            elif kind == 3:
                 value, before = chars(hexes, int(one([32, 40, 64]))), f"{filler(5)} {one(['commit', 'sha256', 'md5', 'checksum', 'revision', 'digest', 'hash', 'etag'])}{one([' ', ': ', '=', ':'])}"
-            elif kind == 9:
-                value, before = "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12)), f"{filler(4)} {one(['uuid', 'id', 'guid', 'request_id', filler(1)])}{one([' ', ': ', '='])}"
-            elif kind == 10:
-                value, shape, before = one(["changeme", "password", "yourpassword", "example", "placeholder", "your_token_here", "xxxxxxxx", "********", "string", "${PASSWORD}", "None,", "required", "test1234", "secret123"]), "assigned", f"{filler(5)} {name}{sep}{quote}"
-            elif kind == 11:
-                value = one(["-", "_"]).join(word() for _ in range(int(rng.integers(3, 6)))) + f"-{rng.integers(1, 999)}"
-            elif kind == 12:
-                value, before = "/".join([word(), word(), chars(digit, 4), word() + "-" + word()]), f"{filler(4)} {one(['url', 'http', 'see', 'path'])} "
-            elif kind == 13:
-                value, shape, before = word() + word(), "assigned", f"{filler(5)} {name}{sep}{quote}"
-            elif kind == 14:
-                value, before = chars(digit, int(rng.integers(20, 30))), f"{filler(4)} {one(['order', 'tracking', 'serial', 'invoice', filler(1)])} "
+            elif kind == 4:
+                value, shape, before, after = one(["changeme", "password", "yourpassword", "example", "placeholder", "your_token_here", "xxxxxxxx", "********", "string", "${PASSWORD}", "None,", "required", "test1234", "secret123", word() + word(), word() + "_" + word()]), "assigned", assigned, closed
+            elif kind == 5:
+                value = one([one(["-", "_"]).join(word() for _ in range(int(rng.integers(3, 6)))) + f"-{rng.integers(1, 999)}", "/".join([word(), word(), chars(digit, 4), word() + "-" + word()])])
+                before = f"{filler(4)} {one(['url', 'http', 'see', 'path', filler(1)])} "
+            elif kind == 6:
+                value, before = one([chars(digit, int(rng.integers(20, 30))), "-".join(chars(hexes, k) for k in (8, 4, 4, 4, 12))]), f"{filler(4)} {one(['order', 'tracking', 'serial', 'invoice', 'uuid', 'id', 'request_id', filler(1)])}{one([' ', ': ', '='])}"
             else:
                 value, before = chars(b64, int(rng.integers(40, 120))), f"{filler(4)} {one(['data', 'image', 'base64', 'integrity'])}{one([':', '=', ','])}"
+            if rng.random() < 0.1:
+                after = f"{quote} {one([*plain, 'checksum', 'hash', 'uuid'])}{after}"
         out.append((Finding(shape, 0, value, before[-NEAR:], after[:NEAR]), path, label))
     return out
 
 
-def train_forest(labelled: Sequence[tuple[Finding, str | None, int]] | None = None) -> Forest:
-    """A forest from labelled findings; without any, from made ones."""
+def train_forest(labelled: Sequence[tuple[Finding, str | None, int]] | None = None, words: str | None = None) -> Forest:
+    """A forest from labelled findings; without any, from made ones. words: path of the vocabulary file whose words are the dictionary."""
     rows = list(labelled) if labelled is not None else made_findings()
-    return Forest().fit(np.array([describe(f, path) for f, path, _ in rows], np.float32), np.array([y for *_, y in rows], np.float64))
+    words = words or vocabulary("word_bpe_49k.json")
+    known = dictionary(words)
+    return Forest(words).fit(np.array([describe(f, path, known) for f, path, _ in rows], np.float32), np.array([y for *_, y in rows], np.float64))
 
 
 FOUND = "doc_id long, start long, length long, kind string, value_sha256 string, score double, is_secret boolean"
@@ -306,7 +357,8 @@ FOUND = "doc_id long, start long, length long, kind string, value_sha256 string,
 
 def _scored(texts: list[str | None], paths: list[str | None], forest: Forest) -> Iterator[tuple[int, Finding, float]]:
     """(row, finding, score) of all candidates, overlaps settled."""
-    found = [(k, f, describe(f, paths[k])) for k, t in enumerate(texts) if t for f in candidates(t)]
+    known = dictionary(forest.words)
+    found = [(k, f, describe(f, paths[k], known)) for k, t in enumerate(texts) if t for f in candidates(t)]
     if found:
         scores = forest.predict(np.array([d for *_, d in found], np.float32))
         rows: dict[int, list[tuple[Finding, float]]] = {}
