@@ -1,13 +1,13 @@
 """Shards from a k-d tree over document metadata.
 
-The tree splits all documents at the median of their bytes along the widest
+Documents with equal texts are one unit, weighted by all their bytes; only a
+group of more than a share of a shard is dealt into several units of about that
+size. The tree splits all units at the median of their bytes along the widest
 metadata dimension, then each half likewise, until the leaves have the target
 bytes. Medians are found for all nodes of a level together, by distributed
 histograms that narrow down on the cut; the driver sees only bounded counts.
-Equal values are cut by a hash of the text and then by id, so a value that a
-third of the rows share is split exactly, and copies stay together but for the
-one group that a cut meets. This holds for dimensions that copies have in
-common, as the default ones; doc_id only breaks ties.
+Equal values are cut by a hash of the text and then by the unit's number, so a
+value that a third of the rows share is split, and no unit is.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import drop_written, written
 
 #: Buckets of a node's histogram, and rows of a node that the driver reads to end the search for a cut: both are bounds.
 BUCKETS, FEW_ROWS = 4096, 4096
+#: A group of equal texts of up to this share of a shard stays together; larger ones are dealt into units of about this size.
+WHOLE_SHARE = 1 / 32
 #: Rows of each group that is numbered by itself.
 SLOT_ROWS = 20_000
 EDGE = 1 << 62
@@ -41,7 +43,7 @@ def _of(node: Column, values: dict[int, int]) -> Column:
 
 
 def _find_cuts(rows: DataFrame, dim_of: dict[int, int], half: dict[int, float]) -> dict[int, tuple[int, int, int]]:
-    """For each node the (dimension value, text key, id) up to which rows go left, so that their bytes come nearest to ``half``.
+    """For each node the (dimension value, text key, unit) up to which rows go left, so that their bytes come nearest to ``half``.
 
     Histograms of one key narrow down to a few rows, which the driver reads;
     where one value alone has more rows, the next key goes on inside it.
@@ -108,21 +110,27 @@ def kd_leaves(docs: DataFrame, leaves: int = 16, dims: Sequence[str] = ("n_chars
     """``docs`` reduced to id, size and text_crc32 with their leaf of a tree of ``leaves`` (a power of two).
 
     size: the text's UTF-8 bytes plus one (null: one). Null metadata counts as
-    the least value; dimensions that the table lacks are left out; an empty
-    table gives no rows.
+    the least value; copies whose metadata differ have the least of it;
+    dimensions that the table lacks are left out; an empty table gives no rows.
     """
     kinds = dict(docs.dtypes)
     use = [d for d in dims if d in kinds]
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    every = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("weight"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 2).alias("key_text"),
-        F.greatest(F.least(F.coalesce(F.col("doc_id").cast("long"), F.lit(-EDGE)), F.lit(EDGE)), F.lit(-EDGE)).alias("key_id"),
         F.array(*(_ordered(d, kinds[d]) for d in use)).alias("dims"),
-        F.lit(1).alias("node"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    every = written(every, "kd")
+    most = (every.agg(F.sum("weight")).first()[0] or 0) * WHOLE_SHARE / leaves
+    large = every.groupBy("key_text").agg(F.sum("weight").alias("all"), F.count("*").alias("n")).filter((F.col("all") > most) & (F.col("n") > 1))
+    large = large.select("key_text", F.least(F.ceil(F.col("all") / most), "n").alias("units"))
+    every = every.join(F.broadcast(large), "key_text", "left")  # at most leaves / WHOLE_SHARE groups
+    every = every.withColumn("key_id", F.coalesce(F.pmod(F.xxhash64("row"), "units"), F.lit(0)).cast("long")).drop("units")
+    rows = every.groupBy("key_text", "key_id").agg(F.sum("weight").alias("weight"), F.min("dims").alias("dims")).withColumn("node", F.lit(1))
     rows = written(rows, "kd")
     root: list[int] = []
     for _ in range(leaves.bit_length() - 1):
@@ -140,22 +148,23 @@ def kd_leaves(docs: DataFrame, leaves: int = 16, dims: Sequence[str] = ("n_chars
         before = rows
         rows = written(rows.withColumn("node", node * 2 + F.when(own <= last, 0).otherwise(1)), "kd")
         drop_written(before)
-    return rows.select("doc_id", F.col("weight").alias("size"), "text_crc32", "key_text", (F.col("node") - leaves).cast("int").alias("shard"))
+    leaf = rows.select("key_text", "key_id", (F.col("node") - leaves).cast("int").alias("shard"))
+    return every.join(leaf, ["key_text", "key_id"]).select("doc_id", F.col("weight").alias("size"), "text_crc32", "row", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, dims: Sequence[str] = ("n_chars", "lang")) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The law is ``bytes``: the shards' sizes differ by about a document. Slots
-    are numbered in groups of bounded size, whose starts come from their counts.
+    The law is ``bytes``: the shards' sizes differ by about a unit. Equal texts
+    share a shard unless they are more than ``WHOLE_SHARE`` of one. Slots are numbered in groups of bounded size, whose starts come from their counts.
     """
     placed = written(kd_leaves(docs, shards, dims), "leaves")
     groups = max(32, -(-placed.count() // (shards * SLOT_ROWS)))
-    placed = placed.withColumn("grp", F.pmod(F.xxhash64("doc_id", "key_text"), F.lit(groups)))
+    placed = placed.withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
     counts = placed.groupBy("shard", "grp").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = Window.partitionBy("shard", "grp").orderBy(F.col("doc_id").asc_nulls_first(), "key_text")
+    inside = Window.partitionBy("shard", "grp").orderBy(F.col("doc_id").asc_nulls_first(), "row")
     numbered = placed.withColumn("own", F.row_number().over(inside) - 1)
     return numbered.join(starts, ["shard", "grp"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
