@@ -113,12 +113,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bi
     """Weights learnt from labelled documents that aren't held out.
 
     At most ``sample_rows`` rows of ``labels`` are used, those with the least
-    hash of the id. Null labels and ids are left out; a document with two
-    labels counts twice; without any labelled row all weights are 0.
+    hash of the id. Null labels and ids are left out; an id with both labels
+    counts twice, one that is repeated once a label, with its least text, so
+    the rows to fit are bounded too; without any labelled row all weights are 0.
     """
     rows = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").filter(~is_held_out(F.col("doc_id")))
-    sample = rows.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "label").limit(sample_rows)
+    sample = rows.distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "label").limit(sample_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows ids
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     one = texts.select("text", "label", F.xxhash64("doc_id").alias("by")).repartition(1).sortWithinPartitions("by", "label").select("text", "label")
     got = one.mapInArrow(lambda it: _fit(it, bits), "weights binary").collect()
     return np.frombuffer(got[0][0], np.float32) if got else np.zeros((1 << bits) + 1, np.float32)

@@ -189,6 +189,8 @@ def test_quality(spark, data, docs, odd, none):
     good = held["score"] >= 0.3
     assert (good == (held["quality"] == 1)).mean() > 0.9
     assert all((zlib.crc32(str(i).encode()) % 5 == 0) == h for i, h in zip(held["doc_id"], held["held"], strict=True))
+    again = quality.train(docs.union(docs).union(docs.filter("doc_id % 3 = 0")), labels.union(labels))  # repeated rows are fitted once
+    assert np.array_equal(again, quality.train(docs, labels))
     scored = quality.score(odd, weights, ["doc_id", "text"])
     assert scored.count() == len(ODD) + 3 and scored.filter("score is null or score < 0 or score > 1").count() == 0
     assert quality.score(none, weights, ["doc_id"]).count() == 0 and not quality.train(none, labels).any()
