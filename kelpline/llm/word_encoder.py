@@ -3,12 +3,15 @@
 The texts are cut at blanks and line feeds, which such a tokenizer never puts
 into a token, so the ids of a text are the ids of its chunks in order. Chunks
 recur: each distinct chunk is encoded once by the library and then looked up.
+Chunks of lower-case Latin-1 letters alone, which the normalizer and the
+pre-tokenizer leave as they are, go to the library's model directly.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,6 +32,15 @@ MARK, JOINED = "0", 2000
 CACHE_CHARS = 64
 
 
+#: Letters that need no normalizer.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Bytes that the byte-level alphabet doesn't write as themselves but, in order, as the signs from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+#: Those letters as that alphabet writes them.
+_BYTE_SIGNS = {c: "".join(chr(256 + _HIDDEN.index(b) if b in _HIDDEN else b) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+#: Words on which both ways must agree, or all goes through the whole library.
+_PROBES = ["the", "\u00fcber", "stra\u00dfe", "a" * 40, *(f"x{chr(c)}y" for c in range(0xDF, 0x100) if c != 0xF7)]
+
 #: Full stops and commas that end a word, in Latin-1 lower case.
 _ENDS = re.compile("(?<=[a-z0-9\u00df-\u00f6\u00f8-\u00ff])([.,]+)(?=[ \n])")
 
@@ -91,10 +103,16 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.model = self.tokenizer.model
+        self.direct = all(self._letter_ids(p) == self._ids(p).tobytes() for p in _PROBES)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def _letter_ids(self, word: str) -> bytes:
+        """Ids of a word of ``_LETTERS``, by the model alone."""
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(_BYTE_SIGNS))]).tobytes()
+
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Many are encoded in one text, between marks that no chunk contains."""
         out: list[bytes] = []
@@ -124,26 +142,32 @@ class WordEncoder:
         """Ids of distinct chunks. New ones are encoded by their stems and the signs that end them, and remembered."""
         if len(self.known) > CACHE_CHUNKS:
             self.older, self.known = self.known, {"": b""}
-        found = self._remembered(chunks)
+        found, known = self._remembered(chunks), self.known
         alone, cut = [], []
-        for k, ids in enumerate(found):
-            if ids is None:
-                c = chunks[k]
-                if len(c) > CACHE_CHARS or MARK in c or self.mark is None:
-                    alone.append(k)
-                elif c[-1].isalnum() and c.isascii():
-                    cut.append((k, c.lower() if "<|" not in c else c, ""))
-                else:
-                    stem = _stem(c)
-                    cut.append((k, stem, c[len(stem) :]))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            c = chunks[k]
+            if len(c) > CACHE_CHARS:
+                alone.append(k)
+            elif self.direct and _LETTERS(c):
+                known[c] = found[k] = self._letter_ids(c)
+            elif MARK in c or self.mark is None:
+                alone.append(k)
+            else:
+                stem = _stem(c)
+                cut.append((k, stem, c[len(stem) :]))
         parts = list({x for _, *pair in cut for x in pair})
         ids_of = dict(zip(parts, self._remembered(parts), strict=True))
-        new = [p for p, ids in ids_of.items() if ids is None]
+        new = []
+        for p in [p for p, ids in ids_of.items() if ids is None]:
+            if self.direct and _LETTERS(p):
+                known[p] = ids_of[p] = self._letter_ids(p)
+            else:
+                new.append(p)
         made = dict(zip(new, self._encode_chunks(new), strict=True))
         ids_of |= made
-        self.known |= made
+        known |= made
         for k, stem, signs in cut:
-            found[k] = self.known[chunks[k]] = ids_of[stem] + ids_of[signs]
+            found[k] = known[chunks[k]] = ids_of[stem] + ids_of[signs]
         for k in alone:
             found[k] = self._ids(chunks[k]).tobytes()
         return found
