@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache, written
+from .common import drop_written, worker_cache, written
 from .components import components
 
 #: Set sizes from which on frequent grams are dealt into so many classes. With five grams a class, more than ``lack`` are always left beyond the first of pairs' and the first two of triples' classes where similarity is above 3/4.
@@ -291,7 +291,9 @@ def _shared(reps: DataFrame) -> DataFrame:
     rows = written(rows.join(repeated.select("sig", "c"), "sig"), "repeated")
     of = rows.groupBy("sig", "c").agg(F.max("node").alias("z"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("h"), F.max(F.when(F.col("node") == F.col("c"), F.col("n"))).alias("n_c"))
     one = of.groupBy("c", "z", "k", "h").agg(F.min("sig").alias("sig"), F.max("n_c").alias("n_c"))
-    return written(rows.drop("c").join(one.select("sig", "c", "n_c", "k"), "sig"), "shared")
+    shared = written(rows.drop("c").join(one.select("sig", "c", "n_c", "k"), "sig"), "shared")
+    drop_written(rows)
+    return shared
 
 
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -402,6 +404,7 @@ def _class_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     part = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num) if num < den else 1.0) + 1e-9).cast("int")
     rows = shared.filter("k > 2").select("sig", "node", "n", F.explode(F.array(part, part + 1)).alias("part"), part.alias("own"))
     rows = written(_open(rows, labels), "open")
+    drop_written(shared)
     order = F.struct(F.xxhash64("node", "sig", "part").alias("h"), "node", "n", "comp")
     one = rows.groupBy("sig", "part", "comp").agg(F.min(order).alias("one"))
     first = rows.groupBy("sig", "part").agg(F.min(order).alias("first"))
@@ -413,8 +416,10 @@ def _class_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     links = links.union(_links(held_texts, again, n, num, den))
     labels = components(links)
 
+    before = rows
     rows = _open(rows, labels).join(reps.select("node", "bits", "long_bits"), "node").select("sig", "part", "own", "node", "comp", "n", "bits", "long_bits")
     rows = written(rows, "left")
+    drop_written(before)
     sizes = rows.groupBy("sig", "part", "comp").agg(F.count("*").alias("k"))
     most = sizes.groupBy("sig", "part").agg(F.max(F.struct("k", "comp"))["comp"].alias("most"))
     x, y = (rows.toDF("sig", "part", *(f"{c}_{s}" for c in rows.columns[2:])) for s in "xy")
@@ -423,6 +428,7 @@ def _class_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame
     pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     done = star.union(again)
     pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    drop_written(rows)
     more = _ends(pairs).join(_ends(done), "node", "left_anti")
     held_texts = held_texts.union(_texts_of(lookup, reps.select("node", "row").join(more, "node")))
     return members, reps, links.union(_links(held_texts, pairs, n, num, den)), held_texts
