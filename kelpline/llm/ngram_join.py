@@ -34,9 +34,9 @@ from .common import drop_written, worker_cache, written
 from .components import components
 
 #: Set sizes from which on frequent grams are dealt into so many classes. With five grams a class, more than ``lack`` are always left beyond the first of pairs' and the first two of triples' classes where similarity is above 3/4.
-LEVELS = ((0, 1), (40, 8), (320, 64), (2560, 512), (20480, 4096))
-#: Levels from this one on index rare grams in pairs too: the prefix of a large set is long, and some of its grams are in others by chance.
-PAIRED = 2
+LEVELS = ((0, 1), (40, 8), (320, 64), (1280, 256), (5120, 1024), (20480, 4096))
+#: Levels from this one on index rare grams in pairs too, if grams are of so many words at most: the prefix of a large set is long, and some of its short grams are in others by chance.
+PAIRED, PAIRED_WORDS = 2, 3
 #: Documents with a gram from which on it is frequent (indexed in pairs) and very frequent (in triples).
 FREQUENT, VERY_FREQUENT = 8, 256
 #: Grams counted together, and the least count in them that is reported; the most frequent grams known (a bound of what is broadcast: the rest count as rare, which costs time but no link).
@@ -182,8 +182,8 @@ def _ordered(grams: np.ndarray, most: int, frequent: np.ndarray, rank: np.ndarra
     return np.concatenate([rare, part[often][order]]), len(rare), np.concatenate([np.zeros(len(rare), bool), rank[by][order] >= VERY_FREQUENT])
 
 
-def signatures(grams: np.ndarray, num: int, den: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Signatures of a set. frequent: sorted hashes with ``rank`` (the number of documents; rarer ones come first)."""
+def signatures(grams: np.ndarray, num: int, den: int, frequent: np.ndarray, rank: np.ndarray, paired: int = PAIRED) -> np.ndarray:
+    """Signatures of a set. frequent: sorted hashes with ``rank`` (the number of documents; rarer ones come first); paired: as ``PAIRED``."""
     n = len(grams)
     lack = n - -(-num * n // den)
     if 4 * num <= 3 * den:  # classes may hold too few
@@ -191,7 +191,7 @@ def signatures(grams: np.ndarray, num: int, den: int, frequent: np.ndarray, rank
     out = []
     for level in range(_level(n - lack), _level(n) + 1):
         classes = LEVELS[level][1]
-        single = level < PAIRED
+        single = level < paired
         ordered, n_rare, wide = _ordered(grams, lack + 1 if single else 2 * (lack + 1 + classes), frequent, rank)
         if single:
             out.append(_mix(ordered[: min(n_rare, lack + 1)] + np.uint64(1)))
@@ -203,6 +203,7 @@ def signatures(grams: np.ndarray, num: int, den: int, frequent: np.ndarray, rank
 
 
 def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    paired = PAIRED if n <= PAIRED_WORDS else len(LEVELS)
     for batch in batches:
         rows: dict[bytes, tuple] = {}
         for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -213,7 +214,7 @@ def _index(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, freque
                 if doc is not None and (old[0] is None or doc < old[0]):
                     rows[key] = (doc, row, *old[2:])
             elif len(grams):
-                rows[key] = (doc, row, len(grams), signatures(grams, num, den, frequent, rank).view(np.int64), parities(grams), parities(grams, LONG_PARITY_LONGS) if len(grams) >= LONG_SET else [])
+                rows[key] = (doc, row, len(grams), signatures(grams, num, den, frequent, rank, paired).view(np.int64), parities(grams), parities(grams, LONG_PARITY_LONGS) if len(grams) >= LONG_SET else [])
         cols = list(zip(*rows.values(), strict=True)) or [()] * 6
         kinds = (*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 3)
         yield pa.RecordBatch.from_arrays([pa.array(rows.keys(), pa.binary()), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["key", "doc_id", "row", "n", "sigs", "bits", "long_bits"])

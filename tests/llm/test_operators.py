@@ -266,27 +266,27 @@ def test_ngram_join_counts_all_links(spark, docs, monkeypatch, block):
 
 
 @pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (70, 100)])
-@pytest.mark.parametrize("very", [1.0, 0.0])
-def test_signatures_are_shared_by_similar_sets(num, den, very):
+@pytest.mark.parametrize(("very", "paired"), [(1.0, 2), (0.0, 2), (1.0, 9)])
+def test_signatures_are_shared_by_similar_sets(num, den, very, paired):
     """Also where all of a larger set's additions and a smaller one's losses are rare grams, on both sides of a level."""
     rng = np.random.default_rng(2)
     universe = np.unique(rng.integers(0, 1 << 63, 9000).astype(np.uint64))
     frequent = universe[::2]
     rank = rng.integers(8, 600, len(frequent))
     rank[rng.random(len(frequent)) < very / 2] += 600
-    for size in (1, 2, 3, 4, 5, 9, 10, 20, 39, 40, 44, 90, 107, 319, 325, 350, 900, 2700):
+    for size in (1, 2, 3, 4, 5, 9, 10, 20, 39, 40, 44, 90, 107, 319, 325, 350, 900, 1270, 1400, 2700):
         for pool in (universe, frequent):
             for _ in range(20):
                 a = np.sort(rng.choice(pool, size, replace=False))
                 lose = size - -(-num * size // den)
                 b = np.delete(a, rng.choice(size, lose, replace=False)) if lose else a
                 if len(b) < len(a) or size > 9:
-                    sig = [ngram_join.signatures(x, num, den, frequent, rank) for x in (a, b)]
+                    sig = [ngram_join.signatures(x, num, den, frequent, rank, paired) for x in (a, b)]
                     assert len(np.intersect1d(*sig))
                 more = np.union1d(b, rng.choice(universe, lose // 2, replace=False)) if lose > 1 else b
                 both = len(np.intersect1d(a, more))
                 if both * den >= (len(a) + len(more) - both) * num and len(more) != both:
-                    assert len(np.intersect1d(*(ngram_join.signatures(x, num, den, frequent, rank) for x in (a, more))))
+                    assert len(np.intersect1d(*(ngram_join.signatures(x, num, den, frequent, rank, paired) for x in (a, more))))
 
 
 def test_ngram_join_links_through_rows_without_id(spark):
