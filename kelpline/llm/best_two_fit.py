@@ -32,9 +32,9 @@ NTH = "nth long"
 def _cut_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     enc, seen = encoder(path), 0
     for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        docs, texts = batch.column(0).to_pylist(), batch.column(1)
         for first, last in slices(texts):
-            ids, at = enc.encode_flat(texts[first:last], [end_id])
+            ids, at = enc.encode_flat(texts.slice(first, last - first).to_pylist(), [end_id])
             rows: list[tuple] = []
             for doc, a, b in zip(docs[first:last], at[:-1].tolist(), at[1:].tolist(), strict=True):
                 for k, lo in enumerate(range(a, b, capacity)):

@@ -9,6 +9,7 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,6 +68,7 @@ def worker_cache(key: str, make):
     if key not in held:
         if held:
             held.clear()
+            pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
         held[key] = make()

@@ -34,9 +34,9 @@ ORC_OPTIONS = {
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(1)
         for lo, hi in slices(texts):
-            ids, ends = enc.encode_flat(texts[lo:hi], [end_id])
+            ids, ends = enc.encode_flat(texts.slice(lo, hi - lo).to_pylist(), [end_id])
             for a, b in _cuts(ends):
                 lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[b]].view("<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), lists], ["doc_id", "ids"])

@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 from .common import worker_cache
 
 #: Distinct chunks of a generation; a worker remembers two, and drops those that weren't met in the last one.
-CACHE_CHUNKS = 300_000
-#: Characters of texts that are cut and looked up at once, unless one text alone has more.
-SLICE_CHARS = 4 << 20
+CACHE_CHUNKS = 200_000
+#: Bytes of texts that are cut and looked up at once, unless one text alone has more.
+SLICE_BYTES = 3 << 20
 #: Signs that the pre-tokenizer keeps together and apart from letters and digits.
 SIGNS = ".,;:!?%&*#$|"
 #: A text that is always one token of its own between blanks, and how many chunks are encoded between such marks at once.
@@ -78,17 +78,14 @@ def _stem(chunk: str) -> str:
     return stem.lower() if stem.isascii() and "<|" not in stem else stem
 
 
-def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``SLICE_CHARS`` characters each."""
-    a = held = 0
-    for k, text in enumerate(texts):
-        n = len(text or "") + 1
-        if k > a and held + n > SLICE_CHARS:
-            yield a, k
-            a, held = k, 0
-        held += n
-    if a < len(texts):
-        yield a, len(texts)
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``SLICE_BYTES`` each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield a, b
+        a = b
 
 
 class WordEncoder:
