@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -74,30 +75,33 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; one of its own is set only where none is."""
+    """``df`` computed once and kept in the shared checkpoint folder; one of its own is set only where none is and all runs on this machine."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp())
     return df.checkpoint()
 
 
-def label_components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def label_components(links: DataFrame) -> DataFrame:
     """node, comp of the graph with links (a, b): the least node that can be reached.
 
     Each round takes the least label of a node, its neighbours and its label's
-    label; every round is checkpointed, so plans stay short and executors may go.
+    label, until none moves; every round is checkpointed, so plans stay short and
+    executors may go.
     """
     both = checkpointed(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("comp").alias("near"))
         up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = checkpointed(labels.join(near, "node").join(up, "comp", "left").select("node", "comp", F.least("near", "comp", F.coalesce("up", "comp")).alias("next")))
         moved = new.filter("next != comp").limit(1).count()
         labels = new.select("node", F.col("next").alias("comp"))
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def confusion(df: DataFrame, predicted: Column, label: Column, keys: Sequence[str] = ()) -> DataFrame:

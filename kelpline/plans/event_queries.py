@@ -1,8 +1,7 @@
 """Event studies: windows around events, controls, effects, bands, multiple tests, placebos, bootstraps."""
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import benjamini_hochberg
@@ -11,8 +10,8 @@ from .registry import RV, query
 
 #: Months on each side of an event.
 WINDOW = 6
-#: Seed of all random draws, and the number of placebo draws and of bootstrap repeats.
-SEED, DRAWS, REPEATS = 20260923, 2000, 200
+#: Seed of all random draws, the number of placebo draws a unit and of bootstrap repeats.
+SEED, UNIT_DRAWS, REPEATS = 20260923, 20, 200
 
 
 def monthly_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -130,30 +129,38 @@ def placebo_draws(spark: SparkSession, d: str) -> DataFrame:
     """The natural swing: (q95 - q05) / 3.29 of changes at random months of random units, in two sets."""
     counts = monthly_counts(spark, d)
     span = counts.groupBy("brand", "product_type").agg(F.min("mi").alias("lo"), F.max("mi").alias("hi"), F.sum("n").alias("total")).filter("total >= 60 and hi - lo > 2 * 6")
-    per_unit = 20
-    draws = span.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_unit))))
-    draws = draws.withColumn("m0", (F.col("lo") + WINDOW + F.floor(F.rand(SEED) * (F.col("hi") - F.col("lo") - 2 * WINDOW + 1))).cast("int"))
+    draws = span.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(UNIT_DRAWS))))
+    draws = draws.withColumn("m0", (F.col("lo") + WINDOW + F.floor(uniform("brand", "product_type", "draw") * (F.col("hi") - F.col("lo") - 2 * WINDOW + 1))).cast("int"))
     changes = windows(counts, draws.select("brand", "product_type", "draw", "m0"), ["brand", "product_type", "draw", "m0"])
     sets = changes.withColumn("set", F.when(F.col("draw") % 2 == 0, "A").otherwise("B"))
     q = sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.percentile("log_change", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     return q.select("set", "n", ((F.col("q")[1] - F.col("q")[0]) / (2 * 1.645)).alias("swing"))
 
 
-def poisson(rate_col: str, seed: int):
-    """A pandas UDF of Poisson draws, for which there is no built-in function."""
+def uniform(*keys: str | Column) -> Column:
+    """A number in 0 to 1 from the hash of ``keys``: the same however rows are partitioned."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *keys), 11) / float(1 << 53)
 
-    @F.pandas_udf("long")
-    def draw(rate: pd.Series) -> pd.Series:
-        return pd.Series(np.random.default_rng([seed, len(rate), int(rate.sum())]).poisson(rate.clip(lower=0)))
 
-    return draw(F.col(rate_col).cast("double"))
+def poisson(rate: Column, *keys: str | Column) -> Column:
+    """A Poisson draw of whole mean ``rate`` from hashes: for small rates as many unit steps of exponential gaps as fit, for large ones the rounded normal."""
+    u, v = uniform(F.lit("u"), *keys), uniform(F.lit("v"), *keys)
+    normal = F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * np.pi * v)
+    large = F.greatest(F.lit(0.0), F.floor(rate + F.sqrt(rate) * normal + 0.5).cast("double"))
+    # by inversion: the first k whose cumulated probability reaches u; beyond 60 nothing is left for rates of up to 12
+    steps = F.aggregate(
+        F.sequence(F.lit(0), F.lit(60)),
+        F.struct(F.exp(-rate).alias("p"), F.lit(0.0).alias("total"), F.lit(0.0).alias("k")),
+        lambda s, k: F.struct((s["p"] * rate / (k + 1)).alias("p"), (s["total"] + s["p"]).alias("total"), F.when(s["total"] + s["p"] < u, s["k"] + 1.0).otherwise(s["k"]).alias("k")),
+    )["k"]
+    return F.when(rate <= 12, steps).otherwise(large).cast("long")
 
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """5 to 95 % of the mean low share of each type over resampled counts: Poisson weights of cells stand for drawing rows."""
     cells = reviews(spark, d).groupBy("product_type", "low").agg(F.count(F.lit(1)).alias("n"))
-    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).withColumn("w", poisson("n", SEED))
+    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).withColumn("w", poisson(F.col("n").cast("double"), "product_type", "low", "rep"))
     means = reps.groupBy("product_type", "rep").agg((F.sum(F.col("w") * F.col("low")) / F.sum("w")).alias("m"))
     q = means.groupBy("product_type").agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     return q.select("product_type", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
@@ -163,7 +170,7 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 def pooled_effect(spark: SparkSession, d: str) -> DataFrame:
     """The mean log effect by type with a bootstrap by unit."""
     rows = effects(event_windows(spark, d)).withColumn("x", F.log(F.col("effect") + 1))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).withColumn("one", F.lit(1)).withColumn("w", poisson("one", SEED + 1))
+    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).withColumn("w", poisson(F.lit(1.0), "product_type", "brand", "rep"))
     means = reps.groupBy("product_type", "rep").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     q = means.groupBy("product_type").agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.avg("m").alias("mean"))
     return q.select("product_type", "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
