@@ -132,3 +132,6 @@ MONTHS_A_UNIT = {"day": 1 / 30.4, "week": 1 / 4.35, "month": 1.0, "year": 12.0}
 FAIL_BANDS = [(1, "Under a month"), (4, "1 to 3 months"), (12, "4 to 11 months"), (24, "About a year"), (999, "2 years or more")]
 LATEST_FAILURE = 72
 AGE_BANDS = [(6, "0 to 6 months"), (12, "7 to 12 months"), (24, "Year 2"), (48, "Years 3 to 4"), (999, "Year 5+")]
+
+# Months on each side of an event, by kind.
+EVENT_WINDOWS = {"sibling_launch": 12, "refurbished": 12, "low_rating": 3}

@@ -4,14 +4,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import benjamini_hochberg
+from ..fixed import EVENT_WINDOWS
+from ..operators.event_study import Z95, effects, judged, low_rating_events, natural_swing, placebo_events, placed, select_controls, window_pool
+from ..operators.event_study import comparison_band as bands
+from ..operators.relational import benjamini_hochberg, checkpointed
 from ..sources.readers import read_table, reviews
 from .registry import RV, query
+from .review_queries import COMPLETE
 
 #: Months on each side of an event.
 WINDOW = 6
-#: Seed of all random draws, the number of placebo draws a unit and of bootstrap repeats.
-SEED, UNIT_DRAWS, REPEATS = 20260923, 20, 200
+#: Seed of random draws, placebo draws a set, repeats of a type's bootstrap and of the pooled one.
+SEED, DRAWS, REPEATS, POOLED_REPEATS = 20260923, 12000, 200, 2000
 
 
 def monthly_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -50,55 +54,128 @@ def event_window_effect(spark: SparkSession, d: str) -> DataFrame:
     return event_windows(spark, d)
 
 
-def controls(w: DataFrame, most: int = 10) -> DataFrame:
-    """For each unit its nearest units of the type by level, of another brand, no further than threefold; then up to fivefold where three are too few."""
-    a = w.select("product_type", "brand", "m0", "pre", "log_change")
-    b = w.select("product_type", F.col("brand").alias("control"), F.col("m0").alias("m0_c"), F.col("pre").alias("pre_c"), F.col("log_change").alias("change_c"))
-    gap = F.round(F.abs(F.log(F.col("pre") / F.col("pre_c"))), 6)
-    near = a.filter("pre > 0").join(b.filter("pre_c > 0"), "product_type").filter("brand != control").withColumn("gap", gap).filter("gap <= ln(5.0)")
-    near = near.withColumn("tier", F.when((F.abs(F.col("m0") - F.col("m0_c")) <= 24) & (F.col("gap") <= F.log(F.lit(3.0))), 1).otherwise(2))
-    strict = F.count(F.when(F.col("tier") == 1, 1)).over(Window.partitionBy("product_type", "brand"))
-    near = near.withColumn("strict", strict).filter("strict < 3 or tier = 1")
-    order = Window.partitionBy("product_type", "brand").orderBy("gap", "control")
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-
-
-CONTROL_SQL = WINDOW_SQL + """, nr AS (SELECT a.product_type, a.brand, b.brand AS control, a.log_change, b.log_change AS change_c, a.pre, b.pre AS pre_c, round(abs(ln(a.pre / b.pre)), 6) AS gap, CASE WHEN abs(a.m0 - b.m0) <= 24 AND round(abs(ln(a.pre / b.pre)), 6) <= ln(3.0) THEN 1 ELSE 2 END AS tier
-  FROM lg a JOIN lg b ON a.product_type = b.product_type AND a.brand <> b.brand WHERE a.pre > 0 AND b.pre > 0 AND round(abs(ln(a.pre / b.pre)), 6) <= ln(5.0)),
-ns AS (SELECT *, count(*) FILTER (WHERE tier = 1) OVER (PARTITION BY product_type, brand) AS strict FROM nr),
-ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_type, brand ORDER BY gap, control) AS place FROM ns WHERE strict < 3 OR tier = 1) WHERE place <= 10)
+class Study:
+    """The study's tables: units are brands, families six lines of brands, a sibling is a part of the brand, types are the two brand sets, the broad type is all."""
+
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        rv = reviews(spark, d).withColumnRenamed("unit_id", "part").withColumn("mi", F.year("review_date") * 12 + F.month("review_date") - 1)
+        new = rv.filter("channel = 'new'")
+        self.counts = new.groupBy(F.col("brand").alias("unit"), "mi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").cast("long")).alias("stars"))
+        launches = rv.groupBy(F.col("brand").alias("unit"), "part").agg(F.min("mi").alias("at"))
+        units = rv.groupBy(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type")).agg(
+            F.min("mi").alias("launch_mi"), F.min(F.when(F.col("channel") == "new", F.col("mi"))).alias("first_mi"), F.min(F.when(F.col("channel") != "new", F.col("mi"))).alias("again_mi"), F.count(F.when(F.col("channel") == "new", 1)).alias("total"))
+        line = F.concat(F.lit("line "), F.substring("unit", 7, 10).cast("int") % 6)
+        self.units = units.filter("first_mi is not null").withColumns({"family": line, "broad": F.lit("all")})
+        low = low_rating_events(self.counts, LAST)
+        siblings = launches.join(self.units.select("unit", "launch_mi", "first_mi"), "unit").filter("at <> launch_mi")
+        spans = (F.col("first_mi") <= F.col("m0") - 6) & (F.col("m0") + 6 <= LAST)
+        merged = siblings.groupBy("unit", "first_mi", F.col("at").alias("m0")).agg(F.array_sort(F.collect_list(F.col("part").cast("string"))).alias("names"))
+        detail = F.when(F.size("names") < 4, F.array_join(F.transform("names", lambda x: F.concat(x, F.lit(" launched"))), "; ")).otherwise(F.concat(F.size("names"), F.lit(" siblings launched")))
+        again = self.units.filter("again_mi is not null").select("unit", "first_mi", F.col("again_mi").alias("m0"))
+        kind = lambda df, name, detail: df.select(F.lit(name).alias("event_type"), "unit", F.col("m0").cast("int").alias("m0"), detail.alias("detail"))
+        self.events = kind(merged.filter(spans), "sibling_launch", detail).union(kind(again.filter(spans), "refurbished", F.lit("first refurbished review"))).union(kind(low, "low_rating", F.lit("low rating")))
+        self.events = self.events.withColumn("event_id", F.concat_ws("/", "event_type", "unit", "m0"))
+        mark = lambda df, name, at: df.select("unit", F.lit(name).alias("event_type"), F.col(at).alias("at"))
+        self.marks = mark(siblings, "sibling_launch", "at").union(mark(again, "refurbished", "m0")).union(mark(low, "low_rating", "m0")).distinct()
+        self.pool = window_pool(self.counts, self.marks, LAST)
+
+    def placebo(self, tag: str) -> DataFrame:
+        return placebo_events(self.units, self.marks, LAST, DRAWS, tag)
+
+    def selected(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The events that have windows, and their controls."""
+        rows = placed(events, self.pool, self.units)
+        return rows, select_controls(rows, self.pool, self.units)
+
+    def measured(self, events: DataFrame) -> DataFrame:
+        window = F.when(F.col("event_type") == "low_rating", EVENT_WINDOWS["low_rating"]).otherwise(EVENT_WINDOWS["sibling_launch"])
+        return effects(*self.selected(events.select("event_id", "unit", "event_type", "m0"))).withColumn("event_window", window)
+
+    def tested(self) -> DataFrame:
+        """Real events judged against the swing at made dates of set A."""
+        return judged(self.measured(self.events), natural_swing(self.measured(self.placebo("A"))))
+
+
+#: The last complete month, as a number.
+LAST = COMPLETE.year * 12 + COMPLETE.month - 1
+
+STUDY_SQL = RV.replace("WITH", "WITH RECURSIVE", 1) + """, v AS (SELECT brand AS unit, unit_id AS part, brand_set, channel, rating, year(review_date) * 12 + month(review_date) - 1 AS mi FROM rv),
+c AS (SELECT unit, mi, count(*) AS n, sum(rating) AS stars FROM v WHERE channel = 'new' GROUP BY 1, 2),
+u AS (SELECT unit, brand_set AS product_type, concat('line ', CAST(substr(unit, 7) AS INT) % 6) AS family, min(mi) AS launch_mi, min(mi) FILTER (WHERE channel = 'new') AS first_mi, min(mi) FILTER (WHERE channel <> 'new') AS again_mi, count(*) FILTER (WHERE channel = 'new') AS total FROM v GROUP BY 1, 2, 3 HAVING first_mi IS NOT NULL),
+kinds AS (SELECT * FROM (VALUES ('sibling_launch', 12), ('refurbished', 12), ('low_rating', 3)) k(event_type, w)),
+days AS (SELECT unit, first_mi, unnest(range(first_mi, 24018)) AS mi FROM u),
+d AS (SELECT unit, first_mi, mi, coalesce(n, 0) AS n, coalesce(stars, 0) AS stars FROM days LEFT JOIN c USING (unit, mi)),
+tr AS (SELECT *, sum(n) OVER y AS tn, sum(stars) OVER y AS ts FROM d WINDOW y AS (PARTITION BY unit ORDER BY mi ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+low AS (SELECT unit, mi FROM tr WHERE mi - first_mi >= 12 AND mi <= 24014 AND n >= 10 AND tn >= 30 AND stars / n <= ts / tn - 0.3),
+fired AS (SELECT unit, min(mi) AS m0 FROM low GROUP BY 1 UNION ALL SELECT f.unit, min(low.mi) FROM fired f JOIN low ON low.unit = f.unit AND low.mi >= f.m0 + 6 GROUP BY f.unit, f.m0),
+la2 AS (SELECT unit, part, min(mi) AS at_mi FROM v GROUP BY 1, 2),
+sib AS (SELECT la2.unit, part, at_mi, first_mi FROM la2 JOIN u USING (unit) WHERE at_mi <> launch_mi),
+ev AS (SELECT 'sibling_launch' AS event_type, unit, at_mi AS m0, CASE WHEN count(*) < 4 THEN string_agg(concat(part, ' launched'), '; ' ORDER BY CAST(part AS VARCHAR)) ELSE concat(count(*), ' siblings launched') END AS detail FROM sib WHERE first_mi <= at_mi - 6 AND at_mi + 6 <= 24017 GROUP BY 2, 3
+  UNION ALL SELECT 'refurbished', unit, again_mi, 'first refurbished review' FROM u WHERE first_mi <= again_mi - 6 AND again_mi + 6 <= 24017 UNION ALL SELECT 'low_rating', unit, m0, 'low rating' FROM fired),
+marks AS (SELECT DISTINCT unit, 'sibling_launch' AS event_type, at_mi FROM sib UNION ALL SELECT unit, 'refurbished', again_mi FROM u WHERE again_mi IS NOT NULL UNION ALL SELECT unit, 'low_rating', m0 FROM fired),
+iu AS (SELECT unit, first_mi, row_number() OVER (ORDER BY left(md5(unit), 2), unit) - 1 AS ix, count(*) OVER () AS k_units FROM u WHERE total >= 60),
+draws AS (SELECT t.tag, r.k, ('0x' || left(md5(concat(t.tag, '/', r.k, '/unit')), 12))::BIGINT / 281474976710656.0::DOUBLE AS a, ('0x' || left(md5(concat(t.tag, '/', r.k, '/month')), 12))::BIGINT / 281474976710656.0::DOUBLE AS b, CASE WHEN r.k % 2 = 0 THEN 12 ELSE 3 END AS w FROM range(12000) r(k), (VALUES ('A'), ('B')) t(tag)),
+pl AS (SELECT tag, k, unit, CASE WHEN w = 12 THEN 'sibling_launch' ELSE 'low_rating' END AS event_type, first_mi + w + CAST(floor(b * (24017 - w - first_mi - w + 1)) AS INT) AS m0 FROM draws JOIN iu ON ix = floor(a * k_units) WHERE first_mi + w <= 24017 - w),
+al AS (SELECT concat(event_type, '/', unit, '/', m0) AS event_id, 'real' AS tag, unit, event_type, m0 FROM ev
+  UNION ALL SELECT concat(tag, k), tag, unit, event_type, m0 FROM pl WHERE NOT EXISTS (SELECT 1 FROM marks m JOIN kinds USING (event_type) WHERE m.unit = pl.unit AND abs(m.at_mi - pl.m0) <= kinds.w)),
+po0 AS (SELECT d.unit, event_type, w, d.mi AS m0, least(w, d.mi - d.first_mi) AS pre_months, least(w, 24017 - d.mi) AS post_months, coalesce(sum(x.n) FILTER (WHERE x.mi < d.mi), 0) AS pre, coalesce(sum(x.n) FILTER (WHERE x.mi > d.mi), 0) AS post
+  FROM d CROSS JOIN kinds LEFT JOIN d x ON x.unit = d.unit AND x.mi BETWEEN d.mi - w AND d.mi + w GROUP BY ALL),
+pool AS (SELECT po0.*, product_type, family, launch_mi, first_mi, ln(pre / pre_months + 0.5) AS lv, ln(post / post_months + 0.5) - ln(pre / pre_months + 0.5) AS ch, EXISTS (SELECT 1 FROM marks m WHERE m.unit = po0.unit AND m.event_type = po0.event_type AND abs(m.at_mi - po0.m0) <= po0.w) AS spoiled
+  FROM po0 JOIN u USING (unit) WHERE pre_months >= greatest(2, w // 2) AND post_months >= greatest(2, w // 2)),
+pe AS (SELECT event_id, tag, pool.* FROM al JOIN pool USING (unit, event_type, m0)),
+ca AS (SELECT e.event_id, x.unit AS control, x.ch, x.pre AS c_pre, x.pre_months AS c_pre_months, x.first_mi AS c_first, round(abs(x.lv - e.lv), 9) AS gap, abs(x.launch_mi - e.launch_mi) AS apart, e.product_type = x.product_type AS same FROM pe e JOIN pool x USING (event_type, m0)
+  WHERE x.unit <> e.unit AND x.family <> e.family AND NOT x.spoiled AND x.pre > 0 AND abs(x.first_mi - e.first_mi) <= greatest(12, 0.5 * (e.m0 - e.first_mi))),
+cb AS (SELECT *, same AND apart <= 24 AND gap <= round(ln(3.0), 9) AS strict, same AND apart <= 48 AND gap <= round(ln(5.0), 9) AS relaxed, apart <= 48 AND gap <= round(ln(5.0), 9) AS broad FROM ca),
+cc AS (SELECT *, CASE WHEN count(*) FILTER (WHERE strict) OVER e >= 3 THEN 'strict' WHEN count(*) FILTER (WHERE relaxed) OVER e >= 3 THEN 'relaxed' ELSE 'broad category' END AS tier FROM cb WINDOW e AS (PARTITION BY event_id)),
+ct AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, control) AS place FROM cc WHERE CASE tier WHEN 'strict' THEN strict WHEN 'relaxed' THEN relaxed ELSE broad END) WHERE place <= 10),
+ag AS (SELECT event_id, count(*) AS n_controls, max(tier) AS tier, avg(ch) AS d_c, var_pop(ch) AS var_c FROM ct GROUP BY 1),
+pa AS (SELECT DISTINCT total, months, total::DOUBLE AS lam, total + months / 2.0::DOUBLE AS m FROM (SELECT pre AS total, pre_months AS months FROM pe UNION ALL SELECT post, post_months FROM pe)),
+ks AS (SELECT total, months, exp(k * ln(lam) - lam - lgamma(k + 1)) AS q, ln((k + months / 2.0::DOUBLE) / m) AS x FROM (SELECT *, unnest(range(0, CAST(ceil(lam + 12 * sqrt(lam) + 20) AS INT) + 1)) AS k FROM pa WHERE total BETWEEN 1 AND 100)),
+lv AS (SELECT total, months, sum(q * x * x) - sum(q * x) * sum(q * x) AS var FROM ks GROUP BY 1, 2 UNION ALL SELECT total, months, 0 FROM pa WHERE total = 0
+  UNION ALL SELECT total, months, lam / m ** 2 - lam / m ** 3 + (2 * lam * lam + lam) / (4 * m ** 4) + 2 * (3 * lam * lam + lam) / (3 * m ** 4) FROM pa WHERE total > 100),
+te AS (SELECT pe.*, coalesce(n_controls, 0) AS n_controls, coalesce(tier, 'broad category') AS tier, CASE WHEN pre >= 30 AND n_controls >= 3 THEN ch - d_c END AS log_effect, CASE WHEN pre >= 30 AND n_controls >= 3 THEN a.var + b.var + var_c / n_controls END AS boot_var
+  FROM pe LEFT JOIN ag USING (event_id) JOIN lv a ON a.total = pre AND a.months = pre_months JOIN lv b ON b.total = post AND b.months = post_months),
+sw AS (SELECT w, count(*) AS n_null, (quantile_cont(log_effect, 0.95) - quantile_cont(log_effect, 0.05)) / 3.29 AS swing FROM te WHERE tag = 'A' AND log_effect IS NOT NULL GROUP BY 1),
+j0 AS (SELECT te.*, n_null, coalesce(swing, 0) AS swing, sqrt(boot_var + coalesce(swing, 0) ** 2) AS sd FROM te LEFT JOIN sw USING (w)),
+ju AS (SELECT *, exp(log_effect) - 1 AS effect, exp(log_effect - 1.645 * sd) - 1 AS lo, exp(log_effect + 1.645 * sd) - 1 AS hi, CASE WHEN log_effect IS NULL THEN 'not_enough_data' WHEN abs(effect) >= 0.15 AND (lo > 0 OR hi < 0) THEN 'moved' ELSE 'no_clear_change' END AS verdict, post / post_months < 0.2 * pre / pre_months AND post < post_months AS near_zero_after FROM j0),
+pv AS (SELECT ju.event_id, max(((SELECT count(*) FROM te z WHERE z.tag = 'A' AND z.w = ju.w AND abs(z.log_effect) >= abs(ju.log_effect)) + 1) / (n_null + 1)) AS p FROM ju WHERE tag = 'real' AND log_effect IS NOT NULL AND n_null IS NOT NULL GROUP BY 1),
+pr AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS k, count(*) OVER () AS m FROM pv),
+fd AS (SELECT event_id, p, coalesce(p <= (SELECT max(p) FROM pr WHERE p <= k / m * 0.1), false) AS survives FROM pr)
 """
 
 
-@query("control_selection_tiers", CONTROL_SQL + "SELECT product_type, brand, control, gap, tier, CAST(place AS INT) AS place FROM ct")
-def control_selection_tiers(spark: SparkSession, d: str) -> DataFrame:
-    return controls(event_windows(spark, d)).select("product_type", "brand", "control", "gap", "tier", "place")
+@query("event_stream", STUDY_SQL + "SELECT event_type, unit, CAST(m0 AS INT) AS m0, detail FROM ev")
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Sibling launches (merged by month), first refurbished reviews and low ratings as one table."""
+    return Study(spark, d).events.drop("event_id")
 
 
-def effects(w: DataFrame) -> DataFrame:
-    """Per unit the change beyond its controls' mean change, and a verdict."""
-    rows = controls(w).groupBy("product_type", "brand").agg(F.first("log_change").alias("d"), F.avg("change_c").alias("d_c"), F.count(F.lit(1)).alias("n_controls"), F.first("pre").alias("pre"))
-    rows = rows.withColumn("effect", F.round(F.exp(F.col("d") - F.col("d_c")) - 1, 5))
-    verdict = F.when((F.col("pre") < 30) | (F.col("n_controls") < 3), "not_enough_data").when(F.abs("effect") >= 0.15, "moved").otherwise("no_clear_change")
-    return rows.withColumn("verdict", verdict)
+@query("control_selection_tiers", STUDY_SQL + "SELECT event_id, control, tier, round(gap, 6) AS gap, CAST(place AS INT) AS place FROM ct JOIN pe USING (event_id) WHERE tag = 'real'")
+def control_selection_tiers(spark: SparkSession, d: str) -> DataFrame:
+    study = Study(spark, d)
+    return study.selected(study.events.drop("detail"))[1].select("event_id", "control", "tier", F.round("gap", 6).alias("gap"), "place")
 
 
-EFFECT_SQL = CONTROL_SQL + """, ef AS (SELECT product_type, brand, count(*) AS n_controls, round(exp(min(log_change) - avg(change_c)) - 1, 5) AS effect, min(pre) AS pre FROM ct GROUP BY 1, 2)
-"""
+@query("event_effects", STUDY_SQL + "SELECT event_id, CAST(n_controls AS BIGINT) AS n_controls, tier, round(effect, 5) AS effect, round(lo, 5) AS lo, round(hi, 5) AS hi, round(p, 6) AS p, coalesce(survives, false) AS survives, CASE WHEN verdict = 'moved' AND NOT coalesce(survives, false) THEN 'no_clear_change' ELSE verdict END AS verdict, near_zero_after FROM ju LEFT JOIN fd USING (event_id) WHERE tag = 'real'")
+def event_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Effects with intervals; a move must also survive the false-discovery control over all tests."""
+    rows = checkpointed(Study(spark, d).tested())
+    kept = benjamini_hochberg(rows.filter("p is not null").select("event_id", "p"), "p", 0.1).select("event_id", "survives")
+    rows = rows.join(kept, "event_id", "left").withColumn("survives", F.coalesce("survives", F.lit(False)))
+    verdict = F.when((F.col("verdict") == "moved") & ~F.col("survives"), "no_clear_change").otherwise(F.col("verdict"))
+    return rows.select("event_id", "n_controls", "tier", *(F.round(c, 5).alias(c) for c in ("effect", "lo", "hi")), F.round("p", 6).alias("p"), "survives", verdict.alias("verdict"), "near_zero_after")
 
 
-@query("event_effects", EFFECT_SQL + "SELECT product_type, brand, CAST(n_controls AS BIGINT) AS n_controls, effect, CASE WHEN pre < 30 OR n_controls < 3 THEN 'not_enough_data' WHEN abs(effect) >= 0.15 THEN 'moved' ELSE 'no_clear_change' END AS verdict FROM ef")
-def event_effects(spark: SparkSession, d: str) -> DataFrame:
-    return effects(event_windows(spark, d)).select("product_type", "brand", "n_controls", "effect", "verdict")
+BAND_SQL = STUDY_SQL + """, re AS (SELECT pe.event_id, pe.unit, pe.pre / pe.pre_months + 0.5 AS own_level, pe.first_mi, unnest(range(-pe.w, pe.w + 1)) AS rel, pe.m0 FROM pe WHERE tag = 'real'),
+bv AS (SELECT re.event_id, rel, re.unit, first_mi, m0, coalesce(x.n, 0) * own_level / (c_pre / c_pre_months + 0.5) AS v FROM re JOIN ct ON ct.event_id = re.event_id AND m0 + rel >= c_first AND m0 + rel <= 24017 LEFT JOIN c x ON x.unit = ct.control AND x.mi = m0 + rel)
+SELECT event_id, CAST(rel AS INT) AS rel, max(CASE WHEN m0 + rel >= first_mi THEN coalesce(o.n, 0) END) AS own, round(quantile_cont(v, 0.25), 5) AS lo, round(quantile_cont(v, 0.5), 5) AS mid, round(quantile_cont(v, 0.75), 5) AS hi FROM bv LEFT JOIN c o ON o.unit = bv.unit AND o.mi = m0 + rel GROUP BY 1, 2"""
 
 
-@query("comparison_band", WINDOW_SQL + """, g AS (SELECT ev.brand, ev.product_type, c.mi - ev.m0 AS rel, n FROM ev JOIN c USING (brand, product_type) WHERE c.mi - ev.m0 BETWEEN -6 AND 6)
-SELECT product_type, CAST(rel AS INT) AS rel, round(quantile_cont(n, 0.25), 5) AS p25, round(quantile_cont(n, 0.5), 5) AS p50, round(quantile_cont(n, 0.75), 5) AS p75 FROM (SELECT product_type, rel, CAST(n AS DOUBLE) AS n FROM g) GROUP BY 1, 2""")
+@query("comparison_band", BAND_SQL)
 def comparison_band(spark: SparkSession, d: str) -> DataFrame:
-    counts = monthly_counts(spark, d)
-    rows = counts.join(unit_span(counts), ["brand", "product_type"]).withColumn("rel", (F.col("mi") - F.col("m0")).cast("int")).filter(F.col("rel").between(-WINDOW, WINDOW))
-    band = rows.groupBy("product_type", "rel").agg(F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return band.select("product_type", "rel", *(F.round(F.col("q")[k], 5).alias(n) for k, n in enumerate(("p25", "p50", "p75"))))
+    study = Study(spark, d)
+    band = bands(*study.selected(study.events.drop("detail")), study.counts, study.units, LAST)
+    return band.select("event_id", "rel", "own", *(F.round(c, 5).alias(c) for c in ("lo", "mid", "hi")))
 
 
 P_SQL = "WITH t AS (SELECT doc_id, CAST(('0x' || left(md5(text), 6)) AS BIGINT) / 16777216.0 AS u FROM documents), p AS (SELECT doc_id, round(u * u * u, 9) AS p FROM t)\n"
@@ -115,26 +192,24 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     return benjamini_hochberg(p_values(spark, d), "p", 0.1).select("doc_id", "p", "p_rank", "p_count", "survives")
 
 
-@query("empirical_p", EFFECT_SQL + "SELECT a.product_type, a.brand, round((count(*) FILTER (WHERE abs(b.effect) >= abs(a.effect)) + 1) / (count(*) + 1), 6) AS p FROM ef a JOIN ef b ON a.product_type = b.product_type GROUP BY 1, 2")
+@query("empirical_p", STUDY_SQL + "SELECT event_id, round(p, 6) AS p FROM pv")
 def empirical_p(spark: SparkSession, d: str) -> DataFrame:
-    """Share of a type's effects that are as large: from ranks in the type, without a join of all with all."""
-    w = Window.partitionBy("product_type")
-    rows = effects(event_windows(spark, d)).withColumn("size", F.abs("effect"))
-    larger = F.count(F.lit(1)).over(w.orderBy(F.col("size").desc()).rangeBetween(Window.unboundedPreceding, 0))
-    return rows.select("product_type", "brand", F.round((larger + 1) / (F.count(F.lit(1)).over(w) + 1), 6).alias("p"))
+    """Share of the changes at made dates, of the same window, that are as large."""
+    return Study(spark, d).tested().filter("p is not null").select("event_id", F.round("p", 6).alias("p"))
+
 
+PLACEBO_SQL = STUDY_SQL + "SELECT tag, CAST(w AS INT) AS event_window, count(*) AS n, count(log_effect) AS tested, round((quantile_cont(log_effect, 0.95) - quantile_cont(log_effect, 0.05)) / 3.29, 5) AS swing, count(*) FILTER (WHERE verdict = 'moved') AS moved FROM ju WHERE tag <> 'real' GROUP BY 1, 2"
 
-@query("placebo_draws")
+
+@query("placebo_draws", PLACEBO_SQL)
 def placebo_draws(spark: SparkSession, d: str) -> DataFrame:
-    """The natural swing: (q95 - q05) / 3.29 of changes at random months of random units, in two sets."""
-    counts = monthly_counts(spark, d)
-    span = counts.groupBy("brand", "product_type").agg(F.min("mi").alias("lo"), F.max("mi").alias("hi"), F.sum("n").alias("total")).filter("total >= 60 and hi - lo > 2 * 6")
-    draws = span.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(UNIT_DRAWS))))
-    draws = draws.withColumn("m0", (F.col("lo") + WINDOW + F.floor(uniform("brand", "product_type", "draw") * (F.col("hi") - F.col("lo") - 2 * WINDOW + 1))).cast("int"))
-    changes = windows(counts, draws.select("brand", "product_type", "draw", "m0"), ["brand", "product_type", "draw", "m0"])
-    sets = changes.withColumn("set", F.when(F.col("draw") % 2 == 0, "A").otherwise("B"))
-    q = sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.percentile("log_change", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
-    return q.select("set", "n", ((F.col("q")[1] - F.col("q")[0]) / (2 * 1.645)).alias("swing"))
+    """Made dates in two sets: A gives the natural swing, B how many of them would be called moved though nothing happened."""
+    study = Study(spark, d)
+    rows = checkpointed(study.measured(study.placebo("A")).withColumn("tag", F.lit("A")).unionByName(study.measured(study.placebo("B")).withColumn("tag", F.lit("B"))))
+    found = judged(rows, natural_swing(rows.filter("tag = 'A'"))).groupBy("tag", "event_window")
+    q = F.percentile("log_effect", F.array(F.lit(0.05), F.lit(0.95)))
+    counts = found.agg(F.count(F.lit(1)).alias("n"), F.count("log_effect").alias("tested"), q.alias("q"), F.count(F.when(F.col("verdict") == "moved", 1)).alias("moved"))
+    return counts.select("tag", "event_window", "n", "tested", F.round((F.col("q")[1] - F.col("q")[0]) / (2 * Z95), 5).alias("swing"), "moved")
 
 
 def uniform(*keys: str | Column) -> Column:
@@ -166,14 +241,28 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return q.select("product_type", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
+def pooled(rows: DataFrame, base: DataFrame, repeats: int) -> DataFrame:
+    """event_type, n_events, n_units, effect, lo, hi, verdict: the mean log effect beyond that at made dates.
+
+    Units are resampled with all their events, by Poisson weights from hashes; the made dates' mean is drawn from the normal that its resamples tend to.
+    """
+    null = base.filter("tested").groupBy("event_window").agg(F.avg("log_effect").alias("base"), (F.stddev_pop("log_effect") / F.sqrt(F.count(F.lit(1)))).alias("base_sd"))
+    x = rows.filter("tested").join(F.broadcast(null), "event_window")  # a row a window
+    units = x.groupBy("event_type", "unit").agg(F.sum("log_effect").alias("s"), F.count(F.lit(1)).alias("n"), F.first("base").alias("base"), F.first("base_sd").alias("base_sd"))
+    reps = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", poisson(F.lit(1.0), "event_type", "unit", "rep"))
+    means = reps.groupBy("event_type", "rep").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"), F.first("base").alias("base"), F.first("base_sd").alias("base_sd"))
+    u, v = uniform(F.lit("base u"), "event_type", "rep"), uniform(F.lit("base v"), "event_type", "rep")
+    means = means.withColumn("diff", F.col("m") - F.col("base") - F.col("base_sd") * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * np.pi * v))
+    spread = means.groupBy("event_type").agg(F.percentile("diff", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
+    mean = units.groupBy("event_type").agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_units"), (F.sum("s") / F.sum("n") - F.first("base")).alias("m"))
+    verdict = F.when((F.col("q")[0] > 0) | (F.col("q")[1] < 0), "moved").otherwise("no_clear_change")
+    return mean.join(spread, "event_type").select("event_type", "n_events", "n_units", (F.exp("m") - 1).alias("effect"), (F.exp(F.col("q")[0]) - 1).alias("lo"), (F.exp(F.col("q")[1]) - 1).alias("hi"), verdict.alias("verdict"))
+
+
 @query("pooled_effect")
 def pooled_effect(spark: SparkSession, d: str) -> DataFrame:
-    """The mean log effect by type with a bootstrap by unit."""
-    rows = effects(event_windows(spark, d)).withColumn("x", F.log(F.col("effect") + 1))
-    reps = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPEATS)))).withColumn("w", poisson(F.lit(1.0), "product_type", "brand", "rep"))
-    means = reps.groupBy("product_type", "rep").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    q = means.groupBy("product_type").agg(F.percentile("m", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), F.avg("m").alias("mean"))
-    return q.select("product_type", "mean", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    study = Study(spark, d)
+    return pooled(study.measured(study.events), study.measured(study.placebo("A")), POOLED_REPEATS)
 
 
 @query("spearman_ranks", WINDOW_SQL + ", r AS (SELECT product_type, (rank() OVER (PARTITION BY product_type ORDER BY pre) + count(*) OVER (PARTITION BY product_type, pre) / 2.0 - 0.5) AS a, (rank() OVER (PARTITION BY product_type ORDER BY post) + count(*) OVER (PARTITION BY product_type, post) / 2.0 - 0.5) AS b FROM wi) SELECT product_type, round(corr(a, b), 5) AS rho FROM r GROUP BY 1")
