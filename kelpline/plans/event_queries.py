@@ -58,15 +58,17 @@ class Study:
     """The study's tables: units are brands, families six lines of brands, a sibling is a part of the brand, types are the two brand sets, the broad type is all."""
 
     def __init__(self, spark: SparkSession, d: str) -> None:
-        rv = reviews(spark, d).withColumnRenamed("unit_id", "part").withColumn("mi", F.year("review_date") * 12 + F.month("review_date") - 1)
-        new = rv.filter("channel = 'new'")
-        self.counts = new.groupBy(F.col("brand").alias("unit"), "mi").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").cast("long")).alias("stars"))
-        launches = rv.groupBy(F.col("brand").alias("unit"), "part").agg(F.min("mi").alias("at"))
-        units = rv.groupBy(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type")).agg(
-            F.min("mi").alias("launch_mi"), F.min(F.when(F.col("channel") == "new", F.col("mi"))).alias("first_mi"), F.min(F.when(F.col("channel") != "new", F.col("mi"))).alias("again_mi"), F.count(F.when(F.col("channel") == "new", 1)).alias("total"))
+        month = (F.year("review_date") * 12 + F.month("review_date") - 1).alias("mi")
+        cells = reviews(spark, d).groupBy(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type"), F.col("unit_id").alias("part"), (F.col("channel") == "new").alias("new"), month)
+        # the reviews are read once; all else comes from the cells and is kept, since controls, made dates and bands use it again
+        cells = checkpointed(cells.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").cast("long")).alias("stars")))
+        self.counts = checkpointed(cells.filter("new").groupBy("unit", "mi").agg(F.sum("n").alias("n"), F.sum("stars").alias("stars")))
+        launches = cells.groupBy("unit", "part").agg(F.min("mi").alias("at"))
+        units = cells.groupBy("unit", "product_type").agg(
+            F.min("mi").alias("launch_mi"), F.min(F.when(F.col("new"), F.col("mi"))).alias("first_mi"), F.min(F.when(~F.col("new"), F.col("mi"))).alias("again_mi"), F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)).alias("total"))
         line = F.concat(F.lit("line "), F.substring("unit", 7, 10).cast("int") % 6)
-        self.units = units.filter("first_mi is not null").withColumns({"family": line, "broad": F.lit("all")})
-        low = low_rating_events(self.counts, LAST)
+        self.units = checkpointed(units.filter("first_mi is not null").withColumns({"family": line, "broad": F.lit("all")}))
+        low = checkpointed(low_rating_events(self.counts, LAST))
         siblings = launches.join(self.units.select("unit", "launch_mi", "first_mi"), "unit").filter("at <> launch_mi")
         spans = (F.col("first_mi") <= F.col("m0") - 6) & (F.col("m0") + 6 <= LAST)
         merged = siblings.groupBy("unit", "first_mi", F.col("at").alias("m0")).agg(F.array_sort(F.collect_list(F.col("part").cast("string"))).alias("names"))
@@ -76,8 +78,8 @@ class Study:
         self.events = kind(merged.filter(spans), "sibling_launch", detail).union(kind(again.filter(spans), "refurbished", F.lit("first refurbished review"))).union(kind(low, "low_rating", F.lit("low rating")))
         self.events = self.events.withColumn("event_id", F.concat_ws("/", "event_type", "unit", "m0"))
         mark = lambda df, name, at: df.select("unit", F.lit(name).alias("event_type"), F.col(at).alias("at"))
-        self.marks = mark(siblings, "sibling_launch", "at").union(mark(again, "refurbished", "m0")).union(mark(low, "low_rating", "m0")).distinct()
-        self.pool = window_pool(self.counts, self.marks, LAST)
+        self.marks = checkpointed(mark(siblings, "sibling_launch", "at").union(mark(again, "refurbished", "m0")).union(mark(low, "low_rating", "m0")).distinct())
+        self.pool = checkpointed(window_pool(self.counts, self.marks, LAST))
 
     def placebo(self, tag: str) -> DataFrame:
         return placebo_events(self.units, self.marks, LAST, DRAWS, tag)
