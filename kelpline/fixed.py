@@ -135,3 +135,19 @@ AGE_BANDS = [(6, "0 to 6 months"), (12, "7 to 12 months"), (24, "Year 2"), (48,
 
 # Months on each side of an event, by kind.
 EVENT_WINDOWS = {"sibling_launch": 12, "refurbished": 12, "low_rating": 3}
+
+# Names of months, in order.
+MONTH_NAMES = [
+    ("jan", "january"), ("feb", "february"), ("mar", "march"), ("apr", "april"), ("may",), ("jun", "june"), ("jul", "july"), ("aug", "august"),
+    ("sep", "sept", "september"), ("oct", "october"), ("nov", "november"), ("dec", "december"),
+]
+
+# The matcher's grid of weights, and its thresholds in hundredths.
+TUNING_GRID = {"jac": [1.0], "cross": [0.0, 0.2, 0.35, 0.5, 0.8], "price": [0.0, 0.15, 0.25, 0.4], "brand": [0.0, 0.1, 0.2], "num": [0.0, 0.1, 0.2, 0.3]}
+TUNING_THRESHOLDS = (20, 90, 2)
+
+# Fixed value: the precision under which a theme is weak and isn't shown.
+WEAK_PRECISION = 0.7
+
+# Types that are shown with "or" for the stroke.
+TYPE_LABELS = ["accessory/part", "iron/steamer"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..fixed import MONTH_NAMES
+
 
 def month_index(c: Column) -> Column:
     """Months since year 0, so that neighbours differ by one."""
@@ -41,3 +43,12 @@ def banded(value: Column, bands: list[tuple[float, str]]) -> Column:
     for top, name in reversed(bands):
         out = F.when(value < top, name).otherwise(out)
     return out
+
+
+def month_of_name(c: Column) -> Column:
+    """'March 2020', 'sept 2020 ...' as '2020-03'; null where the text doesn't begin with a month's name and a year."""
+    names = F.create_map(*(F.lit(x) for k, m in enumerate(MONTH_NAMES, 1) for form in m for x in (form, f"{k:02}")))
+    pattern = r"^([a-zA-Z]+)\s+(\d{4})"
+    text = F.regexp_replace(c, r"^\s+", "")
+    month = F.try_element_at(names, F.lower(F.regexp_extract(text, pattern, 1)))
+    return F.concat(F.regexp_extract(text, pattern, 2), F.lit("-"), month)

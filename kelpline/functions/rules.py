@@ -168,28 +168,56 @@ def price_similarity(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.least(a, b) / F.greatest(a, b))
 
 
-def score_pair(a: dict[str, Column], b: dict[str, Column], w: dict[str, float | Column] | None = None) -> Column:
-    """struct(score, reason) of two records with title_norm, model_no, title_model_tokens, price and brand.
-
-    Models that agree decide; models in conflict decide unless one stands in the
-    other's title; else a weighted mean of what is known, less for numbers that differ.
-    """
-    w = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (w or X.PAIR_WEIGHTS).items()}
+def pair_features(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """What the score of two records comes from: jac, relation, strict, cross, apart, price (null if unknown) and same."""
     from .text import title_numbers, title_tokens
 
-    jac = jaccard(title_tokens(a["title_norm"]), title_tokens(b["title_norm"]))
-    relation = model_relation(a["model_no"], b["model_no"])
     no = F.lit(False)
     ta, tb = (F.coalesce(x["title_model_tokens"], _none()) for x in (a, b))
     strict = F.coalesce(F.array_contains(tb, a["model_no"]), no) | F.coalesce(F.array_contains(ta, b["model_no"]), no)
-    cross = (strict | F.arrays_overlap(ta, tb)).cast("double")
     na, nb = title_numbers(a["title_norm"]), title_numbers(b["title_norm"])
-    apart = ((F.size(na) > 0) & (F.size(nb) > 0) & ~F.arrays_overlap(na, nb)).cast("double")
-    price = price_similarity(a["price"], b["price"])
-    same = F.coalesce((a["brand"] == b["brand"]) & (a["brand"] != ""), no).cast("double")
+    return {
+        "jac": jaccard(title_tokens(a["title_norm"]), title_tokens(b["title_norm"])),
+        "relation": model_relation(a["model_no"], b["model_no"]),
+        "strict": strict,
+        "cross": (strict | F.arrays_overlap(ta, tb)).cast("double"),
+        "apart": ((F.size(na) > 0) & (F.size(nb) > 0) & ~F.arrays_overlap(na, nb)).cast("double"),
+        "price": price_similarity(a["price"], b["price"]),
+        "same": F.coalesce((a["brand"] == b["brand"]) & (a["brand"] != ""), no).cast("double"),
+    }
+
+
+def score_features(f: dict[str, Column], w: dict[str, float | Column] | None = None) -> Column:
+    """struct(score, reason) of features.
+
+    Models that agree decide; models in conflict decide unless one stands in the
+    other's title; else a weighted mean of what is known, less for numbers that differ.
+    """
+    w = {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in (w or X.PAIR_WEIGHTS).items()}
+    relation, strict, price = f["relation"], f["strict"], f["price"]
     total = w["jac"] + w["cross"] + w["brand"] + F.when(price.isNotNull(), w["price"]).otherwise(0.0)
-    blended = (w["jac"] * jac + w["cross"] * cross + w["brand"] * same + F.coalesce(w["price"] * price, F.lit(0.0))) / total - w["num"] * apart
+    blended = (w["jac"] * f["jac"] + w["cross"] * f["cross"] + w["brand"] * f["same"] + F.coalesce(w["price"] * price, F.lit(0.0))) / total - w["num"] * f["apart"]
     agree = relation.isin("equal", "prefix", "contains")
     score = F.when(agree, 1.0).when(relation == "conflict", F.when(strict, 0.9).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), blended))
     reason = F.when(agree, F.concat(F.lit("model_"), relation)).when(relation == "conflict", F.when(strict, "model_in_other_title").otherwise("model_conflict")).otherwise("blended")
     return F.struct(score.alias("score"), reason.alias("reason"))
+
+
+def score_pair(a: dict[str, Column], b: dict[str, Column], w: dict[str, float | Column] | None = None) -> Column:
+    """struct(score, reason) of two records with title_norm, model_no, title_model_tokens, price and brand."""
+    return score_features(pair_features(a, b), w)
+
+
+def display_type(c: Column) -> Column:
+    """A product type as readers see it: vacuums by their kind first; empty if null."""
+    rest = F.replace(F.replace(F.substr(c, F.lit(8)), F.lit("-"), F.lit(" ")), F.lit("/"), F.lit(" or "))
+    return F.when(c.startswith("vacuum-"), F.when(rest == "other", "vacuum").otherwise(F.concat(rest, F.lit(" vacuum")))).when(c.isin(*X.TYPE_LABELS), F.replace(c, F.lit("/"), F.lit(" or "))).otherwise(F.coalesce(c, F.lit("")))
+
+
+def complaint_headline(label: Column, own: Column, peers: Column) -> Column:
+    """The leading complaint against its peers' rate; without a positive share there is none."""
+    ratio = own / F.nullif(peers, F.lit(0.0))
+    leads = F.concat(label, F.lit(" leads complaints"))
+    times = F.concat(leads, F.lit(", "), F.format_number(ratio, 1), F.lit("x the peer rate"))
+    beside = F.when(ratio >= 1.3, times).when(ratio <= 0.77, F.concat(leads, F.lit(", below the peer rate"))).when(ratio.isNotNull(), F.concat(leads, F.lit(", close to the peer rate")))
+    return F.when(own > 0, F.coalesce(beside, leads)).otherwise("Owners report a spread of complaints, none dominant")

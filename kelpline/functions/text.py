@@ -82,3 +82,17 @@ def house_style(c: Column, banned: str) -> Column:
     """Sentences that match ``banned`` go, em dashes become commas."""
     sentences = F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: ~s.rlike(banned))
     return F.regexp_replace(F.array_join(sentences, " "), r"\s*—\s*", ", ")
+
+
+def short_hash(c: Column) -> Column:
+    """The first 16 hex digits of sha256, to tell visitors apart without keeping their address."""
+    return F.left(F.sha2(c, 256), F.lit(16))
+
+
+def escaped(c: Column, width: int = 90) -> Column:
+    """Text for a report: null as empty, line feeds as blanks, cut at ``width`` characters, markup escaped."""
+    flat = F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" "))
+    out = F.concat(F.substring(flat, 1, width), F.when(F.length(flat) > width, "…").otherwise(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import THEMES
-from ..functions.rules import core_model, jaccard, model_relation, model_tokens, price_similarity, product_type, score_pair, theme_flags
+from ..functions.rules import core_model, jaccard, model_tokens, product_type, score_pair, theme_flags
 from ..functions.text import excerpt, house_style, norm_brand, norm_text, parse_price, title_numbers, title_tokens
 from ..operators.relational import column_profile, confusion, first_rows, label_components, top_of_row, unpivoted
 from ..sources.readers import read_table
@@ -174,27 +174,6 @@ def match_metrics(spark: SparkSession, d: str) -> DataFrame:
     return confusion(scored(spark, d), F.col("score") >= 0.58, F.col("same_title")).select("tp", "fp", "fn", "tn", F.round("precision", 5).alias("precision"), F.round("recall", 5).alias("recall"))
 
 
-@query("stratified_accuracy", PAIR_SQL + "SELECT reason, CAST(count(*) AS BIGINT) AS pairs, round(avg(CAST((score >= 0.58) = same_title AS INT)), 6) AS accuracy FROM s GROUP BY 1")
-def stratified_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    right = ((F.col("score") >= 0.58) == F.col("same_title")).cast("int")
-    return scored(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(right), 6).alias("accuracy"))
-
-
-@query("tune_grid_f1", PAIR_SQL + """, g AS (SELECT CAST(i AS DOUBLE) / 10 AS price_w, CAST(t AS DOUBLE) / 20 AS threshold FROM unnest(generate_series(0, 3)) AS a(i), unnest(generate_series(6, 16)) AS b(t)),
-e AS (SELECT price_w, threshold, CASE WHEN rel = 'missing' THEN (jac + price_w * least(pa, pb) / greatest(pa, pb)) / (1 + price_w) ELSE score END >= threshold - 1e-9 AS pred, same_title FROM s, g),
-m AS (SELECT price_w, threshold, sum(CAST(pred AND same_title AS INT)) AS tp, sum(CAST(pred AND NOT same_title AS INT)) AS fp, sum(CAST(NOT pred AND same_title AS INT)) AS fn FROM e GROUP BY 1, 2)
-SELECT price_w, threshold, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 3) AS f1 FROM m ORDER BY f1 DESC, price_w, threshold LIMIT 5""")
-def tune_grid_f1(spark: SparkSession, d: str) -> DataFrame:
-    """Weights and thresholds by F1: the grid, of a fixed size, is an array in each pair's row, not a join."""
-    grid = F.array(*(F.struct(F.lit(i / 10).alias("price_w"), F.lit(t / 20).alias("threshold")) for i in range(4) for t in range(6, 17)))
-    jac = jaccard(title_tokens(F.col("a.title_norm")), title_tokens(F.col("b.title_norm")))
-    rows = scored(spark, d).select("same_title", "score", jac.alias("jac"), price_similarity(F.col("a.price"), F.col("b.price")).alias("ps"), model_relation(F.col("a.model_no"), F.col("b.model_no")).alias("rel"), F.inline(grid))
-    score = F.when(F.col("rel") == "missing", (F.col("jac") + F.col("price_w") * F.col("ps")) / (1 + F.col("price_w"))).otherwise(F.col("score"))
-    cells = confusion(rows, score >= F.col("threshold") - 1e-9, F.col("same_title"), ["price_w", "threshold"])
-    f1 = F.round(2.0 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), 3)
-    return cells.select("price_w", "threshold", f1.alias("f1")).orderBy(F.col("f1").desc_nulls_last(), "price_w", "threshold").limit(5)
-
-
 @query("connected_components", PAIR_SQL + """, e AS (SELECT left_id AS a, right_id AS b FROM s WHERE reason = 'model_equal' UNION SELECT right_id, left_id FROM s WHERE reason = 'model_equal')
 SELECT node, min(b) AS comp FROM (WITH RECURSIVE reach(node, b) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.b = e.a) SELECT node, b FROM reach) GROUP BY 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
