@@ -169,15 +169,19 @@ def price_similarity(a: Column, b: Column) -> Column:
 
 
 def pair_features(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
-    """What the score of two records comes from: jac, relation, strict, cross, apart, price (null if unknown) and same."""
+    """What the score of two records comes from: jac, relation, strict, cross, apart, price (null if unknown) and same.
+
+    Records may bring ``tokens`` and ``numbers`` of their titles, found once a record and not once a pair.
+    """
     from .text import title_numbers, title_tokens
 
     no = F.lit(False)
+    tokens = [x["tokens"] if "tokens" in x else title_tokens(x["title_norm"]) for x in (a, b)]
+    na, nb = (x["numbers"] if "numbers" in x else title_numbers(x["title_norm"]) for x in (a, b))
     ta, tb = (F.coalesce(x["title_model_tokens"], _none()) for x in (a, b))
     strict = F.coalesce(F.array_contains(tb, a["model_no"]), no) | F.coalesce(F.array_contains(ta, b["model_no"]), no)
-    na, nb = title_numbers(a["title_norm"]), title_numbers(b["title_norm"])
     return {
-        "jac": jaccard(title_tokens(a["title_norm"]), title_tokens(b["title_norm"])),
+        "jac": jaccard(*tokens),
         "relation": model_relation(a["model_no"], b["model_no"]),
         "strict": strict,
         "cross": (strict | F.arrays_overlap(ta, tb)).cast("double"),

@@ -15,7 +15,7 @@ from ..operators.event_study import hashed
 from ..operators.relational import first_rows
 from ..sources.readers import lines_of, read_table
 from .registry import query
-from .text_queries import FLAGS_SQL, NAMES, PAIR_SQL, block_pairs, flagged, listings
+from .text_queries import FLAGS_SQL, NAMES, PAIR_SQL, SIDE, block_pairs, flagged, listings
 
 FEATURES = ["jac", "relation", "strict", "cross", "apart", "price", "same"]
 WEIGHTS = list(TUNING_GRID)
@@ -26,7 +26,7 @@ SAMPLE, REPEATS = 25, 2000
 def features(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a block with their features, label (the same title) and split: a fifth by hash is the test."""
     pairs = block_pairs(listings(spark, d))
-    side = lambda s: {k: F.col(f"{s}.{k}") for k in ("title_norm", "model_no", "title_model_tokens", "price", "brand")}
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in SIDE}
     rows = pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), (F.col("a.title_norm") == F.col("b.title_norm")).alias("label"), *(c.alias(k) for k, c in pair_features(side("a"), side("b")).items()))
     return rows.withColumn("test", hashed(F.col("left_id"), F.col("right_id")) < 0.2)
 

@@ -120,9 +120,14 @@ def base_model_sibling(spark: SparkSession, d: str) -> DataFrame:
 def listings(spark: SparkSession, d: str) -> DataFrame:
     """Parts as records of the matcher: title, model code, price, brand and block."""
     model = F.concat(F.lower(F.left("p_type", F.lit(2))), F.lpad((F.col("p_size") * 7).cast("string"), 3, "0"))
-    return read_table(spark, d, "part").select(
+    rows = read_table(spark, d, "part").select(
         F.col("p_partkey").alias("id"), norm_text(F.col("p_name")).alias("title_norm"), F.when(F.col("p_size") % 2 == 0, model).alias("model_no"),
         F.when(F.col("p_size") % 5 == 0, F.array(model)).otherwise(F.array().cast("array<string>")).alias("title_model_tokens"), F.col("p_retailprice").alias("price"), F.lower("p_brand").alias("brand"), F.col("p_type").alias("kind"))
+    return rows.withColumns({"tokens": title_tokens(F.col("title_norm")), "numbers": title_numbers(F.col("title_norm"))})
+
+
+#: What a side of a pair brings to the score.
+SIDE = ("title_norm", "model_no", "title_model_tokens", "price", "brand", "tokens", "numbers")
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -147,14 +152,14 @@ s AS (SELECT *, CASE WHEN rel = 'equal' THEN 1.0 WHEN rel = 'conflict' THEN CASE
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     pairs = block_pairs(listings(spark, d))
-    side = lambda s: {k: F.col(f"{s}.{k}") for k in ("title_norm", "model_no", "title_model_tokens", "price", "brand")}
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in SIDE}
     result = score_pair(side("a"), side("b"))
     return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), (F.col("a.title_norm") == F.col("b.title_norm")).alias("same_title"), "a", "b", result.alias("r")).select("*", "r.score", "r.reason")
 
 
 @query("title_jaccard_pairs", PAIR_SQL + "SELECT left_id, right_id, round(jac, 6) AS jac FROM p WHERE jac > 0")
 def title_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    jac = jaccard(title_tokens(F.col("a.title_norm")), title_tokens(F.col("b.title_norm")))
+    jac = jaccard(F.col("a.tokens"), F.col("b.tokens"))
     return block_pairs(listings(spark, d)).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.round(jac, 6).alias("jac")).filter("jac > 0")
 
 
