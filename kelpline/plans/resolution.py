@@ -8,19 +8,14 @@ from pyspark.sql import functions as F
 from .. import fixed as X
 from ..functions.dates import long_date
 from ..functions.rules import capacity_qt, choose_model, core_model, jaccard, maker, model_parts, product_type, score_pair, wattage_w
-from ..functions.text import clean_str, generic_model_tokens, norm_text, parse_price, title_tokens
+from ..functions.text import clean_str, generic_model_tokens, norm_text, parse_price, title_numbers, title_tokens
 from ..operators.relational import checkpointed, first_rows, label_components, settled
 from ..sources.readers import read_table
 from .registry import query
+from .text_queries import SIDE
 
 #: Score from which two records are one product.
 SAME_FROM = 0.58
-# Peer titles that are left out, and types.
-PEER_EXCLUDED = (
-    r"(?i)carpet (cleaner|shampooer|steamer)|shampooer|deep cleaner|spot ?lifter|spot cleaner|crosswave|wet[- ]dry|spinwave|steamshot|hard surface steam cleaner|robot mop|braava|"
-    r"air fryer lid|cutting board|steamer basket|steamer insert|accessory bundle|accessor(y|ies)"
-)
-PEER_DROPPED_TYPES = ["iron/steamer", "sweeper", "accessory/part", "bundle", "unclassified"]
 
 
 def _detail(name: str) -> Column:
@@ -74,20 +69,20 @@ def peer_listings(meta: DataFrame, own_types: DataFrame) -> DataFrame:
     rows = meta.select("parent_asin", F.col("comparator_brand").alias("brand"), title.alias("title"), product_type(F.col("categories"), title)["type"].alias("product_type"), long_date(clean_str(_detail("Date First Available"))).alias("date_first_available"), "average_rating", F.col("rating_number").alias("rating_count"))
     own = own_types.select("product_type").distinct().withColumn("_own", F.lit(True))
     t = F.coalesce("title", F.lit(""))
-    kept = F.coalesce("_own", F.lit(False)) & ~F.col("product_type").isin(PEER_DROPPED_TYPES) & ~t.rlike(X.RENEWED) & ~t.rlike(PEER_EXCLUDED)
+    kept = F.coalesce("_own", F.lit(False)) & ~F.col("product_type").isin(X.PEER_DROPPED_TYPES) & ~t.rlike(X.RENEWED) & ~t.rlike(X.PEER_EXCLUDED)
     return rows.join(own, "product_type", "left").withColumn("kept", kept).drop("_own")
 
 
 def _record(rows: DataFrame) -> DataFrame:
     """Listings with their matcher's record ``r`` and block."""
     rows = settled(rows, {"_norm": norm_text(F.col("title")), "_codes": generic_model_tokens(F.col("title"))})
-    r = F.struct(F.col("_norm").alias("title_norm"), F.nullif(F.lower("core_model"), F.lit("")).alias("model_no"), F.col("_codes").alias("title_model_tokens"), "price", "brand", (F.col("product_type") == "accessory/part").alias("accessory"))
+    r = F.struct(F.col("_norm").alias("title_norm"), F.nullif(F.lower("core_model"), F.lit("")).alias("model_no"), F.col("_codes").alias("title_model_tokens"), "price", "brand", title_tokens(F.col("_norm")).alias("tokens"), title_numbers(F.col("_norm")).alias("numbers"), (F.col("product_type") == "accessory/part").alias("accessory"))
     kind = F.when(F.col("product_type") == "accessory/part", "accessory").otherwise(F.col("product_type"))
     return settled(rows, {"r": r, "block": F.concat_ws("|", F.coalesce("brand", F.lit("")), kind)}).drop("_norm", "_codes")
 
 
 def _scored(pairs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
-    side = lambda s: {k: F.col(f"{s}.{k}") for k in ("title_norm", "model_no", "title_model_tokens", "price", "brand")}
+    side = lambda s: {k: F.col(f"{s}.{k}") for k in SIDE}
     same = F.when(F.col("a.title_norm") == F.col("b.title_norm"), F.struct(F.lit(1.0).alias("score"), F.lit("identical_title").alias("reason"))).otherwise(F.struct(F.lit(0.0).alias("score"), F.lit("accessory_no_fuzzy").alias("reason")))
     return settled(pairs, {"s": F.when(F.col("a.accessory") | F.col("b.accessory"), same).otherwise(score_pair(side("a"), side("b"), weights))}).select("*", "s.score", "s.reason").drop("s")
 
@@ -164,7 +159,7 @@ def pairs_to_label(resolved: DataFrame, listings: DataFrame, seen: DataFrame, se
     keyed = named.filter("link_method = 'model_key'").select("product_id", "parent_asin")
     neighbour = keyed.withColumn("b", F.lead("parent_asin").over(Window.partitionBy("product_id").orderBy("parent_asin"))).filter("b is not null")
     linked = lambda method, name: named.filter(F.col("link_method") == method).filter("matched_to is not null").select(F.col("parent_asin").alias("a"), F.col("matched_to").alias("b"), F.lit(name).alias("stratum"))
-    rows = _record(listings).join(named.select("parent_asin", "product_id"), "parent_asin").select("parent_asin", "product_id", "block", title_tokens(norm_text(F.col("title"))).alias("tok"))
+    rows = _record(listings).join(named.select("parent_asin", "product_id"), "parent_asin").select("parent_asin", "product_id", "block", F.col("r.tokens").alias("tok"))
     x, y = rows.toDF("a", "pa", "block", "ta"), rows.toDF("b", "pb", "block", "tb")
     hard = x.join(y, "block").filter("a < b and pa != pb").filter(jaccard(F.col("ta"), F.col("tb")) >= 0.45).select("a", "b", F.lit("D_hard_negative").alias("stratum"))
     near = resolved.filter("link_method = 'singleton' and link_score >= 0.35 and matched_to is not null").select(F.col("parent_asin").alias("a"), F.col("matched_to").alias("b"), F.lit("E_near_miss").alias("stratum"))
