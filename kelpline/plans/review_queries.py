@@ -337,6 +337,27 @@ def top_theme_argmax(spark: SparkSession, d: str) -> DataFrame:
     return g.select("brand", top_of_row(["low_share", "early", "carried"]).alias("top"))
 
 
+@query("product_index", DRIFT_SQL + """, ix AS (SELECT unit_id, any_value(title) AS title, any_value(brand) AS brand, any_value(product_type) AS product_type, min(least(order_date, review_date)) AS launch, count(*) FILTER (WHERE channel = 'new') AS reviews_new, count(*) FILTER (WHERE channel <> 'new') AS reviews_refurbished,
+    avg(rating) FILTER (WHERE channel = 'new') AS rating_new, avg(low) FILTER (WHERE channel = 'new') AS low_share, count(*) FILTER (WHERE channel = 'new' AND low = 1) AS low_reviews,
+    avg(CAST(months < 4 AS INT)) FILTER (WHERE channel = 'new' AND low = 1) AS early, avg(CAST(before_launch AS INT)) FILTER (WHERE channel = 'new' AND low = 1) AS carried, avg(CAST(NOT verified AS INT)) FILTER (WHERE channel = 'new' AND low = 1) AS unverified FROM rv GROUP BY 1)
+SELECT ix.unit_id, title, ix.brand, ix.product_type, launch, CAST(reviews_new AS BIGINT) AS reviews_new, CAST(reviews_refurbished AS BIGINT) AS reviews_refurbished, round(rating_new, 6) AS rating_new, round(low_share, 6) AS low_share, CAST(low_reviews AS BIGINT) AS low_reviews,
+    CASE WHEN low_reviews < 5 OR greatest(early, carried, unverified) = 0 THEN NULL WHEN early >= carried AND early >= unverified THEN 'early' WHEN carried >= unverified THEN 'carried' ELSE 'unverified' END AS top_theme, round(dr.r3 - dr.r1, 6) AS drift FROM ix LEFT JOIN dr USING (unit_id)""")
+def product_index(spark: SparkSession, d: str) -> DataFrame:
+    rv = reviews(spark, d)
+    return index_rows(rv, {"early": F.col("months") < 4, "carried": F.col("before_launch"), "unverified": ~F.col("verified")}, 5, drift_of(rv, 3))
+
+
+def index_rows(rv: DataFrame, themes: dict[str, Column], least: int, changes: DataFrame) -> DataFrame:
+    """A row a unit for an index: reviews, low share, the theme that leads its low ratings (from ``least`` of them on, the first of equals) and its drift."""
+    new = F.col("channel") == "new"
+    low = new & (F.col("low") == 1)
+    rows = rv.groupBy("unit_id").agg(
+        F.first("title").alias("title"), F.first("brand").alias("brand"), F.first("product_type").alias("product_type"), F.min(F.least("order_date", "review_date")).alias("launch"), F.count(only(new)).alias("reviews_new"),
+        F.count(only(~new)).alias("reviews_refurbished"), mean(only(new)).alias("rating_new"), mean(only(new, "low")).alias("low_share"), F.count(only(low)).alias("low_reviews"), *(F.avg(F.when(low, c.cast("int"))).alias(k) for k, c in themes.items()))
+    top = F.when((F.col("low_reviews") >= least) & (F.greatest(*themes) > 0), top_of_row(list(themes)))
+    return rows.withColumn("top_theme", top).drop(*themes).join(changes.select("unit_id", F.col("change").alias("drift")), "unit_id", "left")
+
+
 @query("channel_pivot", RV + "SELECT product_type, CAST(count(*) FILTER (WHERE channel = 'new') AS BIGINT) AS new_reviews, CAST(count(*) FILTER (WHERE channel = 'refurbished') AS BIGINT) AS refurbished_reviews FROM rv GROUP BY 1")
 def channel_pivot(spark: SparkSession, d: str) -> DataFrame:
     return reviews(spark, d).groupBy("product_type").pivot("channel", ["new", "refurbished"]).agg(n_rows()).select("product_type", F.col("new").alias("new_reviews"), F.col("refurbished").alias("refurbished_reviews"))
