@@ -82,20 +82,24 @@ class Study:
         self.pool = checkpointed(window_pool(self.counts, self.marks, LAST))
 
     def placebo(self, tag: str) -> DataFrame:
-        return placebo_events(self.units, self.marks, LAST, DRAWS, tag)
+        return placebo_events(self.units, self.marks, LAST, DRAWS, tag).withColumn("tag", F.lit(tag))
 
     def selected(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The events that have windows, and their controls."""
-        rows = placed(events, self.pool, self.units)
+        rows = checkpointed(placed(events, self.pool, self.units))  # read by both tiers' joins and by the effects
         return rows, select_controls(rows, self.pool, self.units)
 
     def measured(self, events: DataFrame) -> DataFrame:
         window = F.when(F.col("event_type") == "low_rating", EVENT_WINDOWS["low_rating"]).otherwise(EVENT_WINDOWS["sibling_launch"])
-        return effects(*self.selected(events.select("event_id", "unit", "event_type", "m0"))).withColumn("event_window", window)
+        return effects(*self.selected(events.select("event_id", "tag", "unit", "event_type", "m0"))).withColumn("event_window", window)
 
     def tested(self) -> DataFrame:
-        """Real events judged against the swing at made dates of set A."""
-        return judged(self.measured(self.events), natural_swing(self.measured(self.placebo("A"))))
+        """Real events judged against the swing at made dates of set A; all are measured in one go."""
+        rows = checkpointed(self.measured(self.real().unionByName(self.placebo("A"))))
+        return judged(rows.filter("tag = 'real'"), natural_swing(rows.filter("tag = 'A'")))
+
+    def real(self) -> DataFrame:
+        return self.events.select("event_id", "unit", "event_type", "m0", F.lit("real").alias("tag"))
 
 
 #: The last complete month, as a number.
@@ -207,7 +211,7 @@ PLACEBO_SQL = STUDY_SQL + "SELECT tag, CAST(w AS INT) AS event_window, count(*)
 def placebo_draws(spark: SparkSession, d: str) -> DataFrame:
     """Made dates in two sets: A gives the natural swing, B how many of them would be called moved though nothing happened."""
     study = Study(spark, d)
-    rows = checkpointed(study.measured(study.placebo("A")).withColumn("tag", F.lit("A")).unionByName(study.measured(study.placebo("B")).withColumn("tag", F.lit("B"))))
+    rows = checkpointed(study.measured(study.placebo("A").unionByName(study.placebo("B"))))
     found = judged(rows, natural_swing(rows.filter("tag = 'A'"))).groupBy("tag", "event_window")
     q = F.percentile("log_effect", F.array(F.lit(0.05), F.lit(0.95)))
     counts = found.agg(F.count(F.lit(1)).alias("n"), F.count("log_effect").alias("tested"), q.alias("q"), F.count(F.when(F.col("verdict") == "moved", 1)).alias("moved"))
@@ -264,7 +268,8 @@ def pooled(rows: DataFrame, base: DataFrame, repeats: int) -> DataFrame:
 @query("pooled_effect")
 def pooled_effect(spark: SparkSession, d: str) -> DataFrame:
     study = Study(spark, d)
-    return pooled(study.measured(study.events), study.measured(study.placebo("A")), POOLED_REPEATS)
+    rows = checkpointed(study.measured(study.real().unionByName(study.placebo("A"))))
+    return pooled(rows.filter("tag = 'real'"), rows.filter("tag = 'A'"), POOLED_REPEATS)
 
 
 @query("spearman_ranks", WINDOW_SQL + ", r AS (SELECT product_type, (rank() OVER (PARTITION BY product_type ORDER BY pre) + count(*) OVER (PARTITION BY product_type, pre) / 2.0 - 0.5) AS a, (rank() OVER (PARTITION BY product_type ORDER BY post) + count(*) OVER (PARTITION BY product_type, post) / 2.0 - 0.5) AS b FROM wi) SELECT product_type, round(corr(a, b), 5) AS rho FROM r GROUP BY 1")
