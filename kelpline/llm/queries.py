@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_two_fit import pack_documents
+from .fill_in_middle import fill_in_middle, restored
 from .html_tree import extract_pages
 from .kd_shards import shard_documents
+from .language_id import identify, train_languages
+from .language_id import is_held_out as held_out_of_languages
 from .ngram_join import ngram_join
 from .nra_topk import top_k
 from .orc_tokens import encode_and_read_back
@@ -15,6 +18,7 @@ from .positional_index import find_contamination
 from .quality import is_held_out, score, train
 from .secret_forest import find_secrets, train_forest
 from .suffix_dedup import remove_repeats
+from .weighted_kmeans import cluster_vectors
 from .word_encoder import vocabulary
 
 
@@ -70,6 +74,22 @@ def op10_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_weighted_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, width=64, seed=1)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, plain_from=90, spm_below=20)
+    size = lambda c: F.length(c).cast("long").alias(f"{c}_chars")
+    back = restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", size("prefix"), size("middle"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out_of_languages(F.col("doc_id")))
+    return identify(docs, train_languages(docs.filter("not held_out")), ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op1_ftrl_quality": op1_ftrl_quality,
     "op2_secret_forest": op2_secret_forest,
@@ -81,10 +101,31 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_orc_tokens": op9_orc_tokens,
     "op10_suffix_merge_dedup": op10_suffix_merge_dedup,
+    "op11_weighted_kmeans": op11_weighted_kmeans,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_naive_bayes_language": op13_naive_bayes_language,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """The clustering in SQL: a round is the assignments a0, a1, ... from the centroids c0, c1, ..."""
+    whole = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [f"v AS (SELECT row_number() OVER () AS r, vec_id, CAST(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS BIGINT[]) AS q FROM embeddings WHERE {whole})"]
+    parts.append(f"c0 AS (SELECT CAST(place - 1 AS INT) AS c, q FROM (SELECT q, row_number() OVER (ORDER BY sha256('1:' || vec_id), q) AS place FROM v) WHERE place <= {k})")
+    for i in range(rounds + 1):
+        far = f"list_sum(list_transform(list_zip(v.q, c{i}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        parts.append(f"a{i} AS (SELECT * FROM (SELECT r, vec_id, v.q AS q, c, CAST({far} AS BIGINT) AS distance, row_number() OVER (PARTITION BY r ORDER BY {far}, c) AS place FROM v, c{i}) WHERE place = 1)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, unnest(range(1, 65)) AS d FROM a{i}) GROUP BY 1, 2)")
+            parts.append(f"m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS q FROM s{i} GROUP BY 1)")
+            parts.append(f"c{i + 1} AS (SELECT c, coalesce(m{i}.q, c{i}.q) AS q FROM c{i} LEFT JOIN m{i} USING (c))")
+    chosen = f"""SELECT vec_id, c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (c)"""
+    return "WITH " + ",\n".join(parts) + "\n" + chosen
+
+
 #: SQL for DuckDB of the queries that it can express and run over whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op3_nra_topk": """
@@ -111,4 +152,13 @@ e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 l AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e),
 r(a, b) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
+    "op11_weighted_kmeans": _lloyd_sql(16, 3),
+    "op12_fill_in_middle": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+d AS (SELECT doc_id, text, u, len(u) AS n, [CAST('0x' || substr(h, CAST(8 * i + 1 AS INT), 8) AS BIGINT) FOR i IN range(4)] AS h FROM t),
+f AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
 }
