@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from .. import fixed as X
 from ..functions.dates import long_date
-from ..functions.rules import capacity_qt, choose_model, core_model, jaccard, maker, model_parts, product_type, score_pair, wattage_w
+from ..functions.rules import capacity_qt, choose_model, core_model, maker, model_parts, product_type, score_pair, wattage_w
 from ..functions.text import clean_str, generic_model_tokens, norm_text, parse_price, title_numbers, title_tokens
-from ..operators.relational import checkpointed, first_rows, label_components, settled
+from ..operators.matching import best_of, both_ways, classes_of, digest, similar_sets
+from ..operators.matching import clustered as clusters
+from ..operators.matching import keyed as with_key
+from ..operators.relational import checkpointed, first_rows, settled
 from ..sources.readers import read_table
 from .registry import query
-from .text_queries import SIDE
+from .text_queries import SAME_FROM, SIDE
 
-#: Score from which two records are one product.
-SAME_FROM = 0.58
+#: Score from which a record's best is found by the index; the few without any are compared with their whole block.
+NEAR_FROM = 0.35
 
 
 def _detail(name: str) -> Column:
@@ -81,10 +84,20 @@ def _record(rows: DataFrame) -> DataFrame:
     return settled(rows, {"r": r, "block": F.concat_ws("|", F.coalesce("brand", F.lit("")), kind)}).drop("_norm", "_codes")
 
 
-def _scored(pairs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+def best_in_block(left: DataFrame, right: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """id, other, score, reason: the best above 0 of all of the block, for the few records of ``left`` that no index finds anything for.
+
+    A stated query set: each of its distinct records meets each distinct record
+    of its block, and the best is kept where pairs are made, so that no pair is
+    sent on.
+    """
+    x, y = with_key(left), with_key(right)
     side = lambda s: {k: F.col(f"{s}.{k}") for k in SIDE}
-    same = F.when(F.col("a.title_norm") == F.col("b.title_norm"), F.struct(F.lit(1.0).alias("score"), F.lit("identical_title").alias("reason"))).otherwise(F.struct(F.lit(0.0).alias("score"), F.lit("accessory_no_fuzzy").alias("reason")))
-    return settled(pairs, {"s": F.when(F.col("a.accessory") | F.col("b.accessory"), same).otherwise(score_pair(side("a"), side("b"), weights))}).select("*", "s.score", "s.reason").drop("s")
+    there = y.filter("not exact").groupBy("key", "block", "r").agg(F.min("id").alias("other")).select("block", "other", F.col("r").alias("b"))
+    pairs = classes_of(x).filter("not exact").select("key", "block", F.col("r").alias("a")).join(there, "block")
+    rated = settled(pairs, {"s": score_pair(side("a"), side("b"), weights)}).filter("s.score > 0")
+    least = rated.groupBy("key").agg(F.min(F.struct((-F.col("s.score")).alias("score"), "other", F.col("s.reason").alias("reason"))).alias("m"))
+    return x.select("id", "key").join(least, "key").select("id", "m.other", (-F.col("m.score")).alias("score"), "m.reason")
 
 
 def resolve(listings: DataFrame, threshold: float = SAME_FROM, weights: dict[str, float] | None = None) -> DataFrame:
@@ -92,7 +105,9 @@ def resolve(listings: DataFrame, threshold: float = SAME_FROM, weights: dict[str
 
     Bundles stand alone; listings with a sure model share its key; others go to
     the best keyed listing of their block of brand and type, else to the others
-    of the block that are like them, else stand alone.
+    of the block that are like them, else stand alone. Candidates come from the
+    indexes of ``operators.matching``: a record meets those with its model or a
+    shared code and those with like titles, not its block.
     """
     rows = checkpointed(_record(listings))
     scope = rows.filter(F.coalesce(F.col("maker") != "unrelated", F.lit(True)))
@@ -108,19 +123,15 @@ def resolve(listings: DataFrame, threshold: float = SAME_FROM, weights: dict[str
         return df.select("parent_asin", product.cast("string").alias("product_id"), F.lit(method).alias("link_method"), F.round(score.cast("double"), 3).alias("link_score"), to.cast("string").alias("matched_to"), reason.alias("link_reason"))
 
     none = F.lit(None)
-    a = rest.select("parent_asin", "block", F.col("r").alias("a"))
-    b = keyed.select(F.col("parent_asin").alias("other"), "product_id", "block", F.col("r").alias("b"))
-    best = checkpointed(first_rows(_scored(a.join(b, "block"), weights).filter("score > 0"), ["parent_asin"], [F.col("score").desc(), F.col("other")]).select("parent_asin", "other", "product_id", "score", "reason"))
+    of = lambda df: df.select(F.col("parent_asin").alias("id"), "block", F.struct(*(F.col(f"r.{k}") for k in SIDE)).alias("r"), F.coalesce("r.accessory", F.lit(False)).alias("exact"))
+    asks, there = of(rest), of(keyed)
+    near = checkpointed(best_of(asks, there, NEAR_FROM, weights))
+    far = best_in_block(asks.join(near.select("id"), "id", "left_anti"), there, weights)
+    best = near.unionByName(far).join(keyed.select(F.col("parent_asin").alias("other"), "product_id"), "other").withColumnRenamed("id", "parent_asin")
+    best = checkpointed(best)
     matched = best.filter(F.col("score") >= threshold)
-    left = a.join(matched.select("parent_asin"), "parent_asin", "left_anti").withColumn("node", F.xxhash64("parent_asin"))
-    x, y = left.toDF("parent_asin", "block", "a", "node"), left.toDF("other", "block", "b", "node_b")
-    like = _scored(x.join(y, "block").filter("parent_asin < other"), weights).filter(F.col("score") >= threshold)
-    links = checkpointed(like.select("parent_asin", "other", "score", "reason", "node", "node_b"))
-    comps = checkpointed(label_components(links.select(F.col("node").alias("a"), F.col("node_b").alias("b"))).join(left.select("node", "parent_asin"), "node"))
-    roots = comps.groupBy("comp").agg(F.min("parent_asin").alias("root"))
-    both = links.select("parent_asin", "other", "score", "reason").union(links.select(F.col("other").alias("parent_asin"), F.col("parent_asin").alias("other"), "score", "reason"))
-    nearest = first_rows(both, ["parent_asin"], [F.col("score").desc(), F.col("other")])
-    clustered = comps.join(roots, "comp").select("parent_asin", "root").join(nearest, "parent_asin")
+    left = rest.join(matched.select("parent_asin"), "parent_asin", "left_anti")
+    clustered = checkpointed(clusters(of(left), threshold, weights).withColumnRenamed("id", "parent_asin"))
     single = left.select("parent_asin").join(clustered.select("parent_asin"), "parent_asin", "left_anti").join(best, "parent_asin", "left")
     parts = [
         out(bundles, "bundle", F.concat(F.lit("SN-B-"), "parent_asin"), none, none, F.lit("title joins two products with '+'")),
@@ -160,13 +171,16 @@ def pairs_to_label(resolved: DataFrame, listings: DataFrame, seen: DataFrame, se
     neighbour = keyed.withColumn("b", F.lead("parent_asin").over(Window.partitionBy("product_id").orderBy("parent_asin"))).filter("b is not null")
     linked = lambda method, name: named.filter(F.col("link_method") == method).filter("matched_to is not null").select(F.col("parent_asin").alias("a"), F.col("matched_to").alias("b"), F.lit(name).alias("stratum"))
     rows = _record(listings).join(named.select("parent_asin", "product_id"), "parent_asin").select("parent_asin", "product_id", "block", F.col("r.tokens").alias("tok"))
-    x, y = rows.toDF("a", "pa", "block", "ta"), rows.toDF("b", "pb", "block", "tb")
-    hard = x.join(y, "block").filter("a < b and pa != pb").filter(jaccard(F.col("ta"), F.col("tb")) >= 0.45).select("a", "b", F.lit("D_hard_negative").alias("stratum"))
+    rows = rows.filter(F.size("tok") > 0).withColumn("set", digest(F.col("block"), F.array_sort("tok")))
+    sets = rows.select("block", F.col("set").alias("id"), F.col("tok").alias("tokens")).dropDuplicates(["id"])
+    alike = both_ways(similar_sets(sets, ["block"], 0.45)).union(sets.select("id", "id"))
+    x, y = (rows.select("parent_asin", "product_id", "set").toDF(*names) for names in (("a", "pa", "left"), ("b", "pb", "right")))
+    hard = alike.join(x, "left").join(y, "right").filter("a < b and pa != pb").select("a", "b", F.lit("D_hard_negative").alias("stratum"))
     near = resolved.filter("link_method = 'singleton' and link_score >= 0.35 and matched_to is not null").select(F.col("parent_asin").alias("a"), F.col("matched_to").alias("b"), F.lit("E_near_miss").alias("stratum"))
     every = neighbour.select(F.col("parent_asin").alias("a"), "b", F.lit("A_model_key").alias("stratum")).unionByName(linked("title_match", "B_title_match")).unionByName(linked("title_cluster", "C_title_cluster")).unionByName(hard).unionByName(near)
     unordered = lambda df: df.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")})
     fresh = unordered(every).join(unordered(seen.select("a", "b")).select("lo", "hi"), ["lo", "hi"], "left_anti")
-    fresh = first_rows(fresh, ["lo", "hi"], [F.col("stratum")])
+    fresh = first_rows(fresh, ["lo", "hi"], [F.col("stratum"), F.col("a")])
     order = Window.partitionBy("stratum").orderBy(F.xxhash64("lo", "hi", F.lit(seed)))
     limit = F.create_map(*(F.lit(v) for kv in sizes.items() for v in kv))
     return fresh.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit[F.col("stratum")]).select("a", "b", "stratum")

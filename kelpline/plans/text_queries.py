@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixed import THEMES
 from ..functions.rules import core_model, jaccard, model_tokens, product_type, score_pair, theme_flags
 from ..functions.text import excerpt, house_style, norm_brand, norm_text, parse_price, title_numbers, title_tokens
+from ..operators.matching import best_after
 from ..operators.relational import column_profile, confusion, first_rows, label_components, top_of_row, unpivoted
 from ..sources.readers import read_table
 from .registry import query
@@ -126,10 +127,17 @@ def listings(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"tokens": title_tokens(F.col("title_norm")), "numbers": title_numbers(F.col("title_norm"))})
 
 
+#: Score from which two records are one product.
+SAME_FROM = 0.58
 #: What a side of a pair brings to the score.
 SIDE = ("title_norm", "model_no", "title_model_tokens", "price", "brand", "tokens", "numbers")
 
 
+def records(rows: DataFrame) -> DataFrame:
+    """Listings as the records that ``operators.matching`` matches inside brand and type."""
+    return rows.select("id", F.to_json(F.struct("brand", "kind")).alias("block"), F.struct(*SIDE).alias("r"), F.lit(False).alias("exact"))
+
+
 def block_pairs(rows: DataFrame) -> DataFrame:
     """All pairs a.id < b.id inside a block of brand and type, the columns of both as structs."""
     a = rows.select("brand", "kind", F.struct(*rows.columns).alias("a"))
@@ -170,8 +178,8 @@ def score_pair_query(spark: SparkSession, d: str) -> DataFrame:
 
 @query("best_match_block", PAIR_SQL + "SELECT left_id, right_id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(score, 5) DESC, right_id) AS rn FROM s WHERE score >= 0.58) WHERE rn = 1")
 def best_match_block(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).filter("score >= 0.58").select("left_id", "right_id", F.round("score", 5).alias("score"))
-    return first_rows(rows, ["left_id"], [F.col("score").desc(), F.col("right_id")])
+    """Each listing's best of those after it, by the index of titles and models."""
+    return best_after(records(listings(spark, d)), SAME_FROM).toDF("left_id", "right_id", "score")
 
 
 @query("match_metrics", PAIR_SQL + ", c AS (SELECT sum(CAST(score >= 0.58 AND same_title AS INT)) AS tp, sum(CAST(score >= 0.58 AND NOT same_title AS INT)) AS fp, sum(CAST(score < 0.58 AND same_title AS INT)) AS fn, sum(CAST(score < 0.58 AND NOT same_title AS INT)) AS tn FROM s) SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(tp / (tp + fp), 5) AS precision, round(tp / (tp + fn), 5) AS recall FROM c")
@@ -182,8 +190,10 @@ def match_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("connected_components", PAIR_SQL + """, e AS (SELECT left_id AS a, right_id AS b FROM s WHERE reason = 'model_equal' UNION SELECT right_id, left_id FROM s WHERE reason = 'model_equal')
 SELECT node, min(b) AS comp FROM (WITH RECURSIVE reach(node, b) AS (SELECT a, a FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.b = e.a) SELECT node, b FROM reach) GROUP BY 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    links = scored(spark, d).filter("reason = 'model_equal'").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    return label_components(links)
+    """Listings of a block with the same model: each is linked to the first of them, so that there is one link a listing."""
+    rows = listings(spark, d).filter("model_no is not null")
+    first = rows.groupBy("brand", "kind", "model_no").agg(F.min("id").alias("a"))
+    return label_components(rows.join(first, ["brand", "kind", "model_no"]).filter("id != a").select("a", F.col("id").alias("b")))
 
 
 @query("canonical_listing", "SELECT p_name AS title, p_partkey AS canonical_id, CAST(n AS BIGINT) AS n_listings, brands FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_retailprice DESC, p_partkey) AS rn, count(*) OVER (PARTITION BY p_name) AS n FROM part) JOIN (SELECT p_name AS nm, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM part GROUP BY 1) ON nm = p_name WHERE rn = 1")
