@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import EVENT_WINDOWS
+from .nearest import nearest_first
 from .relational import cooled_down, settled
 
 #: Tiers by largest launch distance in months and largest ratio of volumes; least and most controls; the least reviews before.
@@ -25,6 +26,8 @@ STRICT, RELAXED = (24, 3.0), (48, 5.0)
 LEAST_CONTROLS, MOST_CONTROLS, LEAST_REVIEWS = 3, 10, 30
 #: The least effect called a move, and a normal's 95 % point.
 MOVE, Z95 = 0.15, 1.645
+#: Units of a block that an event reads at once when it looks for controls.
+BLOCK = 64
 #: Poisson means up to which the variance of a log is summed exactly.
 EXACT_MEAN = 100
 
@@ -73,38 +76,58 @@ def change(prefix: str = "") -> Column:
     return F.log(F.col(f"{prefix}post") / F.col(f"{prefix}post_months") + 0.5) - level(prefix)
 
 
-def candidates(events: DataFrame, pool: DataFrame, units: DataFrame, kind: str) -> DataFrame:
-    """Pairs of events and units of the same ``kind`` (column) that fit as controls in the relaxed tier, with ``strict``.
+class _Enough:
+    """When a way has been read far enough: ten strict controls, ten of any kind beyond the strict volumes, or all of the relaxed ones."""
 
-    Volumes meet by buckets of their logs as wide as the largest ratio, each event looking in its own and the two beside, so no range join is left.
+    @property
+    def counts(self) -> dict[str, Column]:
+        return {"n_strict": F.col("strict").cast("int"), "n_any": F.lit(1)}
+
+    def __call__(self, edge: Column) -> Column:
+        strict, relaxed = (round(math.log(ratio), 9) for _, ratio in (STRICT, RELAXED))
+        return (F.col("n_strict") >= MOST_CONTROLS) | (F.round(edge, 9) > relaxed) | ((F.round(edge, 9) > strict) & (F.col("n_any") >= MOST_CONTROLS))
+
+
+def candidates(events: DataFrame, pool: DataFrame, units: DataFrame, kinds: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """event_id, kind, control, gap, the control's windows and ``strict``: the units nearest by volume that fit as controls in the relaxed tier.
+
+    ``kinds``: name by column that both must share. Both sides are laid out by
+    kind, type of event, month and volume, and each event reads blocks outwards
+    from its own place until it has ten controls each way or is beyond the
+    ratio: so it meets some blocks, not all units of its type and month.
     """
-    width = math.log(RELAXED[1])
-    e = settled(events, {"level": level()}).withColumn("bucket", F.explode(F.array(*(F.floor(F.col("level") / width) + k for k in (-1, 0, 1)))))
-    c = pool.filter("pre > 0 and not spoiled").join(units.select("unit", "family", kind, "launch_mi", "first_mi"), "unit")
-    keys = ["event_type", "m0", kind]
-    c = c.select(*keys, *(F.col(x).alias(f"c_{x}") for x in ("family", "launch_mi", "first_mi", "pre", "pre_months", "post", "post_months")), F.col("unit").alias("control"))
-    c = settled(c, {"c_level": level("c_")}).withColumn("bucket", F.floor(F.col("c_level") / width))
-    pairs = settled(e.join(c, [*keys, "bucket"]), {"gap": F.round(F.abs(F.col("c_level") - F.col("level")), 9), "apart": F.abs(F.col("c_launch_mi") - F.col("launch_mi"))})
-    related = F.coalesce(F.col("family") == F.col("c_family"), F.lit(False))
-    age = F.greatest(F.lit(12.0), 0.5 * (F.col("m0") - F.col("first_mi")))
-    fits = [F.coalesce(F.col("apart") <= months, F.lit(True)) & (F.col("gap") <= round(math.log(ratio), 9)) for months, ratio in (STRICT, RELAXED)]
-    kept = pairs.filter((F.col("unit") != F.col("control")) & ~related & (F.abs(F.col("c_first_mi") - F.col("first_mi")) <= age) & fits[1])
-    return kept.select("event_id", "control", "gap", "c_pre", "c_pre_months", "c_post", "c_post_months", fits[0].alias("strict"))
-
-
-def select_controls(events: DataFrame, pool: DataFrame, units: DataFrame) -> DataFrame:
+    own = F.array(*(F.struct(F.lit(name).alias("kind"), F.col(column).alias("value")) for name, column in kinds.items()))
+    named = lambda df: df.select("*", F.inline(own)).drop(*set(kinds.values()))
+    e = named(settled(events.select("event_id", "event_type", "m0", *set(kinds.values()), "unit", "family", "launch_mi", "first_mi", "pre", "pre_months"), {"level": level()}))
+    e = e.withColumn("request", F.concat("kind", F.lit("/"), "event_id")).drop("pre", "pre_months")
+    c = pool.filter("pre > 0 and not spoiled").join(units.select("unit", "family", *set(kinds.values()), "launch_mi", "first_mi"), "unit")
+    c = named(c.select("event_type", "m0", *set(kinds.values()), *(F.col(x).alias(f"c_{x}") for x in ("family", "launch_mi", "first_mi", "pre", "pre_months", "post", "post_months")), F.col("unit").alias("control")))
+    c = settled(c, {"level": level("c_")})
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        pairs = settled(pairs, {"gap": F.round(F.abs(F.col("there") - F.col("level")), 9), "apart": F.abs(F.col("c_launch_mi") - F.col("launch_mi"))})
+        related = F.coalesce(F.col("family") == F.col("c_family"), F.lit(False))
+        age = F.greatest(F.lit(12.0), 0.5 * (F.col("m0") - F.col("first_mi")))
+        fits = [F.coalesce(F.col("apart") <= months, F.lit(True)) & (F.col("gap") <= round(math.log(ratio), 9)) for months, ratio in (STRICT, RELAXED)]
+        kept = pairs.filter((F.col("unit") != F.col("control")) & ~related & (F.abs(F.col("c_first_mi") - F.col("first_mi")) <= age) & fits[1])
+        return kept.select("request", "way", "event_id", "kind", "control", "gap", "c_pre", "c_pre_months", "c_post", "c_post_months", fits[0].alias("strict"))
+
+    return nearest_first(e, c, ["kind", "value", "event_type", "m0"], "level", "control", meet, _Enough(), block).drop("request", "way")
+
+
+def select_controls(events: DataFrame, pool: DataFrame, units: DataFrame, block: int = BLOCK) -> DataFrame:
     """event_id, control, tier, place and the control's windows in the event's months: the nearest by volume, ties to the lesser unit.
 
     Tiers: strict, relaxed where that finds fewer than three, then the broad type. ``events`` are those of ``placed``.
     """
-    near = candidates(events, pool, units, "product_type")
+    every = candidates(events, pool, units, {"near": "product_type", "broad": "broad"}, block)
     by_event = Window.partitionBy("event_id")
-    near = near.withColumns({"n_strict": F.sum(F.col("strict").cast("int")).over(by_event), "n_all": F.count(F.lit(1)).over(by_event)})
-    decided = near.filter(f"n_all >= {LEAST_CONTROLS}")
-    first = decided.filter(f"strict or n_strict < {LEAST_CONTROLS}").withColumn("tier", F.when(F.col("n_strict") >= LEAST_CONTROLS, "strict").otherwise("relaxed")).drop("n_strict", "n_all")
-    broad = candidates(events.join(decided.select("event_id").distinct(), "event_id", "left_anti"), pool, units, "broad").withColumn("tier", F.lit("broad category"))
+    near = F.col("kind") == "near"
+    every = every.withColumns({"n_strict": F.sum((near & F.col("strict")).cast("int")).over(by_event), "n_near": F.sum(near.cast("int")).over(by_event)})
+    tier = F.when(F.col("n_near") < LEAST_CONTROLS, "broad category").when(F.col("n_strict") < LEAST_CONTROLS, "relaxed").otherwise("strict")
+    fits = F.when(F.col("tier") == "broad category", ~near).when(F.col("tier") == "relaxed", near).otherwise(near & F.col("strict"))
     place = F.row_number().over(by_event.orderBy("gap", "control"))
-    return first.unionByName(broad).drop("strict").withColumn("place", place).filter(F.col("place") <= MOST_CONTROLS)
+    return every.withColumn("tier", tier).filter(fits).drop("strict", "kind", "n_strict", "n_near").withColumn("place", place).filter(F.col("place") <= MOST_CONTROLS)
 
 
 def log_variance(total: Column, months: Column) -> Column:

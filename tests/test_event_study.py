@@ -110,3 +110,53 @@ def test_units_are_numbered_without_gaps(spark):
     u = spark.range(5000).select(hashed(F.lit("x"), F.col("id")).alias("u"))
     low, high, mean = u.agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= low < 0.01 and 0.99 < high < 1 and abs(mean - 0.5) < 0.02
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 2), (2, 5), (3, 64)])
+def test_nearest_controls_equal_those_of_all_candidates(spark, seed, block):
+    """Units of few volumes, so that many are as near: block by block against every unit of the type and month."""
+    import math
+    import random
+
+    draw = random.Random(seed)
+    rows = [(f"u{k:03}", draw.choice([None, "f", "g"]), draw.choice("tttu"), "b", draw.choice([0, 10, 30, None])) for k in range(90)]
+    units = units_of(spark, rows).withColumn("first_mi", F.when(F.col("unit") < "u030", 14).otherwise(F.col("first_mi")))
+    counts = counts_of(spark, [(r[0], draw.choice([1, 2, 2, 3, 9]), 5) for r in rows])
+    asked = [(f"e{k}", f"u{k:03}", draw.choice(["low_rating", "sibling_launch"]), 30) for k in range(0, 90, 2)]
+    marks = spark.createDataFrame([(f"u{k:03}", "low_rating", 31) for k in range(5, 90, 9)], MARKS)
+    pool = window_pool(counts, marks, LAST).cache()
+    events = placed(spark.createDataFrame(asked, EVENTS), pool, units)
+    got = {(r["event_id"], r["place"]): (r["control"], r["tier"], r["gap"]) for r in select_controls(events, pool, units, block).collect()}
+    there = pool.filter("pre > 0 and not spoiled").join(units.drop("total"), "unit").collect()
+    want = {}
+    for e in events.collect():
+        near, broad = [], []
+        for c in there:
+            if (c["event_type"], c["m0"]) != (e["event_type"], e["m0"]) or c["unit"] == e["unit"] or (c["family"] is not None and c["family"] == e["family"]):
+                continue
+            gap = round(abs(math.log(c["pre"] / c["pre_months"] + 0.5) - math.log(e["pre"] / e["pre_months"] + 0.5)), 9)
+            apart = 0 if None in (c["launch_mi"], e["launch_mi"]) else abs(c["launch_mi"] - e["launch_mi"])
+            if apart > 48 or gap > round(math.log(5), 9) or abs(c["first_mi"] - e["first_mi"]) > max(12, 0.5 * (e["m0"] - e["first_mi"])):
+                continue
+            own = (gap, c["unit"], apart <= 24 and gap <= round(math.log(3), 9))
+            broad.append(own)
+            near += [own] if c["product_type"] == e["product_type"] else []
+        strict = [x for x in near if x[2]]
+        tier, kept = ("strict", strict) if len(strict) >= 3 else ("relaxed", near) if len(near) >= 3 else ("broad category", broad)
+        want |= {(e["event_id"], k + 1): (u, tier, g) for k, (g, u, _) in enumerate(sorted(kept)[:10])}
+    assert got == want and {t for _, t, _ in want.values()} >= {"strict"}
+
+
+def test_an_event_meets_some_blocks_not_all_units(spark):
+    """25 and 5,000 units of one type, month and volume band: the pairs that are made of an event stay within a few blocks."""
+    from kelpline.operators import event_study
+
+    made = {}
+    for n in (25, 5000):
+        rows = spark.range(n).select(F.format_string("u%05d", "id").alias("unit"), F.concat(F.lit("f"), "id").alias("family"), F.lit("t").alias("product_type"), F.lit("b").alias("broad"), F.lit(0).alias("launch_mi"), F.lit(0).alias("first_mi"))
+        pool = rows.select("unit", F.lit("low_rating").alias("event_type"), F.lit(30).alias("m0"), (F.lit(30) + F.crc32("unit") % 40).alias("pre"), F.lit(3).alias("pre_months"), F.lit(30).alias("post"), F.lit(3).alias("post_months"), F.lit(False).alias("spoiled"))
+        events = placed(rows.filter("cast(substring(unit, 2, 5) as int) % 5 = 0").select(F.col("unit").alias("event_id"), "unit", F.lit("low_rating").alias("event_type"), F.lit(30).alias("m0")), pool, rows)
+        kept = event_study.candidates(events, pool, rows, {"near": "product_type"})
+        made[n] = kept.count() / events.count()
+        assert select_controls(events, pool, rows).count() == 10 * events.count()
+    assert made[25] <= 24 and made[5000] <= 4 * event_study.BLOCK
