@@ -1,5 +1,7 @@
 """Event studies: windows around events, controls, effects, bands, multiple tests, placebos, bootstraps."""
 
+from functools import cached_property
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,51 +57,119 @@ def event_window_effect(spark: SparkSession, d: str) -> DataFrame:
 
 
 class Study:
-    """The study's tables: units are brands, families six lines of brands, a sibling is a part of the brand, types are the two brand sets, the broad type is all."""
+    """The study's tables: units are brands, families six lines of brands, a sibling is a part of the brand, types are the two brand sets, the broad type is all.
+
+    Tables are checkpointed when they are first asked for, so that later plans
+    are short and executors may go; Spark's cleaner deletes them when the study is gone.
+    """
 
     def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.directory = spark, d
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """The reviews are read once; all else comes from these."""
         month = (F.year("review_date") * 12 + F.month("review_date") - 1).alias("mi")
-        cells = reviews(spark, d).groupBy(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type"), F.col("unit_id").alias("part"), (F.col("channel") == "new").alias("new"), month)
-        # the reviews are read once; all else comes from the cells and is kept, since controls, made dates and bands use it again
-        cells = checkpointed(cells.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").cast("long")).alias("stars")))
-        self.counts = checkpointed(cells.filter("new").groupBy("unit", "mi").agg(F.sum("n").alias("n"), F.sum("stars").alias("stars")))
-        launches = cells.groupBy("unit", "part").agg(F.min("mi").alias("at"))
-        units = cells.groupBy("unit", "product_type").agg(
+        cells = reviews(self.spark, self.directory).groupBy(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type"), F.col("unit_id").alias("part"), (F.col("channel") == "new").alias("new"), month)
+        return checkpointed(cells.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").cast("long")).alias("stars")))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return checkpointed(self.cells.filter("new").groupBy("unit", "mi").agg(F.sum("n").alias("n"), F.sum("stars").alias("stars")))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        units = self.cells.groupBy("unit", "product_type").agg(
             F.min("mi").alias("launch_mi"), F.min(F.when(F.col("new"), F.col("mi"))).alias("first_mi"), F.min(F.when(~F.col("new"), F.col("mi"))).alias("again_mi"), F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)).alias("total"))
         line = F.concat(F.lit("line "), F.substring("unit", 7, 10).cast("int") % 6)
-        self.units = checkpointed(units.filter("first_mi is not null").withColumns({"family": line, "broad": F.lit("all")}))
-        low = checkpointed(low_rating_events(self.counts, LAST))
-        siblings = launches.join(self.units.select("unit", "launch_mi", "first_mi"), "unit").filter("at <> launch_mi")
+        return checkpointed(units.filter("first_mi is not null").withColumns({"family": line, "broad": F.lit("all")}))
+
+    @cached_property
+    def low(self) -> DataFrame:
+        return checkpointed(low_rating_events(self.counts, LAST))
+
+    @cached_property
+    def siblings(self) -> DataFrame:
+        launches = self.cells.groupBy("unit", "part").agg(F.min("mi").alias("at"))
+        return launches.join(self.units.select("unit", "launch_mi", "first_mi"), "unit").filter("at <> launch_mi")
+
+    @cached_property
+    def again(self) -> DataFrame:
+        return self.units.filter("again_mi is not null").select("unit", "first_mi", F.col("again_mi").alias("m0"))
+
+    @cached_property
+    def events(self) -> DataFrame:
         spans = (F.col("first_mi") <= F.col("m0") - 6) & (F.col("m0") + 6 <= LAST)
-        merged = siblings.groupBy("unit", "first_mi", F.col("at").alias("m0")).agg(F.array_sort(F.collect_list(F.col("part").cast("string"))).alias("names"))
+        merged = self.siblings.groupBy("unit", "first_mi", F.col("at").alias("m0")).agg(F.array_sort(F.collect_list(F.col("part").cast("string"))).alias("names"))
         detail = F.when(F.size("names") < 4, F.array_join(F.transform("names", lambda x: F.concat(x, F.lit(" launched"))), "; ")).otherwise(F.concat(F.size("names"), F.lit(" siblings launched")))
-        again = self.units.filter("again_mi is not null").select("unit", "first_mi", F.col("again_mi").alias("m0"))
         kind = lambda df, name, detail: df.select(F.lit(name).alias("event_type"), "unit", F.col("m0").cast("int").alias("m0"), detail.alias("detail"))
-        self.events = kind(merged.filter(spans), "sibling_launch", detail).union(kind(again.filter(spans), "refurbished", F.lit("first refurbished review"))).union(kind(low, "low_rating", F.lit("low rating")))
-        self.events = self.events.withColumn("event_id", F.concat_ws("/", "event_type", "unit", "m0"))
+        events = kind(merged.filter(spans), "sibling_launch", detail).union(kind(self.again.filter(spans), "refurbished", F.lit("first refurbished review"))).union(kind(self.low, "low_rating", F.lit("low rating")))
+        return events.withColumn("event_id", F.concat_ws("/", "event_type", "unit", "m0"))
+
+    @cached_property
+    def marks(self) -> DataFrame:
         mark = lambda df, name, at: df.select("unit", F.lit(name).alias("event_type"), F.col(at).alias("at"))
-        self.marks = checkpointed(mark(siblings, "sibling_launch", "at").union(mark(again, "refurbished", "m0")).union(mark(low, "low_rating", "m0")).distinct())
-        self.pool = checkpointed(window_pool(self.counts, self.marks, LAST))
+        return checkpointed(mark(self.siblings, "sibling_launch", "at").union(mark(self.again, "refurbished", "m0")).union(mark(self.low, "low_rating", "m0")).distinct())
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        return checkpointed(window_pool(self.counts, self.marks, LAST))
+
+    @cached_property
+    def every(self) -> DataFrame:
+        """Real events and made dates of both sets, with their site: unit, kind and month, which made dates often share."""
+        every = self.events.select("event_id", "unit", "event_type", "m0", F.lit("real").alias("tag"))
+        for tag in ("A", "B"):
+            every = every.unionByName(placebo_events(self.units, self.marks, LAST, DRAWS, tag).withColumn("tag", F.lit(tag)))
+        return checkpointed(every.withColumn("site", F.concat_ws("/", "event_type", "unit", "m0")))
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """The sites that have windows, each once; event_id is the site, which is a real event's own id, too."""
+        sites = self.every.select(F.col("site").alias("event_id"), "unit", "event_type", "m0").distinct()
+        return checkpointed(placed(sites, self.pool, self.units))
+
+    @cached_property
+    def controls(self) -> DataFrame:
+        return checkpointed(select_controls(self.placed, self.pool, self.units))
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        window = F.when(F.col("event_type") == "low_rating", EVENT_WINDOWS["low_rating"]).otherwise(EVENT_WINDOWS["sibling_launch"])
+        sites = effects(self.placed, self.controls).withColumn("event_window", window).withColumnRenamed("event_id", "site")
+        return checkpointed(self.every.select("event_id", "tag", "site").join(sites, "site"))
 
-    def placebo(self, tag: str) -> DataFrame:
-        return placebo_events(self.units, self.marks, LAST, DRAWS, tag).withColumn("tag", F.lit(tag))
+    def of(self, tag: str) -> DataFrame:
+        return self.measured.filter(F.col("tag") == tag)
 
-    def selected(self, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The events that have windows, and their controls."""
-        rows = checkpointed(placed(events, self.pool, self.units))  # read by both tiers' joins and by the effects
-        return rows, select_controls(rows, self.pool, self.units)
+    def real_sites(self, df: DataFrame) -> DataFrame:
+        return df.join(self.events.select("event_id"), "event_id", "left_semi")
 
-    def measured(self, events: DataFrame) -> DataFrame:
-        window = F.when(F.col("event_type") == "low_rating", EVENT_WINDOWS["low_rating"]).otherwise(EVENT_WINDOWS["sibling_launch"])
-        return effects(*self.selected(events.select("event_id", "tag", "unit", "event_type", "m0"))).withColumn("event_window", window)
+    @cached_property
+    def swing(self) -> DataFrame:
+        return checkpointed(natural_swing(self.of("A")))
+
+    def judged(self, tags: str) -> DataFrame:
+        """Events or made dates against the swing at those of set A."""
+        return judged(self.measured.filter(tags), self.swing)
+
+
+#: The study that was asked for last, by session and the state of its tables.
+_LAST_STUDY: dict[tuple, Study] = {}
 
-    def tested(self) -> DataFrame:
-        """Real events judged against the swing at made dates of set A; all are measured in one go."""
-        rows = checkpointed(self.measured(self.real().unionByName(self.placebo("A"))))
-        return judged(rows.filter("tag = 'real'"), natural_swing(rows.filter("tag = 'A'")))
 
-    def real(self) -> DataFrame:
-        return self.events.select("event_id", "unit", "event_type", "m0", F.lit("real").alias("tag"))
+def study_of(spark: SparkSession, d: str) -> Study:
+    """The study of a directory's tables, shared by all queries of a session until another one is asked for or files change."""
+    jvm, files = spark.sparkContext._jvm, []
+    for name in ("lineitem", "orders", "part"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        files += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found]
+    key = (spark.sparkContext.applicationId, d, *files)
+    if key not in _LAST_STUDY:
+        _LAST_STUDY.clear()
+        _LAST_STUDY[key] = Study(spark, d)
+    return _LAST_STUDY[key]
 
 
 #: The last complete month, as a number.
@@ -153,19 +223,19 @@ fd AS (SELECT event_id, p, coalesce(p <= (SELECT max(p) FROM pr WHERE p <= k / m
 @query("event_stream", STUDY_SQL + "SELECT event_type, unit, CAST(m0 AS INT) AS m0, detail FROM ev")
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """Sibling launches (merged by month), first refurbished reviews and low ratings as one table."""
-    return Study(spark, d).events.drop("event_id")
+    return study_of(spark, d).events.drop("event_id")
 
 
 @query("control_selection_tiers", STUDY_SQL + "SELECT event_id, control, tier, round(gap, 6) AS gap, CAST(place AS INT) AS place FROM ct JOIN pe USING (event_id) WHERE tag = 'real'")
 def control_selection_tiers(spark: SparkSession, d: str) -> DataFrame:
-    study = Study(spark, d)
-    return study.selected(study.events.drop("detail"))[1].select("event_id", "control", "tier", F.round("gap", 6).alias("gap"), "place")
+    study = study_of(spark, d)
+    return study.real_sites(study.controls).select("event_id", "control", "tier", F.round("gap", 6).alias("gap"), "place")
 
 
 @query("event_effects", STUDY_SQL + "SELECT event_id, CAST(n_controls AS BIGINT) AS n_controls, tier, round(effect, 5) AS effect, round(lo, 5) AS lo, round(hi, 5) AS hi, round(p, 6) AS p, coalesce(survives, false) AS survives, CASE WHEN verdict = 'moved' AND NOT coalesce(survives, false) THEN 'no_clear_change' ELSE verdict END AS verdict, near_zero_after FROM ju LEFT JOIN fd USING (event_id) WHERE tag = 'real'")
 def event_effects(spark: SparkSession, d: str) -> DataFrame:
     """Effects with intervals; a move must also survive the false-discovery control over all tests."""
-    rows = checkpointed(Study(spark, d).tested())
+    rows = checkpointed(study_of(spark, d).judged("tag = 'real'"))
     kept = benjamini_hochberg(rows.filter("p is not null").select("event_id", "p"), "p", 0.1).select("event_id", "survives")
     rows = rows.join(kept, "event_id", "left").withColumn("survives", F.coalesce("survives", F.lit(False)))
     verdict = F.when((F.col("verdict") == "moved") & ~F.col("survives"), "no_clear_change").otherwise(F.col("verdict"))
@@ -179,8 +249,8 @@ SELECT event_id, CAST(rel AS INT) AS rel, max(CASE WHEN m0 + rel >= first_mi THE
 
 @query("comparison_band", BAND_SQL)
 def comparison_band(spark: SparkSession, d: str) -> DataFrame:
-    study = Study(spark, d)
-    band = bands(*study.selected(study.events.drop("detail")), study.counts, study.units, LAST)
+    study = study_of(spark, d)
+    band = bands(study.real_sites(study.placed), study.controls, study.counts, study.units, LAST)
     return band.select("event_id", "rel", "own", *(F.round(c, 5).alias(c) for c in ("lo", "mid", "hi")))
 
 
@@ -201,7 +271,7 @@ def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
 @query("empirical_p", STUDY_SQL + "SELECT event_id, round(p, 6) AS p FROM pv")
 def empirical_p(spark: SparkSession, d: str) -> DataFrame:
     """Share of the changes at made dates, of the same window, that are as large."""
-    return Study(spark, d).tested().filter("p is not null").select("event_id", F.round("p", 6).alias("p"))
+    return study_of(spark, d).judged("tag = 'real'").filter("p is not null").select("event_id", F.round("p", 6).alias("p"))
 
 
 PLACEBO_SQL = STUDY_SQL + "SELECT tag, CAST(w AS INT) AS event_window, count(*) AS n, count(log_effect) AS tested, round((quantile_cont(log_effect, 0.95) - quantile_cont(log_effect, 0.05)) / 3.29, 5) AS swing, count(*) FILTER (WHERE verdict = 'moved') AS moved FROM ju WHERE tag <> 'real' GROUP BY 1, 2"
@@ -210,9 +280,7 @@ PLACEBO_SQL = STUDY_SQL + "SELECT tag, CAST(w AS INT) AS event_window, count(*)
 @query("placebo_draws", PLACEBO_SQL)
 def placebo_draws(spark: SparkSession, d: str) -> DataFrame:
     """Made dates in two sets: A gives the natural swing, B how many of them would be called moved though nothing happened."""
-    study = Study(spark, d)
-    rows = checkpointed(study.measured(study.placebo("A").unionByName(study.placebo("B"))))
-    found = judged(rows, natural_swing(rows.filter("tag = 'A'"))).groupBy("tag", "event_window")
+    found = study_of(spark, d).judged("tag != 'real'").groupBy("tag", "event_window")
     q = F.percentile("log_effect", F.array(F.lit(0.05), F.lit(0.95)))
     counts = found.agg(F.count(F.lit(1)).alias("n"), F.count("log_effect").alias("tested"), q.alias("q"), F.count(F.when(F.col("verdict") == "moved", 1)).alias("moved"))
     return counts.select("tag", "event_window", "n", "tested", F.round((F.col("q")[1] - F.col("q")[0]) / (2 * Z95), 5).alias("swing"), "moved")
@@ -267,9 +335,8 @@ def pooled(rows: DataFrame, base: DataFrame, repeats: int) -> DataFrame:
 
 @query("pooled_effect")
 def pooled_effect(spark: SparkSession, d: str) -> DataFrame:
-    study = Study(spark, d)
-    rows = checkpointed(study.measured(study.real().unionByName(study.placebo("A"))))
-    return pooled(rows.filter("tag = 'real'"), rows.filter("tag = 'A'"), POOLED_REPEATS)
+    study = study_of(spark, d)
+    return pooled(study.of("real"), study.of("A"), POOLED_REPEATS)
 
 
 @query("spearman_ranks", WINDOW_SQL + ", r AS (SELECT product_type, (rank() OVER (PARTITION BY product_type ORDER BY pre) + count(*) OVER (PARTITION BY product_type, pre) / 2.0 - 0.5) AS a, (rank() OVER (PARTITION BY product_type ORDER BY post) + count(*) OVER (PARTITION BY product_type, post) / 2.0 - 0.5) AS b FROM wi) SELECT product_type, round(corr(a, b), 5) AS rho FROM r GROUP BY 1")
