@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_series
@@ -74,14 +75,29 @@ def column_profile(df: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*row)))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; one of its own is set only where none is and all runs on this machine."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, of ``spark.checkpoint.dir``; one of its own only where that is unset and all runs on this machine."""
+    path = spark.sparkContext.getCheckpointDir()
+    if not path:
         path = spark.conf.get("spark.checkpoint.dir", None)
         if not path and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp())
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call uses; it is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

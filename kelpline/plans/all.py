@@ -1,6 +1,6 @@
 """All named queries; importing the modules registers them."""
 
-from . import evaluation_queries, event_queries, resolution, review_queries, text_queries, tools
+from . import evaluation_queries, event_queries, resolution, review_queries, stream_queries, text_queries, tools
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evaluation_queries", "event_queries", "resolution", "review_queries", "text_queries", "tools"]
+__all__ = ["ORACLE", "QUERIES", "evaluation_queries", "event_queries", "resolution", "review_queries", "stream_queries", "text_queries", "tools"]
