@@ -46,7 +46,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def lines_of(lines: DataFrame, ids: DataFrame, field: str = "parent_asin") -> DataFrame:
     """The raw lines (column ``value``) whose first ``field`` is one of ``ids`` (first column), unparsed and unchanged; Spark broadcasts ids only where they are small."""
     keys = ids.select(ids[0].cast("string").alias("_id")).distinct()
-    key = F.regexp_extract("value", f'"{field}": "([^"]*)"', 1)
+    key = F.regexp_extract("value", rf'"{field}"\s*:\s*"([^"]*)"', 1)
     return lines.join(keys, key == F.col("_id"), "left_semi")
 
 

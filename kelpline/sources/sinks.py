@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .key_files import KeyFiles
+
 
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -38,10 +40,15 @@ def file_key(c: Column) -> Column:
 
 
 def write_documents(df: DataFrame, key: str, path: str) -> None:
-    """A folder a key with the key's JSON document."""
+    """``<key>.json`` in ``path`` for each row, many a task, there only when all are written.
+
+    Rows are dealt out by file name; a null key, or two rows of one name, fail
+    the job, and then no file has changed. Files of other keys stay.
+    """
     cols = [json_ready(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema]
-    rows = df.select(file_key(F.col(key).cast("string")).alias("file_key"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
-    rows.write.mode("overwrite").partitionBy("file_key").text(path)
+    rows = df.select(file_key(F.col(key).cast("string")).alias("key"), F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+    df.sparkSession.dataSource.register(KeyFiles)
+    rows.repartition("key").write.format("key_files").option("suffix", ".json").mode("append").save(path)
 
 
 def write_lines(df: DataFrame, column: str, path: str) -> None:

@@ -40,7 +40,7 @@ def test_json_documents(spark, tmp_path):
     df = spark.createDataFrame([("a/b", float("nan"), 1.23456, datetime.date(2020, 1, 2), None)], "k string, x double, y double, d date, n string")
     assert json.loads(sinks.documents(df).first()["json"]) == {"k": "a/b", "x": None, "y": 1.2346, "d": "2020-01-02", "n": None}
     sinks.write_documents(df, "k", str(tmp_path / "out"))
-    assert (tmp_path / "out" / "file_key=a_b").is_dir()
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["a_b.json"] and json.loads((tmp_path / "out" / "a_b.json").read_text())["y"] == 1.2346
     sinks.write_csv(df, str(tmp_path / "csv"))
     assert readers.read_csv(spark, str(tmp_path / "csv"), "k string, x double, y double, d date, n string").count() == 1
     sinks.write_lines(df, "k", str(tmp_path / "lines"))
