@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.relational import first_rows, unpivoted
 from ..sources.readers import reviews, units
 from .registry import RV, query
-from .review_queries import COMPLETE, cases, drift_of, failures
+from .review_queries import CASE_SQL, COMPLETE, DRIFT_SQL, cases, drift_of, failures
 
 #: Caps, metrics, first and last month.
 MOST_PRODUCTS, MOST_CASES, MOST_REVIEWS = 10, 12, 15
@@ -52,12 +52,13 @@ class Tools:
         """The stored type for a phrase, plurals allowed."""
         if kind is None:
             return None
-        known = {r[0]: r[0] for r in self.units.select("product_type").distinct().collect()}
-        low = {k.lower(): v for k, v in known.items()}
-        for form in (kind.strip().lower(), kind.strip().lower().removesuffix("s"), kind.strip().lower().removesuffix("es")):
-            if form in low:
-                return low[form]
-        raise ToolError(f"unknown type: {kind!r}")
+        low = kind.strip().lower()
+        forms = [low, low.removesuffix("s"), low.removesuffix("es")]
+        # the table is asked for the few forms, its types aren't gathered
+        found = self.units.filter(F.lower("product_type").isin(forms)).groupBy("product_type").agg(F.min(F.array_position(F.array(*map(F.lit, forms)), F.lower("product_type"))).alias("at")).orderBy("at", "product_type").first()
+        if found is None:
+            raise ToolError(f"unknown type: {kind!r}")
+        return found["product_type"]
 
     def unit(self, unit_id: int) -> int:
         if self.units.filter(F.col("unit_id") == F.lit(unit_id)).limit(1).count() == 0:
@@ -169,22 +170,25 @@ def tool_compare_type(spark: SparkSession, d: str) -> DataFrame:
     return Tools(spark, d).compare_product_type(kind)
 
 
-@query("tool_cases")
+@query("tool_cases", CASE_SQL + "SELECT product_type, brand, CAST(yr AS INT) AS yr, jump, baseline, excess FROM (SELECT *, row_number() OVER (PARTITION BY product_type, brand ORDER BY excess DESC, yr) AS rn FROM c WHERE excess IS NOT NULL) WHERE rn = 1 ORDER BY excess DESC, product_type, brand LIMIT 12")
 def tool_cases(spark: SparkSession, d: str) -> DataFrame:
     return Tools(spark, d).find_cases()
 
 
-@query("tool_findings")
+@query("tool_findings", DRIFT_SQL + """SELECT (SELECT CAST(count(*) AS BIGINT) FROM dr) AS units, (SELECT CAST(count(*) FILTER (WHERE round(r3 - r1, 6) < 0) AS BIGINT) FROM dr) AS fell, (SELECT median(months) FROM rv WHERE low = 1 AND months <= 72) AS median_months,
+  (SELECT CAST(count(*) AS BIGINT) FROM rv WHERE low = 1 AND months <= 72) AS failures, (SELECT round(avg(low), 6) FROM rv) AS low_share, (SELECT CAST(count(*) AS BIGINT) FROM rv) AS reviews""")
 def tool_findings(spark: SparkSession, d: str) -> DataFrame:
     return Tools(spark, d).get_findings()
 
 
-@query("tool_complaints")
+@query("tool_complaints", RV + """, l AS (SELECT unit_id, CAST(months < 4 AS INT) AS early, CAST(months < 12 AS INT) AS first_year, CAST(before_launch AS INT) AS carried_over, CAST(verified AS INT) AS verified FROM rv WHERE low = 1 AND product_type = (SELECT p_type FROM part WHERE p_partkey = 1)),
+u AS (SELECT unit_id, unnest([{'k': 'early', 'v': early}, {'k': 'first_year', 'v': first_year}, {'k': 'carried_over', 'v': carried_over}, {'k': 'verified', 'v': verified}]) AS x FROM l)
+SELECT x.k AS complaint, round(avg(x.v) FILTER (WHERE unit_id = 1), 4) AS product_share, round(avg(x.v), 4) AS type_share FROM u GROUP BY 1""")
 def tool_complaints(spark: SparkSession, d: str) -> DataFrame:
     return Tools(spark, d).get_product_complaints(1)
 
 
-@query("tool_set_view")
+@query("tool_set_view", RV + "SELECT CAST(1 AS INT) AS unit_id, greatest('1995-01', strftime(min(review_date), '%Y-%m')) AS first, least('2001-11', strftime(max(review_date), '%Y-%m')) AS last, 'new,refurbished' AS channels, 'volume' AS measure FROM rv WHERE unit_id = 1")
 def tool_set_view(spark: SparkSession, d: str) -> DataFrame:
     return Tools(spark, d).set_view(1, "2003-01", "1995-01")
 

@@ -93,7 +93,7 @@ def raw_reviews(spark: SparkSession, directory: str) -> DataFrame:
         F.md5(F.concat_ws("-", "l_orderkey", "l_partkey", day.cast("string"))).alias("review_id"), F.col("l_partkey").alias("unit_id"), day.alias("review_date"),
         (F.floor((F.col("l_quantity") - 1) / 10).cast("int") + 1).alias("rating"), (F.col("l_linestatus") == "F").alias("verified"),
         F.when(F.col("l_returnflag") == "R", "refurbished").otherwise("new").alias("channel"), F.col("o_orderdate").cast("date").alias("order_date"),
-        (F.col("l_shipdate") < F.col("o_orderdate")).alias("before_launch"), F.col("l_quantity").alias("months"),
+        (F.col("l_shipdate") < F.col("o_orderdate")).alias("before_launch"), F.col("l_quantity").alias("months"), F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("helpful"),
     )
 
 
