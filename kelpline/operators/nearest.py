@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cumulated
 from .relational import checkpointed
 
 #: Keys that are split at most, and parts that each is split into.
@@ -58,21 +59,14 @@ def along(requests: DataFrame, members: DataFrame, keys: list[str], at: str, tie
 
     ``start`` is the place of the first member of the same keys that isn't
     before the request (``at``, and ``after``: whether equal ones are before
-    it, too). All rows are sorted once by ranges, so tasks are even whatever
-    keys and values are frequent; a task's first place is the sum of those before.
+    it, too). All rows are sorted once by ranges, whatever keys and values are frequent.
     """
     names = {n: [c for c in df.columns if c not in (*keys, at)] for n, df in (("asks", requests), ("there", members))}
     empty = {n: F.lit(None).cast(df.select(F.struct(*names[n])).schema[0].dataType) for n, df in (("asks", requests), ("there", members))}
     asks = requests.select(*keys, at, F.when(F.col("after"), 2).otherwise(0).alias("_order"), F.lit(None).cast(members.schema[tie].dataType).alias("_tie"), F.struct(*names["asks"]).alias("asks"), empty["there"].alias("there"))
     there = members.select(*keys, at, F.lit(1).alias("_order"), F.col(tie).alias("_tie"), empty["asks"].alias("asks"), F.struct(*names["there"]).alias("there"))
-    row = checkpointed(asks.unionByName(there).orderBy(*keys, at, "_order", "_tie").withColumn("_row", F.monotonically_increasing_id()))
-    task = F.shiftright("_row", 33)
-    member = (F.col("_order") == 1).cast("long")
-    sizes = row.groupBy(task.alias("_task")).agg(F.sum(member).alias("_n"))
-    order = Window.orderBy("_task")  # a row a task
-    first = F.broadcast(sizes.select("_task", (F.sum("_n").over(order) - F.col("_n")).alias("_first")))
-    inside = F.sum(member).over(Window.partitionBy("_task").orderBy("_row")) - member
-    row = checkpointed(row.withColumn("_task", task).withColumn("_inside", inside).join(first, "_task").withColumn("place", F.col("_first") + F.col("_inside")))
+    member = F.col("_order") == 1
+    row = checkpointed(cumulated(asks.unionByName(there), [*keys, at, "_order", "_tie"], member.cast("long"), "place"))
     got = row.filter("_order != 1").select(*keys, at, *(F.col(f"asks.{n}").alias(n) for n in names["asks"]), F.col("place").alias("start"))
     had = row.filter("_order = 1").select(*keys, at, *(F.col(f"there.{n}").alias(n) for n in names["there"]), "place", F.floor(F.col("place") / block).alias("block"))
     return got, had

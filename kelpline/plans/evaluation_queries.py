@@ -12,7 +12,8 @@ from ..functions.dates import month_of_name
 from ..functions.rules import complaint_headline, display_type, pair_features, score_features
 from ..functions.text import escaped, short_hash
 from ..operators.event_study import hashed
-from ..operators.relational import first_rows
+from ..operators.quantiles import exact_quantiles
+from ..operators.relational import checkpointed, first_rows, unpivoted
 from ..sources.readers import lines_of, read_table
 from .registry import query
 from .text_queries import FLAGS_SQL, NAMES, PAIR_SQL, SIDE, block_pairs, flagged, listings
@@ -118,14 +119,18 @@ QS = (0, 10, 25, 50, 75, 90, 100)
        + ", ".join(f"round(quantile_cont(jac::DOUBLE, {q / 100}), 4) AS jac_p{q}, round(quantile_cont(1 - price, {q / 100}), 4) AS gap_p{q}" for q in QS) + ", round(100 * avg(CAST(round(1 - price, 9) <= 0.05 AS INT)), 2) AS pct_within_5, round(100 * avg(CAST(round(1 - price, 9) <= 0.1 AS INT)), 2) AS pct_within_10 FROM f GROUP BY 1")
 def pair_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """By label: agreement of models, quantiles of title similarity and of the relative price gap."""
-    rows = features(spark, d).withColumn("gap", 1 - F.col("price"))
+    rows = checkpointed(features(spark, d).withColumn("gap", 1 - F.col("price")))
     pct = lambda c: F.round(100 * F.avg(c.cast("int")), 2)
-    at = F.array(*(F.lit(q / 100) for q in QS))
     equal, gap = F.col("relation") == "equal", F.round("gap", 9)
     out = rows.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), pct(F.col("relation") == "missing").alias("pct_either_missing"), pct(equal).alias("pct_equal"), pct(F.when(F.col("relation") != "missing", equal)).alias("pct_equal_of_both"),
-        pct(F.col("cross")).alias("pct_cross"), F.percentile("jac", at).alias("j"), F.percentile("gap", at).alias("g"), pct(gap <= 0.05).alias("pct_within_5"), pct(gap <= 0.1).alias("pct_within_10"))
-    return out.select("*", *(F.round(F.col(c)[k], 4).alias(f"{n}_p{q}") for c, n in (("j", "jac"), ("g", "gap")) for k, q in enumerate(QS))).drop("j", "g")
+        pct(F.col("cross")).alias("pct_cross"), pct(gap <= 0.05).alias("pct_within_5"), pct(gap <= 0.1).alias("pct_within_10"))
+    q = exact_quantiles(unpivoted(rows.select("label", "jac", "gap"), ["label"], ["jac", "gap"]), ["label", "name"], "value", [q / 100 for q in QS])
+    q = checkpointed(q)  # two rows a label
+    for n in ("jac", "gap"):
+        own = q.filter(F.col("name") == n).select("label", *(F.round(F.col("q")[k], 4).alias(f"{n}_p{p}") for k, p in enumerate(QS)))
+        out = out.join(own, "label", "left")
+    return out
 
 
 @query("hard_pairs", FEATURE_SQL + """, h AS (SELECT *, CASE WHEN label AND jac < 0.3 AND relation <> 'equal' THEN 'matched, unlike' WHEN NOT label AND (relation = 'equal' OR jac > 0.6) THEN 'not matched, alike' END AS kind FROM f)

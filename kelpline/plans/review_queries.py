@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..fixed import FAIL_BANDS
 from ..functions.dates import banded, month_start, year_quarter
-from ..operators.relational import cooled_down, dense_months, first_rows, rejected_rows, running, top_of_row, unpivoted
+from ..operators.quantiles import exact_quantiles
+from ..operators.relational import checkpointed, cooled_down, dense_months, first_rows, rejected_rows, running, top_of_row, unpivoted
 from ..sources.readers import read_table, reviews, units
 from ..sources.sinks import documents
 from .registry import RV, query
@@ -107,8 +108,12 @@ PANEL_SUMS = ["reviews", "stars", "verified", "low_ratings", "high_ratings", "ca
 
 
 def panel(rv: DataFrame) -> DataFrame:
-    """The dense monthly panel with running sums and the completeness flag."""
-    dense = dense_months(monthly(rv), ["unit_id", "channel"], "month", F.lit(END), PANEL_SUMS)
+    return panel_of(monthly(rv))
+
+
+def panel_of(cells: DataFrame) -> DataFrame:
+    """The dense monthly panel of cells (see ``monthly``) with running sums and the completeness flag."""
+    dense = dense_months(cells, ["unit_id", "channel"], "month", F.lit(END), PANEL_SUMS)
     dense = running(dense, ["unit_id", "channel"], "month", {"cum_reviews": "reviews", "cum_stars": "stars"})
     per = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
     return dense.withColumns({"avg_rating": per("stars", "reviews"), "cum_avg_rating": per("cum_stars", "cum_reviews"), "data_complete": F.col("month") <= F.lit(COMPLETE)})
@@ -207,7 +212,9 @@ def drift(spark: SparkSession, d: str) -> DataFrame:
 @query("drift_summary", DRIFT_SQL + "SELECT brand_set, CAST(count(*) AS BIGINT) AS units, CAST(count(*) FILTER (WHERE round(r3 - r1, 6) < 0) AS BIGINT) AS fell, round(avg(round(r3 - r1, 6)), 4) AS mean_change, round(median(round(r3 - r1, 6)), 4) AS median_change FROM dr GROUP BY 1")
 def drift_summary(spark: SparkSession, d: str) -> DataFrame:
     fell = F.sum((F.col("change") < 0).cast("long"))
-    return drift_of(reviews(spark, d), 3).groupBy("brand_set").agg(n_rows().alias("units"), fell.alias("fell"), mean("change", 4).alias("mean_change"), F.round(F.median("change"), 4).alias("median_change"))
+    rows = checkpointed(drift_of(reviews(spark, d), 3))
+    middle = exact_quantiles(rows, ["brand_set"], "change", [0.5]).select("brand_set", F.round(F.col("q")[0], 4).alias("median_change"))
+    return rows.groupBy("brand_set").agg(n_rows().alias("units"), fell.alias("fell"), mean("change", 4).alias("mean_change")).join(middle, "brand_set", "left")
 
 
 @query("life_curve", RV + """, u AS (SELECT brand_set, product_type, unit_id, age_band, avg(rating) AS r, avg(low) AS l FROM rv WHERE channel = 'new' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5)

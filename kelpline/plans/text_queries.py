@@ -9,7 +9,9 @@ from ..fixed import THEMES
 from ..functions.rules import core_model, jaccard, model_tokens, product_type, score_pair, theme_flags
 from ..functions.text import excerpt, house_style, norm_brand, norm_text, parse_price, title_numbers, title_tokens
 from ..operators.matching import best_after
-from ..operators.relational import column_profile, confusion, first_rows, label_components, top_of_row, unpivoted
+from ..operators.quantiles import exact_quantiles
+from ..operators.relational import column_profile, confusion, first_rows, label_components, new_folder, top_of_row, unpivoted
+from ..operators.text_index import search, write_index
 from ..sources.readers import read_table
 from .registry import query
 
@@ -212,8 +214,8 @@ def column_profile_query(spark: SparkSession, d: str) -> DataFrame:
 @query("cluster_size_quantiles", "SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, CAST(max(n) AS BIGINT) AS largest FROM (SELECT p_name, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY 1)")
 def cluster_size_quantiles(spark: SparkSession, d: str) -> DataFrame:
     sizes = read_table(spark, d, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    q = F.percentile("n", F.array(F.lit(0.5), F.lit(0.9)))
-    return sizes.agg(q.alias("q"), F.max("n").alias("largest")).select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), "largest")
+    q = exact_quantiles(sizes, [], "n", (0.5, 0.9, 1.0))
+    return q.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p90"), F.col("q")[2].cast("long").alias("largest"))
 
 
 @query("common_tokens", "SELECT p_brand AS brand, t AS token FROM (SELECT p_brand, t, count(DISTINCT p_type) AS k FROM (SELECT p_brand, p_type, unnest(string_split(p_name, ' ')) AS t FROM part) GROUP BY 1, 2) WHERE k = 6")
@@ -259,3 +261,11 @@ def conversation_validity(spark: SparkSession, d: str) -> DataFrame:
 @query("house_style_filter")
 def house_style_filter(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "conversations").select("conv_id", "turn", house_style(F.col("text"), r"(?i)\bas an ai\b").alias("text"))
+
+
+@query("substring_search", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'released under the')")
+def substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a phrase, through an index of trigrams."""
+    path = new_folder(spark, "index")
+    write_index(read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+    return search(spark, path, "Released under the").select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n"))
