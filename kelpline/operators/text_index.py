@@ -13,8 +13,10 @@ ASKED = 4
 
 def trigrams(c: Column) -> Column:
     """The distinct runs of three characters of a lower-cased text; none of shorter ones."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    letters = F.split(F.lower(F.coalesce(c, F.lit(""))), "")
+    runs = lambda a: F.when(F.size(a) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(a) - 3, F.lit(0))), lambda i: F.concat(a[i], a[i + 1], a[i + 2])))
+    # the characters are an array that is bound once, so that a run costs the same anywhere in a text
+    return F.array_distinct(F.flatten(F.array_compact(F.transform(F.array(letters), runs))))
 
 
 def write_index(texts: DataFrame, path: str, parts: int = 200) -> None:
