@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.best_two_fit import pack_documents
@@ -15,38 +15,50 @@ from kelpline.llm.secret_forest import redact_secrets, train_forest
 from kelpline.llm.word_encoder import vocabulary
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that the stages' own names can't clash with theirs, whatever their names and types."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is good; the rest go."""
+    """Documents whose quality score is good; the rest go. Columns of any name and type come out as they are."""
     weights = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, weights, docs.columns).filter(F.col("score") >= GOOD_FROM).select(*docs.columns)
+    scored = score(docs.select("text", whole(docs)), weights, ["_row"])
+    return scored.filter(F.col("score") >= GOOD_FROM).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 of their five-word shingles, the one with the least id.
 
-    Rows that repeat both id and text count once. Rows are told apart by id and
-    text together: one without id stays only where no similar one has an id.
+    Rows that repeat both id and text count once: the one whose other columns
+    come first as JSON stays. Rows are told apart by id and text together: one
+    without id stays only where no similar one has an id. Columns of any name
+    and type come out as they are.
     """
-    order = ["n_chars", *(c for c in docs.columns if c != "n_chars")]
-    one = docs.groupBy(F.xxhash64("doc_id", "text").alias("_key")).agg(F.min(F.struct(*order)).alias("_row"))
-    rows = written(one.select("_key", *(F.col(f"_row.{c}") for c in docs.columns)), "rows")
-    groups = ngram_join(rows.select(F.col("_key").alias("doc_id"), "text"), n=5, num=80, den=100)
-    group_of = rows.select("_key", F.struct(F.col("doc_id").isNull(), "doc_id", "_key").alias("_id")).join(groups.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
-    least = written(group_of.groupBy("component_id").agg(F.min("_id")["_key"].alias("_key")).select("_key"), "least")
-    return rows.join(least, "_key", "left_semi").select(*docs.columns)
+    others = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(F.lit(0).alias("_"), *others))
+    one = docs.select(F.xxhash64("doc_id", "text").alias("_key"), order.alias("_order"), whole(docs)).groupBy("_key").agg(F.min_by("_row", "_order").alias("_row"))
+    rows = written(one, "rows")
+    groups = ngram_join(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")), n=5, num=80, den=100)
+    group_of = rows.select("_key", F.struct(F.col("_row.doc_id").isNull().alias("none"), F.col("_row.doc_id").alias("id"), F.col("_key").alias("key")).alias("_id")).join(groups.select(F.col("doc_id").alias("_key"), "component_id"), "_key")
+    least = written(group_of.groupBy("component_id").agg(F.min("_id")["key"].alias("_key")).select("_key"), "least")
+    return rows.join(least, "_key", "left_semi").select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark; each text is judged by itself, whatever its row's id."""
+    """Documents without any passage of the benchmark; each text is judged by itself, whatever its row's id. Columns of any name and type come out as they are."""
     key = F.xxhash64("text")
     found = find_contamination(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = written(found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", key).join(hit, "_key", "left_anti").select(*docs.columns)
+    return docs.select(key.alias("_key"), whole(docs)).join(hit, "_key", "left_anti").select("_row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind."""
-    return redact_secrets(docs, train_forest()).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """All documents, with secrets replaced by their kind, and ``n_chars`` set right where there is such a column."""
+    clean = redact_secrets(docs, train_forest())
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
