@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import worker_cache
 
@@ -139,5 +140,5 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], bits: int = BIT
     """Columns ``keep`` of ``docs`` with ``score``, 0 to 1. An empty or null text has the intercept's score."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
     part = docs.select(F.col("text").alias("_text"), *keep)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
     return part.mapInArrow(lambda it: _score(it, held.value, bits), schema)

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on a small corpus, and the registered queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -45,6 +46,22 @@ def test_verdicts_go_with_the_text(spark, data, docs):
     assert left(corpus_pipeline.near_duplicates(spark, made, data)) == sorted([(1, bad), (1, one), (3, two), (5, None), (None, "")], key=str)
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=lambda f: f.__name__)
+def test_columns_of_any_name_and_type_come_out_as_they_are(spark, data, docs, stage):
+    """Names that the stages use themselves, odd names, maps and structs, and no n_chars."""
+    extra = {
+        "score": F.lit("s"), "_key": F.col("doc_id") * 2, "_row": F.lit(3), "_text": F.lit("t"), "component_id": F.lit(-1), "_order": F.lit("o"), "label": F.lit(1.5), "by": F.lit("b"), "a b.c": F.lit("odd"),
+        "m": F.create_map(F.lit("k"), F.col("doc_id")), "st": F.struct(F.col("doc_id").alias("x y"), F.lit("z").alias("q")), "none": F.lit(None).cast("string"),
+    }
+    made = docs.filter("doc_id < 60").drop("n_chars").withColumns(extra)
+    made = made.union(made.filter("doc_id < 5"))
+    got = stage(spark, made, data)
+    assert got.columns == made.columns and [f.dataType.simpleString() for f in got.schema] == [f.dataType.simpleString() for f in made.schema]
+    rows = {r["doc_id"]: r for r in made.collect()}
+    kept = got.collect()
+    assert kept and all(r[c] == rows[r["doc_id"]][c] for r in kept for c in made.columns if c != "text" or stage is not corpus_pipeline.secrets)
+
+
 def test_run_of_empty_documents(spark, data, docs, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{data}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
@@ -54,7 +71,7 @@ def test_run_of_empty_documents(spark, data, docs, tmp_path):
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize(
@@ -64,6 +81,8 @@ def test_names():
         ("op5_", {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}), ("op6_", {"doc_id", "n_shingles", "component_id"}),
         ("op7_", {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}), ("op8_", {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}),
         ("op9_", {"doc_id", "start", "n_tokens", "ids_crc32"}), ("op10_", {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"}),
+        ("op11_", {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"}), ("op12_", {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"}),
+        ("op13_", {"doc_id", "held_out", "lang_pred", "score"}),
     ],
 )
 def test_columns(spark, data, name, columns):
