@@ -146,6 +146,9 @@ MONTH_NAMES = [
 TUNING_GRID = {"jac": [1.0], "cross": [0.0, 0.2, 0.35, 0.5, 0.8], "price": [0.0, 0.15, 0.25, 0.4], "brand": [0.0, 0.1, 0.2], "num": [0.0, 0.1, 0.2, 0.3]}
 TUNING_THRESHOLDS = (20, 90, 2)
 
+# Fixed value: the shape of a listing's id.
+ID_SHAPE = r"^B0[A-Z0-9]{8}$"
+
 # Fixed value: the precision under which a theme is weak and isn't shown.
 WEAK_PRECISION = 0.7
 

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import TUNING_GRID, TUNING_THRESHOLDS, WEAK_PRECISION
+from ..fixed import ID_SHAPE, TUNING_GRID, TUNING_THRESHOLDS, WEAK_PRECISION
 from ..functions.dates import month_of_name
 from ..functions.rules import complaint_headline, display_type, pair_features, score_features
 from ..functions.text import escaped, short_hash
@@ -255,3 +255,48 @@ def report_lines(metrics: DataFrame, title: str) -> DataFrame:
     lines = metrics.select((F.row_number().over(order) + 1).alias("at"), F.concat(F.lit("- "), "name", F.lit(": "), F.col("value").cast("string")).alias("value"))
     head = metrics.sparkSession.createDataFrame([(0, f"# {title}"), (1, "")], "at int, value string")
     return head.union(lines).orderBy("at").select("value")
+
+
+def large_clusters(rows: DataFrame, cluster: str, order: str, title: str, clusters: int = 5, titles: int = 8) -> DataFrame:
+    """cluster, n, titles (the first by ``order``) and tokens that all its titles hold, of the largest clusters.
+
+    Tokens are counted by cluster, so no cluster is gathered; the largest, ``clusters`` of them, are joined by broadcast.
+    """
+    sizes = rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), cluster).limit(clusters)
+    kept = rows.join(F.broadcast(sizes), cluster)  # a few rows
+    first = first_rows(kept, [cluster], [F.col(order)], titles).groupBy(cluster, "n")
+    shown = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, title))), lambda x: x[title]), " | ").alias("titles"))
+    tokens = kept.select(cluster, "n", order, F.explode(F.array_distinct(F.split(F.lower(title), " "))).alias("token"))
+    stable = tokens.groupBy(cluster, "n", "token").agg(F.count(F.lit(1)).alias("k")).filter("k = n").groupBy(cluster).agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("stable"))
+    return shown.join(stable, cluster, "left").withColumn("stable", F.coalesce("stable", F.lit("")))
+
+
+@query("large_clusters", """WITH c AS (SELECT concat(p_type, '/', split_part(p_name, ' ', 2)) AS cluster, p_partkey, p_name FROM part), s AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, cluster LIMIT 5),
+f AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY p_partkey) AS rn FROM c JOIN s USING (cluster)), t AS (SELECT cluster, n, token, count(*) AS k FROM (SELECT DISTINCT cluster, n, p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM f) GROUP BY 1, 2, 3)
+SELECT cluster, CAST(n AS BIGINT) AS n, string_agg(p_name, ' | ' ORDER BY p_partkey) FILTER (WHERE rn <= 8) AS titles, coalesce((SELECT string_agg(token, ' ' ORDER BY token) FROM t WHERE t.cluster = f.cluster AND k = t.n), '') AS stable FROM f GROUP BY 1, 2""")
+def large_clusters_query(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "part").select(F.concat("p_type", F.lit("/"), F.split("p_name", " ")[1]).alias("cluster"), "p_partkey", "p_name")
+    return large_clusters(rows, "cluster", "p_partkey", "p_name")
+
+
+def id_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """By column: rows, values of the shape of a listing's id, plain numbers, and whether all are a row index: each number from the least to the greatest once."""
+    text = lambda c: F.col(c).cast("string")
+    number = lambda c: F.when(text(c).rlike(r"^[0-9]{1,18}$"), text(c).cast("long"))
+    counts = lambda i, c: [F.count(c).alias(f"n{i}"), F.count(F.when(text(c).rlike(ID_SHAPE), 1)).alias(f"s{i}"), F.count(number(c)).alias(f"d{i}"), F.countDistinct(number(c)).alias(f"u{i}"), (F.max(number(c)) - F.min(number(c)) + 1).alias(f"w{i}")]
+    one = df.agg(*(a for i, c in enumerate(columns) for a in counts(i, c)))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n"), F.col(f"s{i}").alias("n_listing_ids"), F.col(f"d{i}").alias("n_numbers"), F.coalesce((F.col(f"d{i}") == F.col(f"n{i}")) & (F.col(f"u{i}") == F.col(f"n{i}")) & (F.col(f"w{i}") == F.col(f"n{i}")), F.lit(False)).alias("is_row_index")) for i, c in enumerate(columns)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _shape_sql(name: str, value: str) -> str:
+    return f"SELECT '{name}' AS column_name, CAST(count(v) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE regexp_matches(v, '^B0[A-Z0-9]{{8}}$')) AS BIGINT) AS n_listing_ids, CAST(count(*) FILTER (WHERE regexp_matches(v, '^[0-9]{{1,18}}$')) AS BIGINT) AS n_numbers, count(v) = count(TRY_CAST(v AS BIGINT)) AND count(DISTINCT TRY_CAST(v AS BIGINT)) = count(v) AND coalesce(max(TRY_CAST(v AS BIGINT)) - min(TRY_CAST(v AS BIGINT)) + 1 = count(v), false) AS is_row_index FROM (SELECT CAST({value} AS VARCHAR) AS v FROM part)"
+
+
+LISTING_ID = "CASE WHEN p_size % 3 = 0 THEN concat('B0', lpad(upper(hex(p_partkey)), 8, '0')) ELSE p_name END"
+
+
+@query("id_shapes", " UNION ALL ".join(_shape_sql(n, v) for n, v in (("p_partkey", "p_partkey"), ("p_size", "p_size"), ("listing", LISTING_ID))))
+def id_shapes_query(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "part").withColumn("listing", F.expr(LISTING_ID))
+    return id_shapes(rows, ["p_partkey", "p_size", "listing"])
