@@ -404,7 +404,10 @@ def low_months(rv: DataFrame) -> DataFrame:
     return t.select("brand", F.col("mi").cast("int").alias("mi"), F.round(F.col("s") / F.col("n"), 6).alias("avg_rating"), F.round(F.col("ts") / F.col("tn"), 6).alias("trailing_avg"))
 
 
-@query("cooldown_events")
+@query("cooldown_events", RV.replace("WITH", "WITH RECURSIVE", 1) + """, m AS (SELECT brand, year(review_date) * 12 + month(review_date) - 1 AS mi, count(*) AS n, sum(rating) AS s FROM rv GROUP BY 1, 2),
+t AS (SELECT *, sum(n) OVER y AS tn, sum(s) OVER y AS ts, row_number() OVER (PARTITION BY brand ORDER BY mi) AS rn FROM m WINDOW y AS (PARTITION BY brand ORDER BY mi ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+lo AS (SELECT brand, mi FROM t WHERE rn > 12 AND n >= 10 AND tn >= 30 AND s / n <= ts / tn - 0.3),
+fired AS (SELECT brand, min(mi) AS mi FROM lo GROUP BY 1 UNION ALL SELECT f.brand, min(lo.mi) FROM fired f JOIN lo ON lo.brand = f.brand AND lo.mi >= f.mi + 6 GROUP BY f.brand, f.mi) SELECT brand, CAST(mi AS INT) AS mi FROM fired""")
 def cooldown_events(spark: SparkSession, d: str) -> DataFrame:
     fired = cooled_down(low_months(reviews(spark, d)), ["brand"], "mi", 6)
     return fired.select("brand", F.explode("fired").alias("mi"))
@@ -423,7 +426,12 @@ def sibling_events(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("unit_id", "mi", "siblings", F.when(F.col("siblings") >= 4, F.concat(F.col("siblings"), F.lit(" siblings launched"))).otherwise(F.col("names")).alias("detail"))
 
 
-@query("product_document_json")
+@query("product_document_json", RV + """, y AS (SELECT unit_id, string_agg(concat('{"yr":', yr, ',"reviews":', n, ',"avg_rating":', r, ',"low_share":', l, '}'), ',' ORDER BY yr) AS years FROM (SELECT unit_id, yr, count(*) AS n, round(avg(rating), 4) AS r, round(avg(low), 4) AS l FROM rv GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT unit_id, string_agg(concat('{"age_band":"', age_band, '","reviews":', n, ',"avg_rating":', r, '}'), ',' ORDER BY age_band) AS bands FROM (SELECT unit_id, age_band, count(*) AS n, round(avg(rating), 4) AS r FROM rv GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT unit_id, any_value(title) AS title, any_value(brand) AS brand, any_value(product_type) AS product_type, any_value(price) AS price, any_value(brand_set) AS brand_set, min(order_date) AS listed, min(review_date) FILTER (WHERE channel = 'new') AS a, min(review_date) FILTER (WHERE channel = 'refurbished') AS z,
+  max(review_date) AS last_review, count(*) FILTER (WHERE channel = 'new') AS n_new, count(*) FILTER (WHERE channel = 'refurbished') AS n_ref, round(round(avg(rating) FILTER (WHERE channel = 'new'), 6), 4) AS r FROM rv GROUP BY 1)
+SELECT concat('{"unit_id":', unit_id, ',"title":"', title, '","brand":"', brand, '","product_type":"', product_type, '","price":', round(price, 4), ',"brand_set":"', brand_set, '","launch_date":"', least(listed, a, z), '","launch_source":"', CASE WHEN listed <= least(a, z) THEN 'listed date' ELSE 'first review (earlier than listed date)' END,
+  '","first_new":', coalesce('"' || a || '"', 'null'), ',"first_refurbished":', coalesce('"' || z || '"', 'null'), ',"last_review":"', last_review, '","reviews_new":', n_new, ',"reviews_refurbished":', n_ref, ',"avg_rating_new":', coalesce(CAST(r AS VARCHAR), 'null'), ',"years":[', years, '],"lifecycle":[', bands, ']}') AS json FROM s JOIN y USING (unit_id) JOIN b USING (unit_id)""")
 def product_document_json(spark: SparkSession, d: str) -> DataFrame:
     rv = reviews(spark, d)
     years = rv.groupBy("unit_id", "yr").agg(n_rows().alias("reviews"), F.avg("rating").alias("avg_rating"), F.avg("low").alias("low_share"))
@@ -434,7 +442,8 @@ def product_document_json(spark: SparkSession, d: str) -> DataFrame:
     return documents(doc)
 
 
-@query("portfolio_json")
+@query("portfolio_json", RV + """, t AS (SELECT brand_set, product_type, count(*) AS n, round(avg(low), 4) AS l FROM rv GROUP BY 1, 2)
+SELECT concat('{"brand_set":"', brand_set, '","types":[', string_agg(concat('{"product_type":"', product_type, '","reviews":', n, ',"low_share":', l, '}'), ',' ORDER BY product_type), ']}') AS json FROM t GROUP BY brand_set""")
 def portfolio_json(spark: SparkSession, d: str) -> DataFrame:
     rv = reviews(spark, d)
     types = rv.groupBy("brand_set", "product_type").agg(n_rows().alias("reviews"), F.avg("low").alias("low_share"))
