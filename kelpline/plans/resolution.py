@@ -196,7 +196,23 @@ def bound_listings(spark: SparkSession, d: str) -> DataFrame:
         F.lit("details").alias("model_source"), F.lit(False).alias("self_empty"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("long").alias("rating_count"), none.cast("date").alias("date_first_available"))
 
 
-@query("entity_resolution")
+RESOLVED_SQL = """WITH RECURSIVE l AS (SELECT CAST(p_partkey AS VARCHAR) AS id, lower(p_name) AS title, concat(p_brand, '|', p_type) AS block, p_retailprice AS price, p_size = 50 AS away, CASE WHEN p_size % 3 = 0 THEN concat('AB', lpad(CAST(p_partkey % 400 AS VARCHAR), 3, '0')) END AS code FROM part),
+w AS (SELECT *, list_distinct(list_filter(string_split(title, ' '), lambda t: length(t) > 1 AND t NOT IN ('black', 'white', 'silver', 'gray', 'grey', 'red', 'blue', 'pink', 'teal', 'charcoal', 'stainless', 'steel', 'plus', 'new', 'pack', 'with', 'and', 'for', 'the'))) AS words FROM l WHERE NOT away),
+p AS (SELECT a.id AS x, b.id AS y, b.code, (CASE WHEN len(a.words) > 0 AND len(b.words) > 0 THEN len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) ELSE 0 END + 0.1 + 0.25 * least(a.price, b.price) / greatest(a.price, b.price)) / 1.7 AS score FROM w a JOIN w b ON a.block = b.block AND a.id <> b.id WHERE a.code IS NULL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(score, 9) DESC, y) AS rn FROM p WHERE code IS NOT NULL) WHERE rn = 1),
+rest AS (SELECT id FROM w WHERE code IS NULL AND id NOT IN (SELECT x FROM best WHERE score >= 0.58)),
+k AS (SELECT x, y, score FROM p WHERE code IS NULL AND score >= 0.58 AND x IN (SELECT id FROM rest) AND y IN (SELECT id FROM rest)),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(score, 9) DESC, y) AS rn FROM k) WHERE rn = 1),
+reach(x, y) AS (SELECT x, x FROM k UNION SELECT reach.x, k.y FROM reach JOIN k ON reach.y = k.x),
+root AS (SELECT x, min(y) AS root FROM reach GROUP BY 1),
+re AS (SELECT id AS parent_asin, concat('SN-', code) AS product_id, 'model_key' AS link_method, 1.0::DOUBLE AS link_score, NULL AS matched_to, concat('model ', code, ' (details)') AS link_reason FROM w WHERE code IS NOT NULL
+  UNION ALL SELECT x, concat('SN-', code), 'title_match', round(score, 3), y, 'blended' FROM best WHERE score >= 0.58 UNION ALL SELECT near.x, concat('SN-C-', root), 'title_cluster', round(score, 3), y, 'blended' FROM near JOIN root USING (x)
+  UNION ALL SELECT id, concat('SN-A-', id), 'singleton', coalesce(round(score, 3), 0), y, 'no candidate above threshold' FROM rest LEFT JOIN best ON x = id WHERE id NOT IN (SELECT x FROM near)
+  UNION ALL SELECT id, NULL, 'excluded_unrelated', NULL, NULL, 'maker=unrelated' FROM l WHERE away)
+"""
+
+
+@query("entity_resolution", RESOLVED_SQL + "SELECT * FROM re")
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve(bound_listings(spark, d))
 
@@ -207,7 +223,10 @@ def resolution_methods_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return resolve(bound_listings(spark, d)).agg(F.countDistinct("parent_asin").alias("listings"), of("excluded_unrelated").alias("excluded"), of("model_key").alias("keyed"))
 
 
-@query("product_table")
+@query("product_table", RESOLVED_SQL + """, j AS (SELECT re.*, p_name AS title, p_brand AS brand, p_type AS product_type, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END AS store, p_size AS ratings FROM re JOIN part ON CAST(p_partkey AS VARCHAR) = parent_asin WHERE product_id IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY store DESC, ratings DESC, parent_asin) AS rn FROM j)
+SELECT product_id, CAST(count(*) AS BIGINT) AS n_listings, CAST(sum(store) AS BIGINT) AS n_brand_store, CAST(sum(1 - store) AS BIGINT) AS n_renewed, CAST(NULL AS DATE) AS launch_date, CAST(sum(ratings) AS BIGINT) AS total_rating_count, string_agg(DISTINCT link_method, ',' ORDER BY link_method) AS link_methods,
+  max(title) FILTER (WHERE rn = 1) AS canonical_title, max(brand) FILTER (WHERE rn = 1) AS brand, max(product_type) FILTER (WHERE rn = 1) AS product_type, 'sharkninja' AS maker, CASE WHEN NOT regexp_matches(product_id, '^SN-[ABC]-') THEN substr(product_id, 4) END AS model_key, false AS self_empty_variant, false AS is_accessory FROM f GROUP BY 1""")
 def product_table(spark: SparkSession, d: str) -> DataFrame:
     rows = bound_listings(spark, d)
     return products(resolve(rows), rows)

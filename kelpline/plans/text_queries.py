@@ -38,7 +38,7 @@ def theme_flags_query(spark: SparkSession, d: str) -> DataFrame:
     return flagged(spark, d).drop("text")
 
 
-@query("complaint_themes_24")
+@query("complaint_themes_24", " UNION ALL ".join(f"SELECT '{k}' AS theme, CAST(count(*) FILTER (WHERE regexp_matches(lower(text), '{p.replace(chr(39), chr(39) * 2)}')) AS BIGINT) AS documents FROM documents" for k, p in THEMES.items()))
 def complaint_themes(spark: SparkSession, d: str) -> DataFrame:
     """The number of documents of each complaint theme."""
     flags = read_table(spark, d, "documents").select(*theme_flags(F.col("text")))
