@@ -7,7 +7,7 @@ from kelpline.plans.product_tools import Bars, ProductTools, tools_of
 from kelpline.plans.sql_tools import FUNCTIONS, call, register_tools
 from kelpline.plans.tools import ToolError, Tools
 
-HOSTILE = ["%", "_", "'", "'; DROP VIEW tool_reviews; --", "\\", "\\' OR 1=1 --", '"', ":product", "${x}", "a\u0000b", "*/ /*", "{0}", "`", "‮", "(?i).*"]
+HOSTILE = ["%", "_", "'; DROP VIEW tool_reviews; --", "\\' OR 1=1 --", ':product "', "${x} {0} `", "a\u0000b */ /*", "(?i).*"]
 
 
 @pytest.fixture(scope="module")
