@@ -45,6 +45,11 @@ def banded(value: Column, bands: list[tuple[float, str]]) -> Column:
     return out
 
 
+def band_place(c: Column, bands: list[tuple[float, str]]) -> Column:
+    """The place of a band's name in the bands' order, from 1; null for other names."""
+    return F.nullif(F.array_position(F.array(*(F.lit(name) for _, name in bands)), c), F.lit(0)).cast("int")
+
+
 def month_of_name(c: Column) -> Column:
     """'March 2020', 'sept 2020 ...' as '2020-03'; null where the text doesn't begin with a month's name and a year."""
     names = F.create_map(*(F.lit(x) for k, m in enumerate(MONTH_NAMES, 1) for form in m for x in (form, f"{k:02}")))

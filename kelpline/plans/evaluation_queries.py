@@ -300,3 +300,35 @@ LISTING_ID = "CASE WHEN p_size % 3 = 0 THEN concat('B0', lpad(upper(hex(p_partke
 def id_shapes_query(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "part").withColumn("listing", F.expr(LISTING_ID))
     return id_shapes(rows, ["p_partkey", "p_size", "listing"])
+
+
+#: Tables of the snapshot: key figures by name (an aggregate that both engines read alike), order and columns of the sample.
+SNAPSHOT = {
+    "documents": ({"languages": "count(DISTINCT lang)", "characters": "sum(n_chars)", "longest": "max(n_chars)"}, "doc_id", ("doc_id", "lang", "source", "n_chars")),
+    "orders": ({"customers": "count(DISTINCT o_custkey)", "open": "sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)"}, "o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus")),
+    "part": ({"brands": "count(DISTINCT p_brand)", "titles": "count(DISTINCT p_name)"}, "p_partkey", ("p_partkey", "p_name", "p_brand", "p_type")),
+}
+
+
+@query("snapshot_key_figures", " UNION ALL ".join(f"SELECT '{t}' AS dataset, '{k}' AS figure, CAST({a} AS BIGINT) AS value FROM {t}" for t, (figures, *_) in SNAPSHOT.items() for k, a in {"rows": "count(*)", **figures}.items()))
+def snapshot_key_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and key figures of each table, one scan a table."""
+    out = None
+    for name, (figures, *_) in SNAPSHOT.items():
+        every = {"rows": "count(*)", **figures}
+        one = read_table(spark, d, name).agg(*(F.expr(a).cast("long").alias(k) for k, a in every.items())).withColumn("dataset", F.lit(name))
+        rows = unpivoted(one, ["dataset"], list(every), "figure", "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("snapshot_samples", " UNION ALL ".join(f"SELECT '{t}' AS dataset, CAST(place AS INT) AS place, line FROM (SELECT row_number() OVER (ORDER BY {order}) AS place, concat_ws(' | ', {', '.join(columns)}) AS line FROM {t}) WHERE place <= 5" for t, (_, order, columns) in SNAPSHOT.items()))
+def snapshot_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first five rows of each table as a line."""
+    out = None
+    for name, (_, order, columns) in SNAPSHOT.items():
+        first = read_table(spark, d, name).select(*columns).orderBy(order).limit(5)
+        place = F.row_number().over(Window.orderBy(order))  # five rows
+        rows = first.select(F.lit(name).alias("dataset"), place.alias("place"), F.concat_ws(" | ", *(F.col(c).cast("string") for c in columns)).alias("line"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

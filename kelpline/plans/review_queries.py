@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..fixed import FAIL_BANDS
-from ..functions.dates import banded, month_start, year_quarter
+from ..fixed import AGE_BANDS, FAIL_BANDS
+from ..functions.dates import band_place, banded, month_start, year_quarter
 from ..operators.quantiles import exact_quantiles
 from ..operators.relational import checkpointed, cooled_down, dense_months, first_rows, rejected_rows, running, top_of_row, unpivoted
 from ..sources.readers import read_table, reviews, units
@@ -454,3 +454,28 @@ def portfolio_json(spark: SparkSession, d: str) -> DataFrame:
 def timeline_quarters(spark: SparkSession, d: str) -> DataFrame:
     return reviews(spark, d).groupBy("brand", year_quarter(F.col("review_date")).alias("period")).agg(n_rows().alias("reviews"), mean("rating").alias("avg_rating"))
 
+
+_PLACES = "CASE age_band " + " ".join(f"WHEN '{name}' THEN {k}" for k, (_, name) in enumerate(AGE_BANDS, 1)) + " END"
+
+
+@query("lifecycle_bands", RV + f""", b AS (SELECT product_type, brand, age_band, CAST({_PLACES} AS INT) AS place, count(*) AS n, avg(rating) AS r FROM rv WHERE channel = 'new' GROUP BY 1, 2, 3 HAVING count(*) >= 30)
+SELECT product_type, brand, age_band, place, CAST(n AS BIGINT) AS reviews, round(r, 5) AS avg_rating, round(r - lag(r) OVER (PARTITION BY product_type, brand ORDER BY place), 5) AS change FROM b""")
+def lifecycle_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Bands of at least 30 reviews in the bands' own order, and the change from the shown band before."""
+    b = reviews(spark, d).filter("channel = 'new'").groupBy("product_type", "brand", "age_band").agg(n_rows().alias("reviews"), F.avg("rating").alias("r")).filter("reviews >= 30")
+    b = b.withColumn("place", band_place(F.col("age_band"), AGE_BANDS))
+    before = F.lag("r").over(Window.partitionBy("product_type", "brand").orderBy("place"))
+    return b.select("product_type", "brand", "age_band", "place", "reviews", F.round("r", 5).alias("avg_rating"), F.round(F.col("r") - before, 5).alias("change"))
+
+
+@query("key_set_operations", RV + """, n AS (SELECT DISTINCT unit_id, yr FROM rv WHERE channel = 'new' AND low = 1), o AS (SELECT DISTINCT unit_id, yr FROM rv WHERE channel = 'refurbished' AND low = 1),
+s AS (SELECT 'both' AS part, * FROM (SELECT * FROM n INTERSECT SELECT * FROM o) UNION ALL SELECT 'new only', * FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 'refurbished only', * FROM (SELECT * FROM o EXCEPT SELECT * FROM n) UNION ALL SELECT 'any', * FROM (SELECT * FROM n UNION SELECT * FROM o))
+SELECT part, CAST(yr AS INT) AS yr, CAST(count(*) AS BIGINT) AS units, CAST(sum(unit_id) AS BIGINT) AS id_sum FROM s GROUP BY 1, 2""")
+def key_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Units and years with low ratings of new and of refurbished units: sets of keys met, taken away and joined."""
+    keys = reviews(spark, d).filter("low = 1")
+    new, old = (keys.filter(F.col("channel") == c).select("unit_id", F.col("yr").cast("int").alias("yr")) for c in ("new", "refurbished"))
+    sets = {"both": new.intersect(old), "new only": new.subtract(old), "refurbished only": old.subtract(new), "any": new.union(old).distinct()}
+    rows = [df.withColumn("part", F.lit(name)) for name, df in sets.items()]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    return every.groupBy("part", "yr").agg(n_rows().alias("units"), F.sum("unit_id").alias("id_sum"))
