@@ -55,10 +55,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kind, and ``n_chars`` set right where there is such a column."""
-    clean = redact_secrets(docs, train_forest())
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean
+    others = [c for c in docs.columns if c != "text"]
+    path = ["source"] if "source" in others else []
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)).alias("_row")
+    clean = redact_secrets(docs.select("text", *path, rest), train_forest())
+    own = {"text": F.col("text")}
+    if "n_chars" in others:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*(own.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
