@@ -26,19 +26,19 @@ def cumulated(df: DataFrame, order: Sequence[str | Column], weight: Column, name
     return rows.withColumn("_task", task).withColumn("_inside", inside).join(first, "_task").withColumn(name, F.col("_first") + F.col("_inside")).drop("_w", "_row", "_task", "_inside", "_first")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], weight: Column | None = None) -> DataFrame:
     """keys, q: the quantiles ``qs`` of ``value`` in each group, between neighbours in proportion, as an array.
 
     The same numbers as ``percentile``, which holds all distinct values of a
     group in one task; here a group's values may be spread over all. Nulls
     don't count, groups without other values are left out, and NaN is the
-    greatest value. A null key is a group.
+    greatest value. A null key is a group. A row stands for ``weight`` values, one or more.
     """
     if not qs or any(not 0 <= q <= 1 for q in qs):
         raise ValueError("quantiles are numbers from 0 to 1")
     keys = list(keys)
     kept = [F.col(k) for k in keys]
-    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_k"))
     cells = checkpointed(cumulated(cells, [*keys, "_v"], F.col("_k"), "_before"))
     same = F.lit(True)
     groups = cells.groupBy(*keys).agg(F.min("_before").alias("_from"), F.sum("_k").alias("_n")).select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), "_from", "_n")
