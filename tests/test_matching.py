@@ -134,3 +134,17 @@ def test_a_block_of_a_third_of_all_records_has_few_candidates(spark):
 def test_components_of_text_nodes(spark):
     links = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y")], "a string, b string")
     assert sorted(map(tuple, label_components(links).collect())) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x")]
+
+
+def test_only_the_best_pairs_are_sent_on(spark, monkeypatch):
+    """200 listings of one title at 200 prices: each asks once or twice, not once a listing like it."""
+    r = F.struct(F.lit("old ring").alias("title_norm"), F.lit(None).cast("string").alias("model_no"), F.array().cast("array<string>").alias("title_model_tokens"), (100.0 + (F.col("id") * 37) % 200).alias("price"), F.lit("acme").alias("brand"), F.array(F.lit("old"), F.lit("ring")).alias("tokens"), F.array().cast("array<string>").alias("numbers"))
+    rows = spark.range(200).select("id", F.lit("b").alias("block"), r.alias("r"), F.lit(False).alias("exact")).cache()
+    sent, asks, first = [], matching.next_after, matching.first_rows
+    monkeypatch.setattr(matching, "next_after", lambda requests, *a: sent.append(requests.count()) or asks(requests, *a))
+    pairs = [tuple(p) for p in all_pairs(rows, rows, 0.58)]
+    assert {r["id"]: (r["other"], r["score"]) for r in best_after(rows, 0.58).collect()} == best([p for p in pairs if p[0] < p[1]], 5)
+    monkeypatch.setattr(matching, "first_rows", lambda df, *a: sent.append(df.count()) or first(df, *a))
+    left, right = rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1")
+    assert {r["id"]: (r["other"], r["score"]) for r in best_of(left, right, 0.58).collect()} == best([p for p in pairs if p[0] % 2 == 0 and p[1] % 2])
+    assert len(sent) == 2 and sent[0] <= 400 and sent[1] == 100
