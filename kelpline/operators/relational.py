@@ -101,6 +101,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as Parquet in the shared folder until the driver ends: for large tables, of which a checkpoint takes many times the space."""
+    path = new_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few_ids(c: str) -> Column:
+    """An aggregate: the ids of a group if they are three at most, else null; ids are whole numbers, each once. It holds three numbers, however large the group."""
+    n, low, high = F.count(c), F.min(c), F.max(c)
+    middle = F.bit_xor(c).bitwiseXOR(low).bitwiseXOR(high)
+    return F.when(n == 1, F.array(low)).when(n == 2, F.array(low, high)).when(n == 3, F.array(low, middle, high))
+
+
 def label_components(links: DataFrame) -> DataFrame:
     """node, comp of the graph with links (a, b): the least node that can be reached.
 

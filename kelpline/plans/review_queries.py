@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed import AGE_BANDS, FAIL_BANDS
 from ..functions.dates import band_place, banded, month_start, year_quarter
 from ..operators.quantiles import exact_quantiles
-from ..operators.relational import checkpointed, cooled_down, dense_months, first_rows, rejected_rows, running, top_of_row, unpivoted
+from ..operators.relational import checkpointed, cooled_down, dense_months, few_ids, first_rows, rejected_rows, running, stored, top_of_row, unpivoted
 from ..sources.readers import read_table, reviews, units
 from ..sources.sinks import documents
 from .registry import RV, query
@@ -417,13 +417,23 @@ def cooldown_events(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.unit_id, CAST(b.mi AS INT) AS mi, CAST(count(*) AS BIGINT) AS siblings, CASE WHEN count(*) >= 4 THEN concat(count(*), ' siblings launched') ELSE string_agg(CAST(b.unit_id AS VARCHAR), ', ' ORDER BY b.unit_id) END AS detail
 FROM l a JOIN l b ON a.brand = b.brand AND a.product_type = b.product_type AND a.unit_id <> b.unit_id AND b.mi >= a.mi + 2 GROUP BY 1, 2""")
 def sibling_events(spark: SparkSession, d: str) -> DataFrame:
+    """A unit's row comes from the months of its brand and type, so units never meet each other.
+
+    Without their months, units of the same brand and type have the same siblings: all that launch two months later or more.
+    """
     index = F.year("review_date") * 12 + F.month("review_date") - 1
-    launches = reviews(spark, d).groupBy("unit_id", "brand", "product_type").agg(F.min(index).cast("int").alias("mi"))
-    b = launches.select(F.col("unit_id").alias("other"), "brand", "product_type", F.col("mi").alias("at"))
-    rows = launches.join(b, ["brand", "product_type"]).filter("unit_id <> other and at >= mi + 2")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list("other")), lambda x: x.cast("string")), ", ")
-    merged = rows.groupBy("unit_id", F.col("at").alias("mi")).agg(n_rows().alias("siblings"), names.alias("names"))
-    return merged.select("unit_id", "mi", "siblings", F.when(F.col("siblings") >= 4, F.concat(F.col("siblings"), F.lit(" siblings launched"))).otherwise(F.col("names")).alias("detail"))
+    launches = stored(reviews(spark, d).groupBy("unit_id", "brand", "product_type").agg(F.min(index).cast("int").alias("mi")))
+    months = checkpointed(launches.groupBy("brand", "product_type", "mi").agg(n_rows().alias("siblings"), few_ids("unit_id").alias("ids")))
+    later = months.select("brand", "product_type", F.struct(F.col("mi").alias("at"), "siblings", "ids").alias("later"))
+    later = months.select("brand", "product_type", "mi").join(later, ["brand", "product_type"]).filter("later.at >= mi + 2")
+    later = later.groupBy("brand", "product_type", "mi").agg(F.collect_list("later").alias("later"))  # at most a row a month
+    rows = launches.withColumn("sets", n_rows().over(Window.partitionBy("unit_id"))).join(later, ["brand", "product_type", "mi"]).select("unit_id", "sets", F.inline("later"))
+    rows = rows.withColumnRenamed("at", "mi")
+    # a unit of several brands or types, which only a catalogue with repeated keys has, gets the siblings of all of them
+    several = rows.filter("sets > 1").groupBy("unit_id", "mi").agg(F.sum("siblings").alias("siblings"), F.flatten(F.collect_list("ids")).alias("ids"))
+    names = F.array_join(F.transform(F.array_sort("ids"), lambda x: x.cast("string")), ", ")
+    merged = rows.filter("sets = 1").select("unit_id", "mi", "siblings", "ids").unionByName(several)
+    return merged.select("unit_id", "mi", "siblings", F.when(F.col("siblings") >= 4, F.concat(F.col("siblings"), F.lit(" siblings launched"))).otherwise(names).alias("detail"))
 
 
 @query("product_document_json", RV + """, y AS (SELECT unit_id, string_agg(concat('{"yr":', yr, ',"reviews":', n, ',"avg_rating":', r, ',"low_share":', l, '}'), ',' ORDER BY yr) AS years FROM (SELECT unit_id, yr, count(*) AS n, round(avg(rating), 4) AS r, round(avg(low), 4) AS l FROM rv GROUP BY 1, 2) GROUP BY 1),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kelpline.operators.relational import benjamini_hochberg, column_profile, cooled_down, label_components
+from kelpline.operators.relational import benjamini_hochberg, column_profile, cooled_down, few_ids, label_components
 from kelpline.plans.tools import ToolError, Tools
 from kelpline.sources import readers, sinks
 
@@ -94,3 +94,9 @@ def test_llm_is_optional():
 def test_named_columns_are_unique(spark, data):
     df = entry.queries()["drift"](spark, data)
     assert df.columns == list(dict.fromkeys(df.columns)) and df.filter(F.col("change").isNull()).count() == 0
+
+
+def test_ids_of_few(spark):
+    rows = [(k, i) for k, ids in {"one": [5], "two": [9, -4], "three": [7, 2**62, -(2**63)], "four": [1, 2, 3, 4], "null": [None]}.items() for i in ids]
+    got = {r["k"]: r["ids"] for r in spark.createDataFrame(rows, "k string, v long").groupBy("k").agg(few_ids("v").alias("ids")).collect()}
+    assert got == {"one": [5], "two": [-4, 9], "three": [-(2**63), 7, 2**62], "four": None, "null": None}
