@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixed import AGE_BANDS
@@ -97,10 +97,14 @@ def raw_reviews(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, directory: str) -> DataFrame:
-    """The fact that all analyses share: reviews with their unit, age in months, year, low flag and age band."""
-    rows = raw_reviews(spark, directory)
-    launch = rows.groupBy("unit_id").agg(F.min("review_date").alias("launch_date"))
+def reviews(spark: SparkSession, directory: str, rows: DataFrame | None = None) -> DataFrame:
+    """The fact that all analyses share: reviews (``rows``, or else all raw ones) with their unit, age in months, year, low flag and age band.
+
+    The launch comes from a window over the unit, so that the reviews are read and
+    dealt out by unit once, and not at all for it where no age is asked for.
+    """
+    rows = raw_reviews(spark, directory) if rows is None else rows
+    rows = rows.withColumn("launch_date", F.min("review_date").over(Window.partitionBy("unit_id")))
     age = F.greatest(F.lit(0), months_between(F.col("launch_date"), F.col("review_date")))
-    rows = rows.join(units(spark, directory), "unit_id").join(launch, "unit_id")
+    rows = rows.join(units(spark, directory), "unit_id")
     return rows.withColumn("age_m", age).withColumns({"yr": F.year("review_date"), "low": (F.col("rating") <= 2).cast("int"), "age_band": banded(F.col("age_m"), AGE_BANDS)})
