@@ -33,11 +33,29 @@ def rejected_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return ranked(df, keys, order, "_rn").filter("_rn > 1").drop("_rn")
 
 
-def dense_months(cells: DataFrame, keys: Sequence[str], month: str, last: Column, zero: Sequence[str]) -> DataFrame:
-    """``cells`` with a row for every month from each key's first to ``last``; the columns ``zero`` are 0 where there was none."""
-    span = cells.groupBy(*keys).agg(F.min(month).alias("_first"))
-    grid = span.withColumn(month, F.explode(month_series(F.col("_first"), last))).drop("_first")
-    return grid.join(cells, [*keys, month], "left").fillna(0, list(zero))
+def month_runs(cells: DataFrame, keys: Sequence[str], month: str, last: Column, run: str = "_run") -> DataFrame:
+    """``cells`` with ``run``: the months from each cell's own to the one before the key's next cell, or to ``last``; later cells are left out.
+
+    Cells of one month are all kept, and the last of them has the run.
+    """
+    after = F.lead(month).over(Window.partitionBy(*keys).orderBy(month))
+    rows = cells.filter(F.col(month) <= last).withColumn("_after", after)
+    until = F.greatest(F.col(month), F.coalesce(F.add_months("_after", -1), last))
+    return rows.withColumn(run, month_series(F.col(month), until)).drop("_after")
+
+
+def dense_months(cells: DataFrame, keys: Sequence[str], month: str, last: Column, zero: Sequence[str], carried: Sequence[str] = ()) -> DataFrame:
+    """``cells`` with a row for every month from each key's first to ``last``.
+
+    Where there was none, the columns ``zero`` are 0, ``carried`` are those of
+    the last month that had one, and others null. Only cells are sorted and
+    dealt out by key; the months between them are listed where they stand.
+    """
+    rows = month_runs(cells, keys, month, last).withColumn("_at", F.explode("_run"))
+    own = F.col("_at") == F.col(month)
+    kinds = dict(cells.dtypes)
+    of = lambda c: F.when(own, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(kinds[c]) if c in zero else F.col(c) if c in carried else F.when(own, F.col(c))
+    return rows.select(*keys, F.col("_at").alias(month), *(of(c).alias(c) for c in cells.columns if c not in (*keys, month)))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str]) -> DataFrame:

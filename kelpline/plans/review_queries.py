@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..fixed import AGE_BANDS, FAIL_BANDS
 from ..functions.dates import band_place, banded, month_start, year_quarter
 from ..operators.quantiles import exact_quantiles
-from ..operators.relational import checkpointed, cooled_down, dense_months, few_ids, first_rows, rejected_rows, running, stored, top_of_row, unpivoted
+from ..operators.relational import checkpointed, cooled_down, dense_months, few_ids, first_rows, month_runs, rejected_rows, running, stored, top_of_row, unpivoted
 from ..sources.readers import read_table, reviews, units
 from ..sources.sinks import documents
 from .registry import RV, query
@@ -111,14 +112,19 @@ def panel(rv: DataFrame) -> DataFrame:
     return panel_of(monthly(rv))
 
 
-def panel_of(cells: DataFrame) -> DataFrame:
-    """The dense monthly panel of cells (see ``monthly``) with running sums and the completeness flag."""
-    dense = dense_months(cells, ["unit_id", "channel"], "month", F.lit(END), PANEL_SUMS)
-    dense = running(dense, ["unit_id", "channel"], "month", {"cum_reviews": "reviews", "cum_stars": "stars"})
+def panel_of(cells: DataFrame, keys: Sequence[str] = ("unit_id", "channel")) -> DataFrame:
+    """The dense monthly panel of cells (see ``monthly``) with running sums and the completeness flag; ``keys`` may have more columns that depend on the unit."""
+    dense = dense_months(summed_cells(cells, keys), keys, "month", F.lit(END), PANEL_SUMS, ["cum_reviews", "cum_stars"])
     per = lambda a, b: F.round(F.col(a) / F.nullif(F.col(b), F.lit(0)), 6)
     return dense.withColumns({"avg_rating": per("stars", "reviews"), "cum_avg_rating": per("cum_stars", "cum_reviews"), "data_complete": F.col("month") <= F.lit(COMPLETE)})
 
 
+def summed_cells(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The panel's cells with running sums, which months without reviews don't change."""
+    cells = cells.filter(F.col("month") <= F.lit(END)).fillna(0, PANEL_SUMS)
+    return running(cells, keys, "month", {"cum_reviews": "reviews", "cum_stars": "stars"})
+
+
 PANEL_SQL = RV + """, cells AS (SELECT unit_id, channel, CAST(date_trunc('month', review_date) AS DATE) AS month, count(*) AS reviews, sum(rating) AS stars, sum(CAST(verified AS INT)) AS verified,
     sum(low) AS low_ratings, sum(CAST(rating >= 4 AS INT)) AS high_ratings, sum(CAST(before_launch AS INT)) AS carried_over FROM rv GROUP BY 1, 2, 3),
 grid AS (SELECT unit_id, channel, CAST(unnest(generate_series(m0, DATE '2001-11-01', INTERVAL 1 MONTH)) AS DATE) AS month FROM (SELECT unit_id, channel, min(month) AS m0 FROM cells GROUP BY 1, 2)),
@@ -140,10 +146,15 @@ def panel_cumulative(spark: SparkSession, d: str) -> DataFrame:
 
 @query("panel_gap_check", PANEL_SQL + "SELECT CAST(count(*) AS BIGINT) AS n_months, CAST(coalesce(sum(CASE WHEN prev IS NOT NULL AND month <> prev + INTERVAL 1 MONTH THEN 1 ELSE 0 END), 0) AS BIGINT) AS gaps, CAST(sum(CASE WHEN reviews = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_months FROM (SELECT *, lag(month) OVER (PARTITION BY unit_id, channel ORDER BY month) AS prev FROM panel)")
 def panel_gap_check(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("month").over(Window.partitionBy("unit_id", "channel").orderBy("month"))
-    rows = panel(reviews(spark, d)).withColumn("prev", before)
-    gap = F.col("prev").isNotNull() & (F.col("month") != F.add_months("prev", 1))
-    return rows.agg(n_rows().alias("n_months"), F.coalesce(F.sum(gap.cast("long")), F.lit(0)).alias("gaps"), F.sum((F.col("reviews") == 0).cast("long")).alias("zero_months"))
+    """The panel's months in order, run by run: inside each of the runs that the panel lists, and from one to the next."""
+    keys = ["unit_id", "channel"]
+    runs = month_runs(monthly(reviews(spark, d)), keys, "month", F.lit(END), "run")
+    breaks = F.size(F.filter(F.sequence(F.lit(1), F.size("run")), lambda k: F.get("run", k) != F.add_months(F.get("run", k - 1), 1)))
+    before = F.lag(F.element_at("run", -1)).over(Window.partitionBy(*keys).orderBy("month"))
+    gap = F.coalesce(F.get("run", F.lit(0)) != F.add_months(before, 1), F.lit(False)).cast("int")
+    zero = F.size("run") - (F.col("reviews") > 0).cast("int")
+    counts = runs.select(F.size("run").alias("n"), (breaks + gap).alias("gaps"), zero.alias("zero"))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_months"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"), F.sum("zero").alias("zero_months"))
 
 
 @query("panel_reconcile", PANEL_SQL + "SELECT (SELECT CAST(sum(reviews) AS BIGINT) FROM panel) AS panel_reviews, (SELECT CAST(count(*) AS BIGINT) FROM rv WHERE review_date < DATE '2001-12-01') AS fact_reviews, (SELECT CAST(count(DISTINCT unit_id) AS BIGINT) FROM panel) AS units")
@@ -378,7 +389,9 @@ def band_share_of_total(spark: SparkSession, d: str) -> DataFrame:
 
 @query("peak_month", PANEL_SQL + "SELECT unit_id, month, CAST(reviews AS BIGINT) AS reviews FROM (SELECT unit_id, month, sum(reviews) AS reviews, row_number() OVER (PARTITION BY unit_id ORDER BY sum(reviews) DESC, month) AS rn FROM panel GROUP BY 1, 2) WHERE rn = 1")
 def peak_month(spark: SparkSession, d: str) -> DataFrame:
-    by_month = panel(reviews(spark, d)).groupBy("unit_id", "month").agg(F.sum("reviews").alias("reviews"))
+    """The panel's empty months are left out: a unit in the panel has a month with reviews, and that is larger."""
+    month = month_start(F.col("review_date")).alias("month")
+    by_month = reviews(spark, d).groupBy("unit_id", month).agg(n_rows().alias("reviews")).filter(F.col("month") <= F.lit(END))
     return first_rows(by_month, ["unit_id"], [F.col("reviews").desc(), F.col("month")])
 
 

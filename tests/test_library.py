@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from kelpline.operators.relational import benjamini_hochberg, column_profile, cooled_down, few_ids, label_components
+from kelpline.operators.relational import benjamini_hochberg, column_profile, cooled_down, dense_months, few_ids, label_components
 from kelpline.plans.tools import ToolError, Tools
 from kelpline.sources import readers, sinks
 
@@ -96,6 +96,19 @@ def test_named_columns_are_unique(spark, data):
     assert df.columns == list(dict.fromkeys(df.columns)) and df.filter(F.col("change").isNull()).count() == 0
 
 
+def test_dense_months_list_the_months_between_cells_without_a_join(spark):
+    """Gaps, equal months, months after the last and null ones; cells alone are dealt out by key, so no grid of months is shuffled."""
+    day = lambda m: datetime.date(2001, m, 1) if m else None
+    rows = [("a", day(2), 3, 3, "x"), ("a", day(5), None, 7, "y"), ("a", day(12), 9, 9, "z"), ("a", None, 1, 1, "w"), ("b", day(11), 1, 1, "v"), ("c", day(12), 1, 1, "u"), ("d", day(10), 1, 1, "s"), ("d", day(10), 2, 2, "t")]
+    cells = spark.createDataFrame(rows, "k string, m date, n long, total long, name string").repartition(3)
+    df = dense_months(cells, ["k"], "m", F.lit(day(11)), ["n"], ["total"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 2  # the test's own repartition, and one by key
+    got = sorted(((r["k"], r["m"].month, r["n"], r["name"]) for r in df.collect()), key=repr)
+    want = [("a", m, {2: 3}.get(m, 0), {2: "x", 5: "y"}.get(m)) for m in range(2, 12)] + [("b", 11, 1, "v"), ("d", 10, 1, "s"), ("d", 10, 2, "t"), ("d", 11, 0, None)]
+    assert got == sorted(want, key=repr) and {(r["m"].month, r["total"]) for r in df.filter("k = 'a'").collect()} == {(m, 3 if m < 5 else 7) for m in range(2, 12)}
+
+
 def test_ids_of_few(spark):
     rows = [(k, i) for k, ids in {"one": [5], "two": [9, -4], "three": [7, 2**62, -(2**63)], "four": [1, 2, 3, 4], "null": [None]}.items() for i in ids]
     got = {r["k"]: r["ids"] for r in spark.createDataFrame(rows, "k string, v long").groupBy("k").agg(few_ids("v").alias("ids")).collect()}
