@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import checkpointed, new_folder
-from ..sources.readers import reviews
+from ..operators.relational import new_folder, stored
+from ..sources.readers import raw_reviews, reviews
 from .registry import query
 from .review_queries import PANEL_SQL, PANEL_SUMS, monthly, panel_of
 
@@ -26,23 +26,41 @@ def add_batch(reviews_of_batch: DataFrame, folder: str, batch: str, parts: int =
     """
     spark = reviews_of_batch.sparkSession
     part = F.pmod(F.xxhash64("unit_id"), F.lit(parts)).cast("int")
-    new = checkpointed(monthly(reviews_of_batch).withColumns({"part": part, "batch": F.lit(batch)}))
-    touched = sorted(r[0] for r in new.select("part").distinct().collect())  # at most ``parts`` rows
+    at, keys = f"{folder}/cells", ["part", "unit_id", "channel"]
+    staged = stored(monthly(reviews_of_batch).withColumns({"part": part, "batch": F.lit(batch)}))
+    touched = sorted(r[0] for r in staged.select("part").distinct().collect())  # at most ``parts`` rows
     if not touched:
         return []
-    into = lambda df, name, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
-    into(new.repartition("part"), "cells", "part", "batch")
-    cells = spark.read.schema(CELLS).parquet(f"{folder}/cells").filter(F.col("part").isin(touched))
-    cells = cells.groupBy("unit_id", "channel", "month").agg(*(F.sum(c).alias(c) for c in PANEL_SUMS))
-    into(panel_of(cells).withColumn("part", part).repartition("part"), "panel", "part")
+    _into(_by_part(staged), at, len(touched), "part", "batch")
+    cells = _by_part(spark.read.schema(CELLS).parquet(at).filter(F.col("part").isin(touched)))
+    cells = cells.groupBy(*keys, "month").agg(*(F.sum(c).alias(c) for c in PANEL_SUMS))
+    _into(panel_of(cells, keys), f"{folder}/panel", len(touched), "part")
     return touched
 
 
+def _by_part(df: DataFrame) -> DataFrame:
+    """Dealt out in order of part and unit: a task has one or a few parts, a part as many tasks as its rows need, and all of a unit is together."""
+    return df.repartitionByRange(F.col("part"), F.col("unit_id"))
+
+
+def _into(df: DataFrame, path: str, writers: int, *by: str) -> None:
+    """Replace the folders of ``by`` that ``df`` has rows of; a task writes its few parts side by side, without sorting all rows by part first."""
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, str(writers))
+    try:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 @query("panel_upkeep", PANEL_SQL + "SELECT unit_id, channel, month, CAST(reviews AS BIGINT) AS reviews, CAST(low_ratings AS BIGINT) AS low_ratings, CAST(cum_reviews AS BIGINT) AS cum_reviews, round(cum_stars / cum_reviews, 6) AS cum_avg_rating FROM panel")
 def panel_upkeep(spark: SparkSession, d: str) -> DataFrame:
     """The panel after three batches: years up to 1996, later ones, and a tenth of both that came late."""
-    rv, folder = checkpointed(reviews(spark, d)), new_folder(spark, "panel")
-    late, early = F.crc32("review_id") % 10 == 0, F.col("yr") <= 1996
+    rows = raw_reviews(spark, d).withColumn("late", F.crc32("review_id") % 10 == 0)
+    wanted = ["unit_id", "channel", "review_date", "rating", "verified", "low", "before_launch", "yr", "late"]
+    rv, folder = stored(reviews(spark, d, rows).select(*wanted)), new_folder(spark, "panel")
+    late, early = F.col("late"), F.col("yr") <= 1996
     for name, rows in (("a", ~late & early), ("b", ~late & ~early), ("late", late)):
         add_batch(rv.filter(rows), folder, name, parts=16)
     columns = ["unit_id", "channel", "month", "reviews", "low_ratings", "cum_reviews", "cum_avg_rating"]
