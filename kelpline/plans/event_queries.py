@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..fixed import EVENT_WINDOWS
 from ..operators.event_study import Z95, effects, judged, low_rating_events, natural_swing, placebo_events, placed, select_controls, window_pool
 from ..operators.event_study import comparison_band as bands
-from ..operators.relational import benjamini_hochberg, checkpointed
+from ..operators.relational import benjamini_hochberg, checkpointed, few_ids, stored
 from ..sources.readers import read_table, reviews
 from .registry import RV, query
 from .review_queries import COMPLETE
@@ -68,10 +68,10 @@ class Study:
 
     @cached_property
     def cells(self) -> DataFrame:
-        """The reviews are read once; all else comes from these."""
+        """The reviews are read once; all else comes from these: the few columns that are asked of each, which hardly any grouping would make fewer."""
         month = (F.year("review_date") * 12 + F.month("review_date") - 1).alias("mi")
-        cells = reviews(self.spark, self.directory).groupBy(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type"), F.col("unit_id").alias("part"), (F.col("channel") == "new").alias("new"), month)
-        return checkpointed(cells.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rating").cast("long")).alias("stars")))
+        rows = reviews(self.spark, self.directory).select(F.col("brand").alias("unit"), F.col("brand_set").alias("product_type"), F.col("unit_id").alias("part"), (F.col("channel") == "new").alias("new"), month, F.col("rating").cast("long").alias("stars"))
+        return stored(rows.withColumn("n", F.lit(1).cast("long")))
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -90,8 +90,10 @@ class Study:
 
     @cached_property
     def siblings(self) -> DataFrame:
+        """A row a unit and month in which parts launched: how many, and which if they are few."""
         launches = self.cells.groupBy("unit", "part").agg(F.min("mi").alias("at"))
-        return launches.join(self.units.select("unit", "launch_mi", "first_mi"), "unit").filter("at <> launch_mi")
+        months = launches.groupBy("unit", "at").agg(F.count(F.lit(1)).alias("launched"), few_ids("part").alias("parts"))
+        return checkpointed(months.join(self.units.select("unit", "launch_mi", "first_mi"), "unit").filter("at <> launch_mi"))
 
     @cached_property
     def again(self) -> DataFrame:
@@ -100,8 +102,9 @@ class Study:
     @cached_property
     def events(self) -> DataFrame:
         spans = (F.col("first_mi") <= F.col("m0") - 6) & (F.col("m0") + 6 <= LAST)
-        merged = self.siblings.groupBy("unit", "first_mi", F.col("at").alias("m0")).agg(F.array_sort(F.collect_list(F.col("part").cast("string"))).alias("names"))
-        detail = F.when(F.size("names") < 4, F.array_join(F.transform("names", lambda x: F.concat(x, F.lit(" launched"))), "; ")).otherwise(F.concat(F.size("names"), F.lit(" siblings launched")))
+        names = F.array_sort(F.transform("parts", lambda x: x.cast("string")))
+        detail = F.when(F.col("launched") < 4, F.array_join(F.transform(names, lambda x: F.concat(x, F.lit(" launched"))), "; ")).otherwise(F.concat("launched", F.lit(" siblings launched")))
+        merged = self.siblings.withColumnRenamed("at", "m0")
         kind = lambda df, name, detail: df.select(F.lit(name).alias("event_type"), "unit", F.col("m0").cast("int").alias("m0"), detail.alias("detail"))
         events = kind(merged.filter(spans), "sibling_launch", detail).union(kind(self.again.filter(spans), "refurbished", F.lit("first refurbished review"))).union(kind(self.low, "low_rating", F.lit("low rating")))
         return events.withColumn("event_id", F.concat_ws("/", "event_type", "unit", "m0"))
