@@ -1 +1,11 @@
-"""Part of kelpline: operators."""
+"""Part of kelpline: operators.
+
+Functions that run in Python workers are pickled by value, so executors need no
+copy of this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
