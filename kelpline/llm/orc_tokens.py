@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import new_path, written
 from .word_encoder import encoder, slices
 
+#: Bytes of texts that are encoded at once: the more, the fewer distinct words are looked up again.
+AT_ONCE = 8 << 20
 #: Writer options; sizes in bytes. Fixed values of the file format's own names.
 ORC_OPTIONS = {
     "compression": "snappy",
@@ -35,7 +37,7 @@ def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -
     enc = encoder(path)
     for batch in batches:
         texts = batch.column(1)
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, AT_ONCE):
             ids, ends = enc.encode_flat(texts.slice(lo, hi - lo).to_pylist(), [end_id])
             for a, b in _cuts(ends):
                 lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(ids[ends[a] : ends[b]].view("<i4")))

@@ -78,12 +78,12 @@ def _stem(chunk: str) -> str:
     return stem.lower() if stem.isascii() and "<|" not in stem else stem
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``SLICE_BYTES`` each."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes each."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) + 1, dtype=np.int64)
     a = 0
     while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
         yield a, b
         a = b
 
